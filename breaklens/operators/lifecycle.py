@@ -88,11 +88,11 @@ def chain_ids(cash: DataFrame) -> DataFrame:
 
 def build_break_chains(cash: DataFrame) -> DataFrame:
     """Cash rows with TradeKey and BreakChainID attached."""
-    ids = chain_ids(cash).drop("TradeKey")
-    return (cash.join(ids, [cash["PRODUCT"].eqNullSafe(ids["PRODUCT"]),
-                            cash["TRADE_ID"].eqNullSafe(ids["TRADE_ID"])], "left")
-            .select(cash["*"], trade_key(cash["PRODUCT"], cash["TRADE_ID"]).alias("TradeKey"),
-                    ids["BreakChainID"]))
+    ids = chain_ids(cash).drop("TradeKey").withColumnsRenamed(
+        {"PRODUCT": "__id_p", "TRADE_ID": "__id_t"})
+    j = cash.join(ids, F.col("PRODUCT").eqNullSafe(F.col("__id_p"))
+                  & F.col("TRADE_ID").eqNullSafe(F.col("__id_t")), "left")
+    return j.select(*cash.columns, trade_key().alias("TradeKey"), "BreakChainID")
 
 
 def money_sum(c: Column | str) -> Column:

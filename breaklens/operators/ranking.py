@@ -34,14 +34,6 @@ _K = "__rk_key"
 _B = "__rk_bucket"
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column | None:
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return cond
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared checkpoint folder (reliable; survives executor loss)."""
     spark = df.sparkSession
@@ -110,14 +102,19 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], sums: Sequence[
     w = (Window.partitionBy(*group_cols, _B).orderBy(_K)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = b.select("*", *[F.sum(v).over(w).alias(f"__run_{v}") for v in vals])
-    cond = _null_safe_on(ranked, offs, list(group_cols) + [_B])
+    keys = list(group_cols) + [_B]
+    offs = offs.withColumnsRenamed({k: f"__ok_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        e = F.col(k).eqNullSafe(F.col(f"__ok_{k}"))
+        cond = e if cond is None else cond & e
     j = ranked.join(offs, cond, "left")
-    out_cols = [ranked[c] for c in df.columns]
-    out_cols.append((ranked[f"__run_{one}"] + offs[f"__off_{one}"]).alias("pos"))
-    out_cols.append(offs[f"__tot_{one}"].alias("group_rows"))
+    out_cols = [F.col(c) for c in df.columns]
+    out_cols.append((F.col(f"__run_{one}") + F.col(f"__off_{one}")).alias("pos"))
+    out_cols.append(F.col(f"__tot_{one}").alias("group_rows"))
     for s in sums:
-        out_cols.append((ranked[f"__run_{s}"] + offs[f"__off_{s}"]).alias(f"{prefix}{s}"))
-        out_cols.append(offs[f"__tot_{s}"].alias(f"group_{s}"))
+        out_cols.append((F.col(f"__run_{s}") + F.col(f"__off_{s}")).alias(f"{prefix}{s}"))
+        out_cols.append(F.col(f"__tot_{s}").alias(f"group_{s}"))
     return j.select(*out_cols)
 
 

@@ -220,3 +220,205 @@ FROM summary
 def f09_display_projection(fx):
     """display column subset of the final summary."""
     return R.display_projection(LP.final_summary(fx))
+
+
+# ───────────────────────────── DQ / features / labels (P2) ─────────────────────────────
+from .. import constants as C  # noqa: E402
+from ..operators import dq as DQ  # noqa: E402
+from ..operators import features as FT  # noqa: E402
+from ..operators import labels as LB  # noqa: E402
+from ..sources.csv import convert_pence  # noqa: E402
+from . import scoring_plan as SP  # noqa: E402
+
+BREAK_VIEWS = ["breaks"]
+
+
+def _dq(body: str) -> str:
+    return "WITH " + SP.dq_ctes().strip() + "\n" + body
+
+
+def _feat(body: str, supplied: bool = False) -> str:
+    return "WITH " + SP.feature_ctes(supplied).strip() + "\n" + body
+
+
+@register("s08_pence_to_gbp", """
+SELECT break_id, break_amount_pence, net_amount_pence, gross_amount_pence,
+       CAST(break_amount_pence AS DOUBLE) / 100.0 AS break_amount_gbp,
+       CAST(net_amount_pence AS DOUBLE) / 100.0 AS net_amount_gbp,
+       CAST(gross_amount_pence AS DOUBLE) / 100.0 AS gross_amount_gbp
+FROM breaks""", BREAK_VIEWS)
+def s08_pence_to_gbp(fx):
+    """Pence columns -> GBP columns (originals kept)."""
+    return convert_pence(fx["breaks"]).select(
+        "break_id", *C.PENCE_COLUMNS, *[c.replace("_pence", "_gbp") for c in C.PENCE_COLUMNS])
+
+
+@register("q06_dq_score", _dq("""
+SELECT break_id, asset_class, dq_governance_ok, dq_age_valid, dq_amount_nonzero, dq_asset_class_valid,
+       dq_no_duplicate, dq_score FROM dq"""), BREAK_VIEWS)
+def q06_dq_score(fx):
+    """Q01-Q06: DQ components and weighted score per break."""
+    return SP.dq_scored(fx).select("break_id", "asset_class", *DQ.COMPONENTS, "dq_score")
+
+
+@register("w06_duplicate_flag", _dq("SELECT break_id, dq_no_duplicate FROM dq"), BREAK_VIEWS)
+def w06_duplicate_flag(fx):
+    """1.0 when the break id is unique in the report."""
+    return SP.dq_scored(fx).select("break_id", "dq_no_duplicate")
+
+
+@register("a10_dq_summary", _dq("""
+SELECT asset_class, ROUND_EVEN(AVG(dq_score), 4) AS mean_dq_score, COUNT(*) AS "rows",
+       ROUND_EVEN(AVG(dq_governance_ok), 4) AS dq_governance_ok, ROUND_EVEN(AVG(dq_age_valid), 4) AS dq_age_valid,
+       ROUND_EVEN(AVG(dq_amount_nonzero), 4) AS dq_amount_nonzero,
+       ROUND_EVEN(AVG(dq_asset_class_valid), 4) AS dq_asset_class_valid,
+       ROUND_EVEN(AVG(dq_no_duplicate), 4) AS dq_no_duplicate
+FROM dq WHERE asset_class IS NOT NULL GROUP BY asset_class
+UNION ALL
+SELECT 'OVERALL', ROUND_EVEN(AVG(dq_score), 4), COUNT(*), ROUND_EVEN(AVG(dq_governance_ok), 4),
+       ROUND_EVEN(AVG(dq_age_valid), 4), ROUND_EVEN(AVG(dq_amount_nonzero), 4),
+       ROUND_EVEN(AVG(dq_asset_class_valid), 4), ROUND_EVEN(AVG(dq_no_duplicate), 4)
+FROM dq"""), BREAK_VIEWS)
+def a10_dq_summary(fx):
+    """A10: DQ summary per asset class and OVERALL."""
+    return DQ.dq_summary(SP.dq_scored(fx))
+
+
+@register("x_feature_matrix", _feat(f"SELECT break_id, {SP.feature_select()} FROM feat"), BREAK_VIEWS)
+def x_feature_matrix(fx):
+    """The 42-feature matrix keyed by break id."""
+    return SP.feature_matrix_view(fx)
+
+
+@register("w02_amount_percentile", _feat("""
+SELECT break_id, asset_class, break_amount_gbp, amount_percentile FROM feat"""), BREAK_VIEWS)
+def w02_amount_percentile(fx):
+    """Average-rank percentile of the amount within asset class."""
+    return SP.features(fx).select("break_id", "asset_class", "break_amount_gbp", "amount_percentile")
+
+
+@register("w03_same_cpty_count", _feat("""
+SELECT break_id, counterparty, prior_break_same_cpty FROM feat"""), BREAK_VIEWS)
+def w03_same_cpty_count(fx):
+    """Other breaks with the same counterparty."""
+    return SP.features(fx).select("break_id", "counterparty", "prior_break_same_cpty")
+
+
+@register("j03_offsetting_semi", _feat("""
+SELECT break_id, counterparty, offsetting_break_exists FROM feat"""), BREAK_VIEWS)
+def j03_offsetting_semi(fx):
+    """Counterparty nets to (almost) zero."""
+    return SP.features(fx).select("break_id", "counterparty", "offsetting_break_exists")
+
+
+@register("w04_segment_median_age", _feat("""
+SELECT break_id, entity_id, team_code, rec_name, asset_class, segment_median_age FROM feat"""), BREAK_VIEWS)
+def w04_segment_median_age(fx):
+    """Exact median age per (entity, team, rec, class) segment."""
+    return SP.features(fx).select("break_id", *C.SEGMENT_KEYS, "segment_median_age")
+
+
+@register("w05_mad_score", _feat("""
+SELECT break_id, mad_score, is_statistical_outlier FROM feat"""), BREAK_VIEWS)
+def w05_mad_score(fx):
+    """W05 + X27: MAD score per segment and the outlier flag."""
+    return SP.features(fx).select("break_id", "mad_score", "is_statistical_outlier")
+
+
+@register("w07_rolling_7d_count", _feat("""
+SELECT break_id, entity_id, rolling_7d_break_count FROM feat"""), BREAK_VIEWS)
+def w07_rolling_7d_count(fx):
+    """W07 + J04: per-entity recent-break count (default 1)."""
+    return SP.features(fx).select("break_id", "entity_id", "rolling_7d_break_count")
+
+
+@register("w08_category_codes", """
+SELECT 'entity_id' AS feature, value, DENSE_RANK() OVER (ORDER BY value) - 1 AS code
+FROM (SELECT DISTINCT COALESCE(entity_id, '__MISSING__') AS value FROM breaks) e
+UNION ALL
+SELECT 'team_code', value, DENSE_RANK() OVER (ORDER BY value) - 1
+FROM (SELECT DISTINCT COALESCE(team_code, '__MISSING__') AS value FROM breaks) t
+UNION ALL
+SELECT 'rec_name', value, DENSE_RANK() OVER (ORDER BY value) - 1
+FROM (SELECT DISTINCT COALESCE(rec_name, '__MISSING__') AS value FROM breaks) r""", BREAK_VIEWS)
+def w08_category_codes(fx):
+    """Category dictionaries (sorted distinct values -> 0..n-1)."""
+    b = fx["breaks"]
+    out = None
+    for c in ("entity_id", "team_code", "rec_name"):
+        d = FT.category_dictionary(b, c).select(F.lit(c).alias("feature"), "value", "code")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@register("j05_encoder_lookup", """
+WITH d AS (SELECT value, DENSE_RANK() OVER (ORDER BY value) - 1 AS code
+           FROM (SELECT DISTINCT COALESCE(entity_id, '__MISSING__') AS value FROM breaks
+                 WHERE asset_class = 'CEQ') q)
+SELECT b.break_id, b.entity_id, CAST(COALESCE(d.code, -1) AS DOUBLE) AS entity_id_enc
+FROM breaks b LEFT JOIN d ON COALESCE(b.entity_id, '__MISSING__') = d.value""", BREAK_VIEWS)
+def j05_encoder_lookup(fx):
+    """Apply an encoder fitted on one subset (CEQ rows) to every row; unseen -> -1."""
+    b = fx["breaks"]
+    enc = FT.category_dictionary(b.where(F.col("asset_class") == "CEQ"), "entity_id")
+    return FT.apply_dictionary(b, "entity_id", enc, "entity_id_enc").select(
+        "break_id", "entity_id", "entity_id_enc")
+
+
+@register("l_weak_labels", _feat(f"SELECT break_id, asset_class, {SP.label_case()} FROM feat"),
+          BREAK_VIEWS)
+def l_weak_labels(fx):
+    """L01-L08 with the derived autoclose proxy."""
+    return SP.labelled(fx).select("break_id", "asset_class", "pseudo_label", "label_confidence",
+                                  "label_rule")
+
+
+@register("l_weak_labels_supplied",
+          _feat(f"SELECT break_id, asset_class, {SP.label_case()} FROM feat", supplied=True), BREAK_VIEWS)
+def l_weak_labels_supplied(fx):
+    """L01-L08 with a supplied autoclose rate (rules L03-L06 reachable)."""
+    return SP.labelled(fx, True).select("break_id", "asset_class", "pseudo_label", "label_confidence",
+                                        "label_rule")
+
+
+_LBL2 = f"lab AS (SELECT feat.*, {SP.label_case()} FROM feat)"
+
+
+@register("f10_training_filter", _feat(f""", {_LBL2}
+SELECT break_id, asset_class, pseudo_label, label_confidence FROM lab
+WHERE pseudo_label IS NOT NULL AND COALESCE(label_confidence, 0) >= 0.75""", supplied=True), BREAK_VIEWS)
+def f10_training_filter(fx):
+    """labelled rows with confidence >= 0.75."""
+    return LB.get_training_set(SP.labelled(fx, True)).select(
+        "break_id", "asset_class", "pseudo_label", "label_confidence")
+
+
+@register("f11_asset_class_filter", _feat(f""", {_LBL2}
+SELECT break_id, asset_class, pseudo_label, label_confidence FROM lab
+WHERE pseudo_label IS NOT NULL AND COALESCE(label_confidence, 0) >= 0.70 AND asset_class = 'OTC'""",
+                                         supplied=True), BREAK_VIEWS)
+def f11_asset_class_filter(fx):
+    """one asset class of the training rows (training floor 0.70, D5)."""
+    t = LB.get_training_set(SP.labelled(fx, True), 0.70)
+    return LB.asset_class_rows(t, "OTC").select("break_id", "asset_class", "pseudo_label",
+                                                "label_confidence")
+
+
+@register("a12_label_summary", _feat(f""", {_LBL2}
+SELECT COUNT(*) AS total, COUNT_IF(pseudo_label = 1) AS false_break, COUNT_IF(pseudo_label = 0) AS genuine,
+       COUNT_IF(pseudo_label IS NULL) AS unlabelled,
+       ROUND_EVEN((COUNT_IF(pseudo_label = 1) + COUNT_IF(pseudo_label = 0)) * 100.0 / GREATEST(COUNT(*), 1), 1)
+         AS labelled_pct
+FROM lab""", supplied=True), BREAK_VIEWS)
+def a12_label_summary(fx):
+    """Weak-label coverage (one row)."""
+    return LB.label_summary(SP.labelled(fx, True))
+
+
+@register("a14_label_balance", _feat(f""", {_LBL2}
+SELECT asset_class, COUNT_IF(pseudo_label = 1) AS n_false, COUNT_IF(pseudo_label = 0) AS n_genuine,
+       COUNT_IF(pseudo_label = 0) / CAST(GREATEST(COUNT_IF(pseudo_label = 1), 1) AS DOUBLE) AS scale_pos_weight
+FROM lab WHERE pseudo_label IS NOT NULL GROUP BY asset_class""", supplied=True), BREAK_VIEWS)
+def a14_label_balance(fx):
+    """A14 + M05: class balance and positive-class weight per asset class."""
+    return LB.label_balance(SP.labelled(fx, True))
