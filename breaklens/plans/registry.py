@@ -422,3 +422,234 @@ FROM lab WHERE pseudo_label IS NOT NULL GROUP BY asset_class""", supplied=True),
 def a14_label_balance(fx):
     """A14 + M05: class balance and positive-class weight per asset class."""
     return LB.label_balance(SP.labelled(fx, True))
+
+
+# ───────────────────────────── store, tiers, metrics, feedback ─────────────────────────────
+from ..operators import feedback as FB  # noqa: E402
+from ..operators import metrics as MT  # noqa: E402
+from ..operators import tiers as TR  # noqa: E402
+from ..sources.uploads import prepare_for_ingest  # noqa: E402
+from . import store_plan as STP  # noqa: E402
+
+
+def _store(body: str) -> str:
+    return "WITH " + STP.store_ctes().strip() + "\n" + body
+
+
+LOOKUP_ID = "7-1"
+RETIER = {"CEQ": 0.7, "OTC": 0.9}
+
+
+@register("s07_prepare_ingest", f"""
+SELECT break_id, CAST(break_amount_pence AS DOUBLE) / 100.0 AS break_amount_gbp,
+       CAST(net_amount_pence AS DOUBLE) / 100.0 AS net_amount_gbp,
+       CAST(gross_amount_pence AS DOUBLE) / 100.0 AS gross_amount_gbp,
+       strftime(CAST(report_date AS DATE), '%Y-%m') AS report_month, '{STP.FIXTURE_HASH}' AS upload_hash,
+       CAST(NULL AS DOUBLE) AS false_break_prob, CAST(NULL AS VARCHAR) AS risk_tier,
+       CAST(NULL AS INTEGER) AS pseudo_label
+FROM breaks""", BREAK_VIEWS)
+def s07_prepare_ingest(fx):
+    """GBP columns, report_month, upload hash and null placeholders."""
+    return prepare_for_ingest(fx["breaks"], STP.FIXTURE_HASH).select(
+        "break_id", "break_amount_gbp", "net_amount_gbp", "gross_amount_gbp", "report_month",
+        "upload_hash", "false_break_prob", "risk_tier", "pseudo_label")
+
+
+_DATE_COLS = ["break_open_date", "break_date", "report_date", "last_activity_date"]
+_DATES_AS_TS = "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS TIMESTAMP) AS {c}" for c in _DATE_COLS) + ")"
+
+
+def _dates_as_ts(df):
+    """Present DATE columns as timestamps (both engines hand those back alike)."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in _DATE_COLS if c in df.columns})
+
+
+@register("s11_snapshot_ingest", _store(f"{_DATES_AS_TS} FROM snap"), BREAK_VIEWS)
+def s11_snapshot_ingest(fx):
+    """S10 + S11 + U02: typed snapshot, one row per break id (replace mode)."""
+    return _dates_as_ts(STP.ingested(fx))
+
+
+@register("s13_dq_write_back", _store("SELECT break_id, dq_score FROM store"), BREAK_VIEWS)
+def s13_dq_write_back(fx):
+    """S13 + J07: dq_score written back by key."""
+    return STP.store(fx).select("break_id", "dq_score")
+
+
+@register("s14_score_write_back", _store("SELECT break_id, false_break_prob, risk_tier FROM store"),
+          BREAK_VIEWS)
+def s14_score_write_back(fx):
+    """S14 + J07: probability and tier written back by key."""
+    return STP.store(fx).select("break_id", "false_break_prob", "risk_tier")
+
+
+@register("a08_breaks_kpis", _store("""
+SELECT COUNT(*) AS total_breaks, COUNT_IF(risk_tier = 'Suppress') AS suppressed,
+       COUNT_IF(risk_tier = 'Review') AS review, COUNT_IF(risk_tier = 'Escalate') AS escalate,
+       ROUND(CAST(COALESCE(SUM(CASE WHEN risk_tier = 'Suppress' THEN CAST(ABS(break_amount_gbp) AS DECIMAL(38,6)) END), 0)
+             AS DOUBLE), 2) AS value_suppressed_gbp,
+       ROUND_EVEN(COALESCE(AVG(dq_score), 0.0), 9) AS avg_dq_score,
+       ROUND_EVEN(COUNT_IF(risk_tier = 'Suppress') * 100.0 / GREATEST(COUNT(*), 1), 1) AS suppressed_pct
+FROM store"""), BREAK_VIEWS)
+def a08_breaks_kpis(fx):
+    """Dashboard KPIs over the stored breaks (avg rounded to 9 digits for the check)."""
+    k = TR.breaks_kpis(STP.store(fx))
+    return k.withColumn("avg_dq_score", F.bround("avg_dq_score", 9))
+
+
+@register("f06_query_breaks", _store("""
+SELECT break_id, asset_class, risk_tier, false_break_prob, break_amount_gbp FROM store
+WHERE asset_class IN ('CEQ', 'OTC') AND risk_tier IN ('Suppress', 'Review')"""), BREAK_VIEWS)
+def f06_query_breaks(fx):
+    """IN-list filters on class and tier plus a column list."""
+    s = STP.store(fx)
+    return (s.where(F.col("asset_class").isin("CEQ", "OTC") & F.col("risk_tier").isin("Suppress", "Review"))
+            .select("break_id", "asset_class", "risk_tier", "false_break_prob", "break_amount_gbp"))
+
+
+@register("f07_break_by_id", _store(f"{_DATES_AS_TS} FROM store WHERE break_id = '{LOOKUP_ID}'"),
+          BREAK_VIEWS)
+def f07_break_by_id(fx):
+    """point lookup (0 or 1 row)."""
+    return _dates_as_ts(STP.store(fx).where(F.col("break_id") == LOOKUP_ID))
+
+
+SCORED_VIEWS = ["scored"]
+_TIER_SQL = ("CASE WHEN false_break_prob IS NULL THEN 'Unscored' WHEN false_break_prob > {t} THEN 'Suppress' "
+             "WHEN false_break_prob >= 0.5 THEN 'Review' ELSE 'Escalate' END")
+
+
+@register("k01_assign_tier", f"""
+SELECT break_id, asset_class, false_break_prob, {_TIER_SQL.format(t=0.8)} AS risk_tier FROM scored""",
+          SCORED_VIEWS)
+def k01_assign_tier(fx):
+    """Probability -> Suppress / Review / Escalate (null -> Unscored)."""
+    s = fx["scored"].select("break_id", "asset_class", "false_break_prob")
+    return TR.assign_risk_tiers(s)
+
+
+@register("k02_retier", f"""
+WITH t AS (SELECT break_id, asset_class, false_break_prob, {_TIER_SQL.format(t=0.8)} AS risk_tier FROM scored)
+SELECT break_id, asset_class, false_break_prob,
+       CASE WHEN asset_class IN ('CEQ', 'OTC') AND false_break_prob IS NOT NULL THEN
+            CASE WHEN false_break_prob > (CASE asset_class WHEN 'CEQ' THEN 0.7 ELSE 0.9 END) THEN 'Suppress'
+                 WHEN false_break_prob >= 0.5 THEN 'Review' ELSE 'Escalate' END
+            ELSE risk_tier END AS risk_tier
+FROM t""", SCORED_VIEWS)
+def k02_retier(fx):
+    """Re-tier stored probabilities with per-class thresholds (others untouched)."""
+    s = TR.assign_risk_tiers(fx["scored"].select("break_id", "asset_class", "false_break_prob"))
+    return TR.update_risk_tiers(s, asset_thresholds=RETIER)
+
+
+@register("a09_suppression_stats", f"""
+WITH t AS (SELECT break_id, CAST(break_amount_pence AS DOUBLE) / 100.0 AS break_amount_gbp,
+                  {_TIER_SQL.format(t=0.8)} AS risk_tier FROM scored)
+SELECT COUNT(*) AS total, COUNT_IF(risk_tier = 'Suppress') AS suppressed, COUNT_IF(risk_tier = 'Review') AS review,
+       COUNT_IF(risk_tier = 'Escalate') AS escalate,
+       ROUND_EVEN(COUNT_IF(risk_tier = 'Suppress') * 100.0 / GREATEST(COUNT(*), 1), 1) AS suppressed_pct,
+       ROUND(CAST(COALESCE(SUM(CASE WHEN risk_tier = 'Suppress' THEN CAST(ABS(break_amount_gbp) AS DECIMAL(38,6)) END), 0)
+             AS DOUBLE), 2) AS value_suppressed,
+       CAST(0.8 AS DOUBLE) AS threshold
+FROM t""", SCORED_VIEWS)
+def a09_suppression_stats(fx):
+    """Suppression statistics over tiered breaks."""
+    s = fx["scored"].select("break_id", (F.col("break_amount_pence").cast("double") / 100.0)
+                            .alias("break_amount_gbp"), "asset_class", "false_break_prob")
+    return TR.suppression_stats(TR.assign_risk_tiers(s))
+
+
+_EVAL_SQL = """
+WITH d AS (SELECT asset_class, break_id, label, false_break_prob AS p FROM scored
+           WHERE false_break_prob IS NOT NULL AND label IS NOT NULL),
+sc AS (SELECT asset_class, p, COUNT_IF(label = 1) AS tp, COUNT_IF(label <> 1) AS fp FROM d GROUP BY asset_class, p),
+r AS (SELECT *, SUM(tp) OVER w AS cum_tp, SUM(fp) OVER w AS cum_fp,
+             SUM(tp) OVER (PARTITION BY asset_class) AS np, SUM(fp) OVER (PARTITION BY asset_class) AS nn
+      FROM sc WINDOW w AS (PARTITION BY asset_class ORDER BY p ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT asset_class, MAX(np) AS n_pos, MAX(nn) AS n_neg,
+             SUM(CAST(tp AS DECIMAL(38,0)) * CAST(2 * (cum_tp + cum_fp - tp - fp) + tp + fp + 1 AS DECIMAL(38,0))) AS s2,
+             SUM((tp / CAST(np AS DOUBLE)) * ((np - cum_tp + tp) / CAST((np - cum_tp + tp) + (nn - cum_fp + fp) AS DOUBLE))) AS ap
+      FROM r GROUP BY asset_class),
+auc AS (SELECT asset_class, n_pos + n_neg AS n,
+               CASE WHEN n_pos > 0 AND n_neg > 0 THEN CAST(s2 - CAST(n_pos * (n_pos + 1) AS DECIMAL(38,0)) AS DOUBLE)
+                    / (CAST(2.0 AS DOUBLE) * CAST(n_pos AS DOUBLE) * CAST(n_neg AS DOUBLE)) ELSE 0.0 END AS auc_roc,
+               CASE WHEN n_pos > 0 AND n_neg > 0 THEN ap ELSE 0.0 END AS average_precision
+        FROM a),
+t AS (SELECT asset_class, label, ROW_NUMBER() OVER (PARTITION BY asset_class ORDER BY p DESC, break_id, label) AS rn,
+             COUNT(*) OVER (PARTITION BY asset_class) AS n FROM d),
+pk AS (SELECT asset_class, AVG(label) AS precision_at_10pct FROM t
+       WHERE rn <= GREATEST(FLOOR(n * CAST(0.1 AS DOUBLE)), 1) GROUP BY asset_class),
+cm AS (SELECT asset_class, COUNT_IF(label <> 1 AND p < 0.5) AS tn, COUNT_IF(label <> 1 AND p >= 0.5) AS fp,
+              COUNT_IF(label = 1 AND p < 0.5) AS fn, COUNT_IF(label = 1 AND p >= 0.5) AS tp FROM d GROUP BY asset_class)
+SELECT auc.asset_class, auc.n, ROUND_EVEN(auc_roc, 4) AS auc_roc,
+       ROUND_EVEN(CASE WHEN 2 * tp + fp + fn > 0 THEN (2 * tp) / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0.0 END, 4) AS f1,
+       ROUND_EVEN(average_precision, 4) AS average_precision, ROUND_EVEN(precision_at_10pct, 4) AS precision_at_10pct,
+       ROUND_EVEN(CASE WHEN (tp + fn > 0 OR tp + fp > 0) AND (tn + fp > 0 OR tn + fn > 0)
+                       THEN fn / CAST(GREATEST(fn + tp, 1) AS DOUBLE) ELSE 0.0 END, 4) AS false_negative_rate,
+       tn, fp, fn, tp
+FROM auc JOIN pk ON auc.asset_class IS NOT DISTINCT FROM pk.asset_class
+JOIN cm ON auc.asset_class IS NOT DISTINCT FROM cm.asset_class"""
+
+
+@register("m09_evaluate", _EVAL_SQL, SCORED_VIEWS)
+def m09_evaluate(fx):
+    """AUC-ROC, F1, AP, P@10%, FN rate and confusion counts per asset class."""
+    return MT.evaluate(fx["scored"])
+
+
+@register("t05_precision_at_top10pct", """
+WITH d AS (SELECT asset_class, break_id, label, false_break_prob AS p FROM scored
+           WHERE false_break_prob IS NOT NULL AND label IS NOT NULL),
+t AS (SELECT asset_class, label, ROW_NUMBER() OVER (PARTITION BY asset_class ORDER BY p DESC, break_id, label) AS rn,
+             COUNT(*) OVER (PARTITION BY asset_class) AS n FROM d)
+SELECT asset_class, AVG(label) AS precision_at_10pct, COUNT(*) AS k FROM t
+WHERE rn <= GREATEST(FLOOR(n * CAST(0.1 AS DOUBLE)), 1) GROUP BY asset_class""", SCORED_VIEWS)
+def t05_precision_at_top10pct(fx):
+    """Precision among the top 10 % scores per class."""
+    return MT.precision_at_top(fx["scored"])
+
+
+FB_VIEWS = ["scored", "feedback"]
+
+
+def _fb(body: str) -> str:
+    return "WITH " + STP.feedback_cte().strip() + "\n" + body
+
+
+@register("a11_feedback_counts", _fb("""
+SELECT asset_class, COUNT_IF(analyst_label = 0) AS genuine, COUNT_IF(analyst_label = 1) AS false_break,
+       COUNT(*) AS total FROM fb GROUP BY asset_class
+UNION ALL
+SELECT 'TOTAL', COUNT_IF(analyst_label = 0), COUNT_IF(analyst_label = 1), COUNT(*) FROM fb"""), FB_VIEWS)
+def a11_feedback_counts(fx):
+    """Genuine / false-break / total labels per class and TOTAL."""
+    return FB.feedback_counts(STP.feedback(fx))
+
+
+@register("m13_feedback_gate", _fb("""
+SELECT break_id, analyst_label, analyst_id, model_prediction, asset_class FROM fb
+WHERE asset_class IN (SELECT asset_class FROM fb GROUP BY asset_class HAVING COUNT(*) >= 200)"""), FB_VIEWS)
+def m13_feedback_gate(fx):
+    """Feedback of the classes that reached the 200-label gate."""
+    return FB.feedback_for_retraining(STP.feedback(fx)).select(
+        "break_id", "analyst_label", "analyst_id", "model_prediction", "asset_class")
+
+
+@register("s12_feedback_append", _fb("""
+SELECT n.break_id, n.analyst_label, n.analyst_id, n.model_prediction, n.asset_class, n.override_flag,
+       n.break_id IN (SELECT break_id FROM fb WHERE pass_no = 1) AS already_had_feedback
+FROM fb n WHERE n.pass_no = 2"""), FB_VIEWS)
+def s12_feedback_append(fx):
+    """A new feedback batch in stored shape, flagged when the break already has feedback."""
+    batch = FB.prepare_feedback(STP.feedback(fx, 2), "feedback_timestamp")
+    flagged = FB.flag_existing(batch, STP.feedback(fx, 1))
+    return flagged.select("break_id", "analyst_label", "analyst_id", "model_prediction", "asset_class",
+                          "override_flag", "already_had_feedback")
+
+
+@register("s16_feedback_load", _fb("""
+SELECT break_id, analyst_label, analyst_id, model_prediction, asset_class, report_month, override_flag,
+       feedback_timestamp FROM fb ORDER BY feedback_timestamp DESC"""), FB_VIEWS)
+def s16_feedback_load(fx):
+    """S16 + T04: all feedback, newest first."""
+    return FB.load_feedback(STP.feedback(fx))
