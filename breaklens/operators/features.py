@@ -20,18 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.expr import days_between, lookup, numeric, num_or_null
-from .ranking import exact_quantile_pair, running_totals
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join on ``keys`` with null-safe equality; right-side keys are renamed first
-    so self-join lineage can never make the condition or the drop ambiguous."""
-    r = right.withColumnsRenamed({k: f"__rk_{k}" for k in keys})
-    cond = None
-    for k in keys:
-        e = F.col(k).eqNullSafe(F.col(f"__rk_{k}"))
-        cond = e if cond is None else cond & e
-    return left.join(r, cond, how).drop(*[f"__rk_{k}" for k in keys])
+from .ranking import exact_quantile_pair, materialize, running_totals
 
 
 def _any_null(keys: Sequence[str]) -> Column:
@@ -72,34 +61,74 @@ def _raw_amount_name(df: DataFrame) -> str | None:
 
 
 # ───────────────────────────── group features ─────────────────────────────
+# Each function returns a small STATISTICS table keyed by its group; the
+# matrix joins them onto the rows with plain equi-joins (a null key never
+# matches, which is exactly the "null group -> null" rule).
+
+def entity_recent_table(base: DataFrame, age: str = "break_age_days") -> DataFrame:
+    """Per entity, rows aged <= 7 days (null age counts as 999)."""
+    recent = F.coalesce(F.col(age), F.lit(999.0)) <= F.lit(float(C.RECENT_AGE_DAYS))
+    return (base.where(F.col("entity_id").isNotNull() & recent).groupBy("entity_id")
+            .agg(F.count(F.lit(1)).cast("double").alias("__r7")))
+
+
+def counterparty_table(base: DataFrame, amount: str | None = "break_amount_gbp") -> DataFrame:
+    """J03 + W03 in one aggregate: ``__cpty_n`` = rows - 1; ``__offset`` = 1.0 when
+    the summed amount is within 1.0 of zero (exact decimal sum, nulls skipped)."""
+    aggs = [(F.count(F.lit(1)) - 1).cast("double").alias("__cpty_n")]
+    if amount:
+        s = F.coalesce(F.sum(F.col(amount).cast("decimal(38,6)")), F.lit(0).cast("decimal(38,6)"))
+        aggs.append(F.when(F.abs(s) < F.lit(1.0), F.lit(1.0)).otherwise(F.lit(0.0)).alias("__offset"))
+    return base.where(F.col("counterparty").isNotNull()).groupBy("counterparty").agg(*aggs)
 
-def amount_percentile(df: DataFrame, value: Column, group: str | None) -> DataFrame:
-    """Average-method percentile rank of ``value`` within ``group``.
 
-    pct = (rows below + (ties + 1) / 2) / non-null rows of the group. Null value
-    or null group -> null. Adds ``amount_percentile``.
+def percentile_table(base: DataFrame, value: str, group: str | None) -> DataFrame:
+    """(group, value) -> average-method percentile rank within the group.
+
+    pct = (rows below + (ties + 1) / 2) / non-null rows of the group.
     """
     keys = [group] if group else []
-    base = df.withColumn("__pv", value)
-    vals = (base.where(F.col("__pv").isNotNull() & ~_any_null(keys))
-            .groupBy(*keys, "__pv").agg(F.count(F.lit(1)).alias("__pc")))
+    vals = (base.where(F.col(value).isNotNull() & ~_any_null(keys))
+            .groupBy(*keys, F.col(value).alias("__pv")).agg(F.count(F.lit(1)).alias("__pc")))
     r = running_totals(vals, ["__pv"], sums=["__pc"], group_cols=keys)
-    pct = ((F.col("cum___pc") - F.col("__pc") + (F.col("__pc") + 1) / 2.0) / F.col("group___pc"))
-    stats = r.select(*keys, "__pv", pct.alias("amount_percentile"))
-    out = _null_safe_join(base, stats, keys + ["__pv"]) if keys else base.join(stats, ["__pv"], "left")
-    return out.drop("__pv")
+    pct = (F.col("cum___pc") - F.col("__pc") + (F.col("__pc") + 1) / 2.0) / F.col("group___pc")
+    return r.select(*keys, "__pv", pct.alias("amount_percentile"))
+
+
+def amount_percentile(df: DataFrame, value: Column, group: str | None) -> DataFrame:
+    """W02 on any frame: adds ``amount_percentile`` (null value or group -> null)."""
+    base = df.withColumn("__pval", value)
+    t = percentile_table(base, "__pval", group)
+    keys = [group] if group else []
+    return _equi_join(base, t, keys + ["__pval"], keys + ["__pv"]).drop("__pval")
+
+
+def segment_medians(base: DataFrame, values: dict[str, str], keys: Sequence[str]) -> DataFrame:
+    """Exact medians of several columns per segment in ONE ranking pass.
+
+    ``values`` maps output name -> column. Rows with a null key are excluded;
+    returns ``keys + list(values)``.
+    """
+    names = list(values)
+    stacked = base.where(~_any_null(keys)).select(
+        *keys, F.explode(F.array(*[F.struct(F.lit(n).alias("__name"),
+                                             F.col(c).cast("double").alias("__val"))
+                                   for n, c in values.items()])).alias("__s"))
+    long = stacked.select(*keys, F.col("__s.__name").alias("__name"), F.col("__s.__val").alias("__val"))
+    med = exact_quantile_pair(long, "__val", list(keys) + ["__name"])
+    wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, F.col("median"))).alias(n)
+                                    for n in names])
+    return wide
 
 
 def segment_median(df: DataFrame, value: Column, keys: Sequence[str], out_col: str) -> DataFrame:
-    """Exact per-segment median of ``value`` joined back (null key -> null)."""
+    """W04 on any frame: exact per-segment median joined back (no key -> global)."""
     base = df.withColumn("__mv", value)
     if not keys:
         med = exact_quantile_pair(base, "__mv").select(F.col("median").alias(out_col))
         return _attach_scalar(base, med, out_col).drop("__mv")
-    src = base.where(~_any_null(keys))
-    med = exact_quantile_pair(src, "__mv", keys).select(*keys, F.col("median").alias(out_col))
-    return _null_safe_join(base, med, keys).withColumn(
-        out_col, F.when(_any_null(keys), F.lit(None)).otherwise(F.col(out_col))).drop("__mv")
+    t = segment_medians(base, {out_col: "__mv"}, keys)
+    return _equi_join(base, t, keys, keys).drop("__mv")
 
 
 def _attach_scalar(base: DataFrame, one_row: DataFrame, col: str) -> DataFrame:
@@ -109,64 +138,45 @@ def _attach_scalar(base: DataFrame, one_row: DataFrame, col: str) -> DataFrame:
     return base.withColumn(col, F.lit(v).cast("double"))
 
 
-def mad_score(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``|(|x| - med) / (mad + 1e-9)|`` per segment; adds ``__mad``.
+def _equi_join(left: DataFrame, right: DataFrame, lkeys: Sequence[str], rkeys: Sequence[str]) -> DataFrame:
+    """Left equi-join with right keys renamed (no lineage ambiguity); null keys never match."""
+    r = right.withColumnsRenamed({k: f"__jr_{i}" for i, k in enumerate(rkeys)})
+    cond = None
+    for i, k in enumerate(lkeys):
+        e = F.col(k) == F.col(f"__jr_{i}")
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, "left").drop(*[f"__jr_{i}" for i in range(len(rkeys))])
 
-    Two passes: exact median of |x|, join, exact median of |(|x| - med)|, join.
-    """
-    name = _raw_amount_name(df)
-    if name is None:
-        return df.withColumn("__mad", F.lit(0.0))
-    x = F.abs(numeric(df, name))
-    s1 = segment_median(df.withColumn("__ax", x), F.col("__ax"), keys, "__med")
-    dev = F.abs(F.col("__ax") - F.col("__med"))
-    s2 = segment_median(s1, dev, keys, "__mdev")
-    score = F.abs((F.col("__ax") - F.col("__med")) / (F.col("__mdev") + F.lit(C.MAD_EPS)))
-    return s2.withColumn("__mad", score).drop("__ax", "__med", "__mdev")
-
-
-def counterparty_stats(df: DataFrame) -> DataFrame:
-    """J03 + W03 in one aggregate per counterparty; adds ``__offset`` and ``__cpty_n``.
-
-    ``__offset``: 1.0 when the counterparty's summed GBP is within 1.0 of zero
-    (exact decimal sum; all-null amounts sum to 0); null counterparty -> 0.
-    ``__cpty_n``: rows with the same counterparty - 1; null counterparty -> null.
-    """
-    if "counterparty" not in df.columns:
-        return df.withColumns({"__offset": F.lit(0.0), "__cpty_n": F.lit(0.0)})
-    has_amt = "break_amount_gbp" in df.columns
-    aggs = [(F.count(F.lit(1)) - 1).cast("double").alias("__cpty_n")]
-    if has_amt:
-        s = F.coalesce(F.sum(numeric(df, "break_amount_gbp").cast("decimal(38,6)")),
-                       F.lit(0).cast("decimal(38,6)"))
-        aggs.append(F.when(F.abs(s) < F.lit(1.0), F.lit(1.0)).otherwise(F.lit(0.0)).alias("__offset"))
-    stats = df.where(F.col("counterparty").isNotNull()).groupBy("counterparty").agg(*aggs)
-    out = df.join(stats, "counterparty", "left")
-    if has_amt:
-        return out.withColumn("__offset", F.coalesce(F.col("__offset"), F.lit(0.0)))
-    return out.withColumn("__offset", F.lit(0.0))
 
+def mad_table(base: DataFrame, amount: str, keys: Sequence[str],
+              extra: dict[str, str] | None = None) -> DataFrame:
+    """W05 statistics per segment: ``__med`` = median |x|, ``__mdev`` = median of
+    ``||x| - med|``, plus any ``extra`` medians sharing the same keys (one pass)."""
+    vals = {"__med": "__ax", **(extra or {})}
+    b = base.withColumn("__ax", F.abs(F.col(amount)))
+    first = segment_medians(b, vals, keys)
+    dev = _equi_join(b.select(*keys, "__ax"), first.select(*keys, "__med"), keys, keys) \
+        .withColumn("__dev", F.abs(F.col("__ax") - F.col("__med")))
+    second = segment_medians(dev, {"__mdev": "__dev"}, keys)
+    return _equi_join(first, second, keys, keys)
 
-def rolling_counts(df: DataFrame, age: str) -> DataFrame:
-    """W07 + J04: per-entity count of breaks aged <= 7 days; missing -> 1; adds ``__r7``."""
-    if "entity_id" not in df.columns:
-        return df.withColumn("__r7", F.lit(1.0))
-    recent = F.coalesce(F.col(age), F.lit(999.0)) <= F.lit(float(C.RECENT_AGE_DAYS))
-    cnt = (df.where(F.col("entity_id").isNotNull() & recent).groupBy("entity_id")
-           .agg(F.count(F.lit(1)).cast("double").alias("__r7")))
-    out = df.join(cnt, "entity_id", "left")
-    return out.withColumn("__r7", F.coalesce(F.col("__r7"), F.lit(1.0)))
+
+def category_dictionaries(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """W08 for several columns in ONE ranking pass: (feature, value, code)."""
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"),
+                 F.coalesce(F.col(c).cast("string"), F.lit(C.MISSING_CATEGORY)).alias("value"))
+        for c in cols])).alias("__s")).select("__s.feature", "__s.value").distinct()
+    r = running_totals(stacked, ["value"], group_cols=["feature"])
+    return r.select("feature", "value", (F.col("pos") - 1).cast("long").alias("code"))
 
 
 def category_dictionary(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct values (null -> '__MISSING__') numbered 0..n-1.
+    """Sorted distinct values (null -> '__MISSING__') numbered 0..n-1 -> (value, code).
 
-    Returns (value, code) - the persisted encoder of J05 uses the same table.
+    The persisted encoder of J05 uses the same table.
     """
-    vals = df.select(F.coalesce(F.col(col).cast("string"), F.lit(C.MISSING_CATEGORY))
-                     .alias("value")).distinct()
-    r = running_totals(vals, ["value"])
-    return r.select("value", (F.col("pos") - 1).cast("long").alias("code"))
+    return category_dictionaries(df, [col]).select("value", "code")
 
 
 def apply_dictionary(df: DataFrame, col: str, dictionary: DataFrame, out_col: str,
@@ -275,25 +285,65 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
     # feature columns are kept as ``__in_<name>`` for coalesce(input, derived).
     base = _with_row_features(df, row_feats)
 
-    # group features
+    # group features: statistics tables from ONE materialized base, joined back
+    base = materialize(base, "feature-base")
     g = base
-    g = rolling_counts(g, "break_age_days")
-    raw_amt = _raw_amount_name(df)
-    if "asset_class" in cols:
-        pv = numeric(df, raw_amt) if raw_amt else F.lit(None).cast("double")
-        g = amount_percentile(g, pv, "asset_class")
+    if "entity_id" in cols:
+        g = _equi_join(g, entity_recent_table(base), ["entity_id"], ["entity_id"])
+        g = g.withColumn("__r7", F.coalesce(F.col("__r7"), F.lit(1.0)))
     else:
-        g = amount_percentile(g, F.col("break_amount_gbp"), None)
+        g = g.withColumn("__r7", F.lit(1.0))
+    raw_amt = _raw_amount_name(df)
+    pv = "break_amount_gbp"  # resolved amount (equals the raw column whenever it is present)
+    if raw_amt == "break_amount_pence" and "asset_class" in cols:
+        g = g.withColumn("__pv_src", numeric(df, "break_amount_pence"))
+        pv = "__pv_src"
+    group = "asset_class" if "asset_class" in cols else None
+    pt = percentile_table(g if pv == "__pv_src" else base, pv, group)
+    keys_p = ([group] if group else [])
+    g = _equi_join(g, pt, keys_p + [pv], keys_p + ["__pv"])
+    cats = [c for c in ("entity_id", "team_code", "rec_name") if c in cols]
+    if cats:
+        dicts = category_dictionaries(base, cats)
+        for c in cats:
+            d = dicts.where(F.col("feature") == c).select(
+                F.col("value").alias(f"__v_{c}"), F.col("code").cast("double").alias(f"{c}_enc"))
+            g = g.withColumn(f"__k_{c}", F.coalesce(F.col(c).cast("string"), F.lit(C.MISSING_CATEGORY)))
+            g = _equi_join(g, d, [f"__k_{c}"], [f"__v_{c}"])
     for c in ("entity_id", "team_code", "rec_name"):
-        if c in cols:
-            g = apply_dictionary(g, c, category_dictionary(df, c), f"{c}_enc")
-        else:
+        if c not in cats:
             g = g.withColumn(f"{c}_enc", F.lit(None).cast("double"))
-    g = counterparty_stats(g)
+    if "counterparty" in cols:
+        cpt = counterparty_table(base, "break_amount_gbp" if "break_amount_gbp" in cols else None)
+        g = _equi_join(g, cpt, ["counterparty"], ["counterparty"])
+        if "break_amount_gbp" not in cols:
+            g = g.withColumn("__offset", F.lit(0.0))
+        g = g.withColumn("__offset", F.coalesce(F.col("__offset"), F.lit(0.0)))
+    else:
+        g = g.withColumns({"__offset": F.lit(0.0), "__cpty_n": F.lit(0.0)})
     keys = [k for k in C.SEGMENT_KEYS if k in cols]
-    g = mad_score(g, keys)
     seg_keys = keys if len(keys) >= 2 else []
-    g = segment_median(g, F.col("break_age_days"), seg_keys, "__seg_age")
+    if raw_amt is not None:
+        amt_src = raw_amt if raw_amt != "break_amount_gbp" else "break_amount_gbp"
+        if raw_amt == "break_amount_pence":
+            g = g.withColumn("__mad_src", numeric(df, "break_amount_pence"))
+            amt_src = "__mad_src"
+        src = g if amt_src == "__mad_src" else base
+        if keys:
+            extra = {"__seg_age": "break_age_days"} if seg_keys == keys else None
+            mt = mad_table(src, amt_src, keys, extra)
+            g = _equi_join(g, mt, keys, keys)
+        else:
+            mt = mad_table(src.withColumn("__all", F.lit(1)), amt_src, ["__all"])
+            row = mt.select("__med", "__mdev").first()
+            g = g.withColumns({"__med": F.lit(row[0] if row else None).cast("double"),
+                               "__mdev": F.lit(row[1] if row else None).cast("double")})
+        ax = F.abs(F.col(amt_src))
+        g = g.withColumn("__mad", F.abs((ax - F.col("__med")) / (F.col("__mdev") + F.lit(C.MAD_EPS))))
+    else:
+        g = g.withColumn("__mad", F.lit(0.0))
+    if "__seg_age" not in g.columns:
+        g = segment_median(g, F.col("break_age_days"), seg_keys, "__seg_age")
 
     resolved = {
         "rolling_7d_break_count": F.col("__r7"),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import (MATERIALIZE_CONF, ROWS_PER_BUCKET_CONF, conf_int, conf_str,
-                       ensure_checkpoint_dir)
+                       ensure_checkpoint_dir, scratch_path)
 
 DEFAULT_ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 4096
@@ -34,14 +34,23 @@ _K = "__rk_key"
 _B = "__rk_bucket"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder (reliable; survives executor loss)."""
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read it back. Survives executor loss, and
+    later readers prune columns and push filters into the scan.
+
+    ``breaklens.rank.materialize=none`` keeps the lineage instead (recompute).
+    """
     spark = df.sparkSession
-    mode = conf_str(spark, MATERIALIZE_CONF, "checkpoint")
+    mode = conf_str(spark, MATERIALIZE_CONF, "parquet")
     if mode == "none":
         return df
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    if mode == "checkpoint":
+        ensure_checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _literal(value, dtype: T.DataType) -> Column:
@@ -68,11 +77,13 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], sums: Sequence[
     key = F.struct(*[F.col(g) for g in group_cols], *order_cols)
     one = "__rk_one"
     base = df.withColumn(_K, key).withColumn(one, F.lit(1).cast("long"))
-    base = materialize(base)
     n = base.count()
     rpb = rows_per_bucket or conf_int(spark, ROWS_PER_BUCKET_CONF, DEFAULT_ROWS_PER_BUCKET)
     nb = max(1, min(MAX_BUCKETS, math.ceil(n / max(rpb, 1))))
     if nb > 1:
+        # several buckets: the input is read three times (count, sample, rank),
+        # so cut its lineage once instead of recomputing it
+        base = materialize(base, "rank-input")
         frac = min(1.0, SAMPLES_PER_BUCKET * nb / max(n, 1))
         sample = (base.select(_K).sample(False, frac, seed).orderBy(_K).collect())
         m = len(sample)

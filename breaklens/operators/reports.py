@@ -38,7 +38,7 @@ def root_system_top(summary: DataFrame, n: int = 10) -> DataFrame:
     """Per root system (nulls dropped) chains + false closures, top n."""
     return (summary.where(F.col("Root_System").isNotNull())
             .groupBy("Root_System")
-            .agg(F.count("BreakChainID").alias("Total_Chains"),
+            .agg(F.count(F.lit(1)).alias("Total_Chains"),
                  F.count_if("False_Closure").alias("False_Closures"))
             .orderBy(F.desc("Total_Chains"), F.asc("Root_System")).limit(n))
 
@@ -46,7 +46,7 @@ def root_system_top(summary: DataFrame, n: int = 10) -> DataFrame:
 def root_system_full(summary: DataFrame) -> DataFrame:
     """Per root system, null kept as 'Unknown', with FC_Rate."""
     g = summary.groupBy("Root_System").agg(
-        F.count("BreakChainID").alias("Total_Chains"),
+        F.count(F.lit(1)).alias("Total_Chains"),
         F.count_if("False_Closure").alias("False_Closures"),
         F.count_if("Is_Recurring").alias("Recurring"),
         F.count_if("Journal_Used").alias("Journal_Used"),

@@ -40,9 +40,9 @@ def filtered_inputs(fx: Fixtures, start=FULL_START, end=FULL_END):
     return cash, mi
 
 
-def chain_summary(fx: Fixtures, start=FULL_START, end=FULL_END) -> DataFrame:
+def chain_summary(fx: Fixtures, start=FULL_START, end=FULL_END, with_ids: bool = True) -> DataFrame:
     cash, _ = filtered_inputs(fx, start, end)
-    return L.build_chain_summary(cash)
+    return L.build_chain_summary(cash, with_ids)
 
 
 def trade_info(fx: Fixtures, start=FULL_START, end=FULL_END) -> DataFrame:
@@ -50,9 +50,11 @@ def trade_info(fx: Fixtures, start=FULL_START, end=FULL_END) -> DataFrame:
     return L.build_trade_info(mi, rec_order(fx))
 
 
-def final_summary(fx: Fixtures, start=FULL_START, end=FULL_END) -> DataFrame:
+def final_summary(fx: Fixtures, start=FULL_START, end=FULL_END, with_ids: bool = True) -> DataFrame:
+    """J01 final summary; ``with_ids=False`` skips chain numbering for reports
+    that never read BreakChainID (its value cannot change their result)."""
     cash, mi = filtered_inputs(fx, start, end)
-    chains = L.build_chain_summary(cash)
+    chains = L.build_chain_summary(cash, with_ids)
     info = L.build_trade_info(mi, rec_order(fx))
     return L.build_final_summary(chains, info, root_map(fx))
 

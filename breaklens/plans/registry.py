@@ -142,7 +142,7 @@ FROM summary
 """), P1_VIEWS)
 def a05_p1_kpis(fx):
     """Lifecycle KPIs (one row)."""
-    return R.p1_kpis(LP.final_summary(fx))
+    return R.p1_kpis(LP.final_summary(fx, with_ids=False))
 
 
 @register("a06_root_system_top", _p1("""
@@ -152,7 +152,7 @@ ORDER BY "Total_Chains" DESC, "Root_System" LIMIT 10
 """), P1_VIEWS)
 def a06_root_system_top(fx):
     """A06 + T03: top-10 root systems by chains."""
-    return R.root_system_top(LP.final_summary(fx))
+    return R.root_system_top(LP.final_summary(fx, with_ids=False))
 
 
 @register("a07_root_system_full", _p1("""
@@ -165,7 +165,7 @@ FROM summary GROUP BY "Root_System"
 """), P1_VIEWS)
 def a07_root_system_full(fx):
     """Root-system analysis incl. Unknown and FC_Rate."""
-    return R.root_system_full(LP.final_summary(fx))
+    return R.root_system_full(LP.final_summary(fx, with_ids=False))
 
 
 @register("a13_days_active_hist", _p1("""
@@ -179,7 +179,7 @@ FROM b GROUP BY bin, lo, hi
 """), P1_VIEWS)
 def a13_days_active_hist(fx):
     """20-bin histogram of Days_Active over false closures."""
-    return R.days_active_hist(LP.final_summary(fx))
+    return R.days_active_hist(LP.final_summary(fx, with_ids=False))
 
 
 @register("t01_top_false_closures_cli", _p1("""
