@@ -74,11 +74,11 @@ def entity_recent_table(base: DataFrame, age: str = "break_age_days") -> DataFra
 
 def counterparty_table(base: DataFrame, amount: str | None = "break_amount_gbp") -> DataFrame:
     """J03 + W03 in one aggregate: ``__cpty_n`` = rows - 1; ``__offset`` = 1.0 when
-    the summed amount is within 1.0 of zero (exact decimal sum, nulls skipped)."""
+    the summed amount is within 1.0 of zero (exact sum of pence, nulls skipped)."""
     aggs = [(F.count(F.lit(1)) - 1).cast("double").alias("__cpty_n")]
     if amount:
-        s = F.coalesce(F.sum(F.col(amount).cast("decimal(38,6)")), F.lit(0).cast("decimal(38,6)"))
-        aggs.append(F.when(F.abs(s) < F.lit(1.0), F.lit(1.0)).otherwise(F.lit(0.0)).alias("__offset"))
+        s = F.coalesce(F.sum(F.round(F.col(amount) * F.lit(100.0)).cast("long")), F.lit(0))
+        aggs.append(F.when(F.abs(s) < F.lit(100), F.lit(1.0)).otherwise(F.lit(0.0)).alias("__offset"))
     return base.where(F.col("counterparty").isNotNull()).groupBy("counterparty").agg(*aggs)
 
 

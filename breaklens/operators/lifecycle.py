@@ -95,10 +95,15 @@ def build_break_chains(cash: DataFrame) -> DataFrame:
     return j.select(*cash.columns, trade_key().alias("TradeKey"), "BreakChainID")
 
 
-def money_sum(c: Column | str) -> Column:
-    """Order-independent money total: exact decimal sum, reported to the penny."""
+def pence(c: Column | str) -> Column:
+    """Amount in whole pence (long): exact, order-independent to add up."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(F.sum(c.cast("decimal(38,6)")).cast("double"), 2)
+    return F.round(c * F.lit(100.0)).cast("long")
+
+
+def money_sum(c: Column | str) -> Column:
+    """Money total to the penny: a long sum of pence (codegen'd, exact in any order)."""
+    return F.sum(pence(c)).cast("double") / F.lit(100.0)
 
 
 def build_chain_summary(cash: DataFrame, with_ids: bool = True) -> DataFrame:

@@ -30,6 +30,7 @@ from ..session import (MATERIALIZE_CONF, ROWS_PER_BUCKET_CONF, conf_int, conf_st
 DEFAULT_ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 40
+MIN_ROWS_TO_SPREAD = 200_000
 _K = "__rk_key"
 _B = "__rk_bucket"
 
@@ -76,14 +77,17 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], sums: Sequence[
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     key = F.struct(*[F.col(g) for g in group_cols], *order_cols)
     one = "__rk_one"
-    base = df.withColumn(_K, key).withColumn(one, F.lit(1).cast("long"))
+    # The input is read up to three times (count, sample, rank): cut its lineage
+    # once so the upstream plan runs exactly once.
+    base = materialize(df.withColumn(_K, key).withColumn(one, F.lit(1).cast("long")), "rank-input")
     n = base.count()
     rpb = rows_per_bucket or conf_int(spark, ROWS_PER_BUCKET_CONF, DEFAULT_ROWS_PER_BUCKET)
-    nb = max(1, min(MAX_BUCKETS, math.ceil(n / max(rpb, 1))))
+    nb = math.ceil(n / max(rpb, 1))
+    if n >= MIN_ROWS_TO_SPREAD and rows_per_bucket is None:
+        # enough rows to keep every core busy: at least one bucket per core
+        nb = max(nb, min(spark.sparkContext.defaultParallelism, n // (MIN_ROWS_TO_SPREAD // 2)))
+    nb = max(1, min(MAX_BUCKETS, nb))
     if nb > 1:
-        # several buckets: the input is read three times (count, sample, rank),
-        # so cut its lineage once instead of recomputing it
-        base = materialize(base, "rank-input")
         frac = min(1.0, SAMPLES_PER_BUCKET * nb / max(n, 1))
         sample = (base.select(_K).sample(False, frac, seed).orderBy(_K).collect())
         m = len(sample)

@@ -10,12 +10,18 @@ from ..operators import dq as DQ
 from ..operators import features as FT
 from ..operators import labels as LB
 from ..sources.csv import convert_pence
+from ..operators.ranking import materialize
 from ..sources.fixtures import Fixtures
 
 
 def report(fx: Fixtures, supplied_autoclose: bool = False) -> DataFrame:
-    """The MI report with GBP columns (S08); optionally with a supplied autoclose rate."""
-    b = convert_pence(fx["breaks"])
+    """The MI report with GBP columns (S08); optionally with a supplied autoclose rate.
+
+    Written once to the shared folder: DQ, features and labels all read it
+    several times (self-joins and group statistics), a derived view would be
+    recomputed for each.
+    """
+    b = materialize(convert_pence(fx["breaks"]), "report")
     if supplied_autoclose:
         b = b.withColumn("rolling_7d_autoclose_rate", F.col("supplied_autoclose_rate"))
     return b
@@ -103,7 +109,7 @@ f0 AS (
 r7 AS (SELECT entity_id AS r7_entity, CAST(COUNT(*) AS DOUBLE) AS r7 FROM f0
        WHERE entity_id IS NOT NULL AND COALESCE(f_age, 999) <= 7 GROUP BY entity_id),
 cp AS (SELECT counterparty AS cp_cpty, CAST(COUNT(*) - 1 AS DOUBLE) AS cpty_n,
-              CASE WHEN ABS(COALESCE(SUM(CAST(break_amount_gbp AS DECIMAL(38,6))), 0)) < 1.0
+              CASE WHEN ABS(COALESCE(SUM(CAST(ROUND(break_amount_gbp * 100.0) AS BIGINT)), 0)) < 100
                    THEN 1.0 ELSE 0.0 END AS offs
        FROM f0 WHERE counterparty IS NOT NULL GROUP BY counterparty),
 pct AS (
