@@ -16,9 +16,17 @@ def col_(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters Python's ``str.strip()`` treats as whitespace.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003"
+              "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def ustrip(c: ColumnOrName) -> Column:
-    """Remove leading/trailing whitespace of any kind (tabs, NBSP, ...)."""
-    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
+    """Remove leading/trailing whitespace of any kind (tabs, NBSP, ...).
+
+    A character-set trim, not a regex: codegen'd and allocation-free.
+    """
+    return F.btrim(col_(c), F.lit(WHITESPACE))
 
 
 def nan_to_null(c: ColumnOrName) -> Column:
@@ -112,7 +120,17 @@ def flag_or_false(df: DataFrame, name: str) -> Column:
     return F.coalesce(numeric(df, name), F.lit(0.0)) != F.lit(0.0)
 
 
-def days_between(later: Column, earlier: Column) -> Column:
-    """Whole days from ``earlier`` to ``later``, floored (time parts honoured)."""
+def days_between(later: Column, earlier: Column, dates_only: bool = False) -> Column:
+    """Whole days from ``earlier`` to ``later``, floored (time parts honoured).
+
+    ``dates_only`` (both sides are DATE) uses plain ``datediff`` - integer
+    arithmetic instead of a per-row timestamp difference.
+    """
+    if dates_only:
+        return F.datediff(later, earlier)
     secs = F.timestamp_diff("SECOND", earlier.cast("timestamp_ntz"), later.cast("timestamp_ntz"))
     return F.floor(secs / F.lit(86400)).cast("int")
+
+
+def is_date(df: DataFrame, name: str) -> bool:
+    return name in df.columns and isinstance(df.schema[name].dataType, T.DateType)

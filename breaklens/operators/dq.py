@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.expr import clip, days_between, numeric, ustrip
+from ..functions.expr import clip, days_between, is_date, numeric, ustrip
 
 COMPONENTS = ["dq_governance_ok", "dq_age_valid", "dq_amount_nonzero",
               "dq_asset_class_valid", "dq_no_duplicate"]
@@ -36,7 +36,8 @@ def governance_ok(df: DataFrame) -> Column:
 
 def report_age(df: DataFrame) -> Column:
     """Age in days: the supplied column when it has a value, else report - open."""
-    derived = (days_between(F.col("report_date"), F.col("break_open_date"))
+    dates = is_date(df, "report_date") and is_date(df, "break_open_date")
+    derived = (days_between(F.col("report_date"), F.col("break_open_date"), dates)
                if {"report_date", "break_open_date"} <= set(df.columns)
                else F.lit(None).cast("int"))
     if "break_age_days" in df.columns:
@@ -60,9 +61,10 @@ def duplicate_counts(df: DataFrame, key: str = "break_id") -> DataFrame:
 def compute_dq_scores(df: DataFrame) -> DataFrame:
     """Adds dq_governance_ok, dq_age_valid, dq_amount_nonzero, dq_asset_class_valid,
     dq_no_duplicate and dq_score (weighted sum clipped to [0, 1])."""
-    age = report_age(df)
+    out = df.withColumn("__age", report_age(df))
+    age = F.col("__age")
     amt = F.coalesce(amount_for_dq(df), F.lit(0.0))
-    out = df.withColumns({
+    out = out.withColumns({
         "dq_governance_ok": governance_ok(df),
         "dq_age_valid": _flag(F.coalesce((age > 0) & (age < C.DQ_MAX_AGE_DAYS), F.lit(False))),
         "dq_amount_nonzero": _flag(F.abs(amt) > 0) if (
@@ -84,7 +86,7 @@ def compute_dq_scores(df: DataFrame) -> DataFrame:
              + F.col("dq_amount_nonzero") * w["amount_nonzero"]
              + F.col("dq_asset_class_valid") * w["asset_class_valid"]
              + F.col("dq_no_duplicate") * w["no_duplicate"])
-    return out.withColumn("dq_score", clip(score, 0.0, 1.0))
+    return out.withColumn("dq_score", clip(score, 0.0, 1.0)).drop("__age")
 
 
 def dq_summary(df: DataFrame, digits: int = 4) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.expr import days_between, lookup, numeric, num_or_null
+from ..functions.expr import days_between, is_date, lookup, numeric, num_or_null
 from .ranking import exact_quantile_pair, materialize, running_totals
 
 
@@ -205,9 +205,13 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
     last_dt = F.col("last_activity_date") if "last_activity_date" in cols else None
     inp = lambda n: num_or_null(df, n)
 
-    age_derived = days_between(rd, open_dt).cast("double")
+    rd_is_date = report_date_override is None and is_date(df, "report_date")
+    age_derived = days_between(rd if not rd_is_date else F.col("report_date"), open_dt,
+                               rd_is_date and is_date(df, "break_open_date")).cast("double")
     age = F.coalesce(inp("break_age_days"), age_derived)
-    dslm = (F.coalesce(inp("days_since_last_move"), days_between(rd, last_dt).cast("double"))
+    dslm = (F.coalesce(inp("days_since_last_move"),
+                       days_between(rd if not rd_is_date else F.col("report_date"), last_dt,
+                                    rd_is_date and is_date(df, "last_activity_date")).cast("double"))
             if last_dt is not None else inp("days_since_last_move"))
     dom, month = F.dayofmonth(rd), F.month(rd)
     amt = amount_gbp(df)

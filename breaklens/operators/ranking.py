@@ -77,9 +77,7 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], sums: Sequence[
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     key = F.struct(*[F.col(g) for g in group_cols], *order_cols)
     one = "__rk_one"
-    # The input is read up to three times (count, sample, rank): cut its lineage
-    # once so the upstream plan runs exactly once.
-    base = materialize(df.withColumn(_K, key).withColumn(one, F.lit(1).cast("long")), "rank-input")
+    base = df.withColumn(_K, key).withColumn(one, F.lit(1).cast("long"))
     n = base.count()
     rpb = rows_per_bucket or conf_int(spark, ROWS_PER_BUCKET_CONF, DEFAULT_ROWS_PER_BUCKET)
     nb = math.ceil(n / max(rpb, 1))
@@ -88,6 +86,9 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], sums: Sequence[
         nb = max(nb, min(spark.sparkContext.defaultParallelism, n // (MIN_ROWS_TO_SPREAD // 2)))
     nb = max(1, min(MAX_BUCKETS, nb))
     if nb > 1:
+        # several buckets: the input is read again for the sample and the rank,
+        # so cut its lineage once instead of recomputing it twice more
+        base = materialize(base, "rank-input")
         frac = min(1.0, SAMPLES_PER_BUCKET * nb / max(n, 1))
         sample = (base.select(_K).sample(False, frac, seed).orderBy(_K).collect())
         m = len(sample)

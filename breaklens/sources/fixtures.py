@@ -119,7 +119,27 @@ def _braced(sql: str, names: list[str]) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_if_small(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread_if_small(df: DataFrame) -> DataFrame:
+    """Give every core a share of a SMALL table.
+
+    Parquet splits by row group; a file written as one row group is read by one
+    task however many cores there are. Tables below ``maxPartitionBytes x
+    parallelism`` are round-robin spread (a cheap shuffle of little data);
+    larger inputs already split into many tasks and are left alone.
+    """
+    spark = df.sparkSession
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no statistics: leave the scan as it is
+        return df
+    par = spark.sparkContext.defaultParallelism
+    max_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
+    if par > 1 and 2_000_000 <= size < max_bytes * par:
+        return df.repartition(par)
+    return df
 
 
 class Fixtures:
