@@ -96,18 +96,19 @@ def evaluate(df: DataFrame, label: str = "label", prob: str = "false_break_prob"
     """One row per group with auc_roc, f1, average_precision,
     precision_at_10pct, false_negative_rate (rounded) and the confusion counts."""
     g = list(group_cols)
+    if not g:  # one overall group, joined on a constant key (never a cross join)
+        df, g = df.withColumn("__all", F.lit(1)), ["__all"]
     a = auc_ap(df, label, prob, g)
     p = precision_at_top(df, label, prob, id_col, g)
     c = confusion(df, label, prob, g)
     j = _join(_join(a, p, g), c, g)
     r = lambda x: F.bround(F.col(x), digits).alias(x)
-    return j.select(*g, "n", r("auc_roc"), r("f1"), r("average_precision"), r("precision_at_10pct"),
-                    r("false_negative_rate"), "tn", "fp", "fn", "tp")
+    out = j.select(*g, "n", r("auc_roc"), r("f1"), r("average_precision"), r("precision_at_10pct"),
+                   r("false_negative_rate"), "tn", "fp", "fn", "tp")
+    return out.drop("__all") if "__all" in g and not group_cols else out
 
 
 def _join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if not keys:
-        return a.crossJoin(b)  # both sides are single aggregate rows
     rb = b.withColumnsRenamed({k: f"__j_{k}" for k in keys})
     cond = None
     for k in keys:

@@ -57,8 +57,9 @@ def prepare_for_ingest(df: DataFrame, upload_hash: str | None) -> DataFrame:
         month = F.date_format(F.col("report_date").cast("date"), "yyyy-MM")
     else:
         month = F.date_format(F.current_date(), "yyyy-MM")
-    out = out.withColumns({"report_month": month,
-                           "upload_hash": F.lit(upload_hash).cast("string")})
+    h = (F.lit(upload_hash).cast("string") if upload_hash is not None
+         else F.col("upload_hash") if "upload_hash" in out.columns else F.lit(None).cast("string"))
+    out = out.withColumns({"report_month": month, "upload_hash": h})
     missing = {c: F.lit(None).cast(t) for c, t in PLACEHOLDER_TYPES.items() if c not in out.columns}
     return out.withColumns(missing) if missing else out
 
