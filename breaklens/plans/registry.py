@@ -653,3 +653,45 @@ SELECT break_id, analyst_label, analyst_id, model_prediction, asset_class, repor
 def s16_feedback_load(fx):
     """S16 + T04: all feedback, newest first."""
     return FB.load_feedback(STP.feedback(fx))
+
+
+# ───────────────────────────── imputation, anomaly fallback, scoring ─────────────────────────────
+from ..operators import anomaly as AN  # noqa: E402
+from ..operators.scoring import score_breaks  # noqa: E402
+
+# features whose source columns do not exist in the report: null in every row, so dropped by M02
+_NO_SOURCE = ["time_to_coupon", "time_to_ex_div", "rate_reset_proximity", "maturity_proximity"]
+_IMPUTED = [f for f in C.ALL_FEATURES if f not in _NO_SOURCE]
+
+
+def _m02_sql() -> str:
+    cols = ", ".join(f"CAST({('f_' + c) if c in SP._PREFIXED else c} AS DOUBLE) AS {c}" for c in _IMPUTED)
+    fill = ", ".join(f"COALESCE({c}, (SELECT med FROM med WHERE feature = '{c}')) AS {c}" for c in _IMPUTED)
+    return _feat(f""", m AS (SELECT break_id, {cols} FROM feat),
+long AS (UNPIVOT m ON COLUMNS(* EXCLUDE (break_id)) INTO NAME feature VALUE v),
+med AS (SELECT feature, (MAX(CASE WHEN rn = (n - 1) // 2 + 1 THEN v END)
+                         + MAX(CASE WHEN rn = n // 2 + 1 THEN v END)) / 2.0 AS med
+        FROM (SELECT feature, v, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY v) AS rn,
+                     COUNT(*) OVER (PARTITION BY feature) AS n FROM long WHERE v IS NOT NULL) q
+        GROUP BY feature)
+SELECT break_id, {fill} FROM m""")
+
+
+@register("m02_median_impute", _m02_sql(), BREAK_VIEWS)
+def m02_median_impute(fx):
+    """Nulls -> column median; columns without any value are dropped."""
+    imputed, kept = AN.median_impute(SP.feature_matrix_view(fx), C.ALL_FEATURES)
+    return imputed.select("break_id", *kept[()])
+
+
+@register("m03_anomaly_fallback")
+def m03_anomaly_fallback(fx):
+    """Isolation-forest score per asset class scaled to [0.05, 0.95] (random: rows-only check)."""
+    return AN.isolation_forest_fallback(SP.features(fx)).select("break_id", "asset_class",
+                                                                  "false_break_prob")
+
+
+@register("k03_score_breaks")
+def k03_score_breaks(fx):
+    """Per-class scoring (no published model -> fallback) and tiers; other classes Unscored."""
+    return score_breaks(SP.features(fx)).select("break_id", "asset_class", "false_break_prob", "risk_tier")
