@@ -154,11 +154,12 @@ def mad_table(base: DataFrame, amount: str, keys: Sequence[str],
     ``||x| - med|``, plus any ``extra`` medians sharing the same keys (one pass)."""
     vals = {"__med": "__ax", **(extra or {})}
     b = base.withColumn("__ax", F.abs(F.col(amount)))
-    first = segment_medians(b, vals, keys)
+    # small (one row per segment) and read twice below: written once
+    first = materialize(segment_medians(b, vals, keys), "segment-medians")
     dev = _equi_join(b.select(*keys, "__ax"), first.select(*keys, "__med"), keys, keys) \
         .withColumn("__dev", F.abs(F.col("__ax") - F.col("__med")))
     second = segment_medians(dev, {"__mdev": "__dev"}, keys)
-    return _equi_join(first, second, keys, keys)
+    return materialize(_equi_join(first, second, keys, keys), "segment-stats")
 
 
 def category_dictionaries(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -303,12 +304,12 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
         g = g.withColumn("__pv_src", numeric(df, "break_amount_pence"))
         pv = "__pv_src"
     group = "asset_class" if "asset_class" in cols else None
-    pt = percentile_table(g if pv == "__pv_src" else base, pv, group)
+    pt = materialize(percentile_table(g if pv == "__pv_src" else base, pv, group), "percentiles")
     keys_p = ([group] if group else [])
     g = _equi_join(g, pt, keys_p + [pv], keys_p + ["__pv"])
     cats = [c for c in ("entity_id", "team_code", "rec_name") if c in cols]
     if cats:
-        dicts = category_dictionaries(base, cats)
+        dicts = materialize(category_dictionaries(base, cats), "dictionaries")
         for c in cats:
             d = dicts.where(F.col("feature") == c).select(
                 F.col("value").alias(f"__v_{c}"), F.col("code").cast("double").alias(f"{c}_enc"))

@@ -30,7 +30,7 @@ from ..session import (MATERIALIZE_CONF, ROWS_PER_BUCKET_CONF, conf_int, conf_st
 DEFAULT_ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 40
-MIN_ROWS_TO_SPREAD = 200_000
+MIN_ROWS_TO_SPREAD = 2_000_000
 _K = "__rk_key"
 _B = "__rk_bucket"
 
