@@ -31,6 +31,7 @@ DEFAULT_ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 40
 MIN_ROWS_TO_SPREAD = 2_000_000
+EXACT_AGG_MAX_ROWS = 5_000_000
 _K = "__rk_key"
 _B = "__rk_bucket"
 
@@ -65,21 +66,27 @@ def _literal(value, dtype: T.DataType) -> Column:
 
 def running_totals(df: DataFrame, order: Sequence[Column | str], sums: Sequence[str] = (),
                    group_cols: Sequence[str] = (), rows_per_bucket: int | None = None,
-                   seed: int = 17, prefix: str = "cum_") -> DataFrame:
+                   seed: int = 17, prefix: str = "cum_", n_upper: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` within each group, in ascending ``order``.
 
     Adds ``pos`` (1-based position within the group), ``<prefix><s>`` for every
     ``s`` in ``sums``, plus ``group_rows`` / ``group_<s>`` (group totals).
     ``order`` must be unique within a group for a deterministic result (callers
     aggregate to distinct keys first; descending order = negate the value).
+    ``n_upper`` (optional) is a known upper bound on the input rows; when it is
+    small enough for a single bucket the counting job is skipped.
     """
     spark = df.sparkSession
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     key = F.struct(*[F.col(g) for g in group_cols], *order_cols)
     one = "__rk_one"
     base = df.withColumn(_K, key).withColumn(one, F.lit(1).cast("long"))
-    n = base.count()
     rpb = rows_per_bucket or conf_int(spark, ROWS_PER_BUCKET_CONF, DEFAULT_ROWS_PER_BUCKET)
+    if n_upper is not None and rows_per_bucket is None and n_upper < min(rpb, MIN_ROWS_TO_SPREAD):
+        # a known upper bound on the rows already says "one bucket": no counting job
+        n = n_upper
+    else:
+        n = base.count()
     nb = math.ceil(n / max(rpb, 1))
     if n >= MIN_ROWS_TO_SPREAD and rows_per_bucket is None:
         # enough rows to keep every core busy: at least one bucket per core
@@ -143,18 +150,28 @@ def dense_ids(df: DataFrame, key_cols: Sequence[str], order: Sequence[Column | s
     return r.select(*group_cols, *key_cols, (F.col("pos") - 1 + base).cast("long").alias(id_col))
 
 
-def exact_quantile_pair(df: DataFrame, value: str, group_cols: Sequence[str] = ()) -> DataFrame:
+def exact_quantile_pair(df: DataFrame, value: str, group_cols: Sequence[str] = (),
+                        n_upper: int | None = None) -> DataFrame:
     """Exact median per group, the mean of the two middle values (nulls ignored).
 
     Values are first counted per distinct (group, value) - a hot group collapses
     to its distinct values - then located by running totals. Returns
     ``group_cols + [median, n]``.
+
+    With a proven bound ``n_upper <= EXACT_AGG_MAX_ROWS`` on the input rows the
+    built-in exact ``median`` aggregate is used instead (one pass; its per-group
+    value map cannot exceed that bound). ``0.5*lo + 0.5*hi`` equals
+    ``(lo + hi) / 2`` bit for bit, so both paths return the same doubles.
     """
     v = F.col(value).cast("double")
+    if n_upper is not None and n_upper <= EXACT_AGG_MAX_ROWS:
+        clean = df.select(*group_cols, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+        return clean.groupBy(*group_cols).agg(F.median("__v").alias("median"),
+                                              F.count(F.lit(1)).alias("n"))
     vals = (df.select(*group_cols, v.alias("__v"))
             .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
             .groupBy(*group_cols, "__v").agg(F.count(F.lit(1)).alias("__c")))
-    r = running_totals(vals, ["__v"], sums=["__c"], group_cols=group_cols)
+    r = running_totals(vals, ["__v"], sums=["__c"], group_cols=group_cols, n_upper=n_upper)
     n = F.col("group___c")
     lo = F.floor((n - 1) / 2)
     hi = F.floor(n / 2)

@@ -680,7 +680,9 @@ SELECT break_id, {fill} FROM m""")
 @register("m02_median_impute", _m02_sql(), BREAK_VIEWS)
 def m02_median_impute(fx):
     """Nulls -> column median; columns without any value are dropped."""
-    imputed, kept = AN.median_impute(SP.feature_matrix_view(fx), C.ALL_FEATURES)
+    from ..operators.ranking import materialize
+    m = materialize(SP.feature_matrix_view(fx), "impute-input")
+    imputed, kept = AN.median_impute(m, C.ALL_FEATURES, n_upper=m.count())
     return imputed.select("break_id", *kept[()])
 
 
@@ -695,3 +697,46 @@ def m03_anomaly_fallback(fx):
 def k03_score_breaks(fx):
     """Per-class scoring (no published model -> fallback) and tiers; other classes Unscored."""
     return score_breaks(SP.features(fx)).select("break_id", "asset_class", "false_break_prob", "risk_tier")
+
+
+# ───────────────────────────── champion gate over per-class AUCs ─────────────────────────────
+from ..operators import training as TRN  # noqa: E402
+
+
+def _auc_sql(src: str, label: str, prob: str) -> str:
+    return f"""
+SELECT asset_class, CASE WHEN n_pos > 0 AND n_neg > 0 THEN CAST(s2 - CAST(n_pos * (n_pos + 1) AS DECIMAL(38,0)) AS DOUBLE)
+       / (CAST(2.0 AS DOUBLE) * CAST(n_pos AS DOUBLE) * CAST(n_neg AS DOUBLE)) ELSE 0.0 END AS auc
+FROM (SELECT asset_class, MAX(np) AS n_pos, MAX(nn) AS n_neg,
+             SUM(CAST(tp AS DECIMAL(38,0)) * CAST(2 * (cum_tp + cum_fp - tp - fp) + tp + fp + 1 AS DECIMAL(38,0))) AS s2
+      FROM (SELECT *, SUM(tp) OVER w AS cum_tp, SUM(fp) OVER w AS cum_fp,
+                   SUM(tp) OVER (PARTITION BY asset_class) AS np, SUM(fp) OVER (PARTITION BY asset_class) AS nn
+            FROM (SELECT asset_class, {prob} AS p, COUNT_IF({label} = 1) AS tp, COUNT_IF({label} <> 1) AS fp
+                  FROM {src} WHERE {prob} IS NOT NULL AND {label} IS NOT NULL AND asset_class IS NOT NULL
+                  GROUP BY asset_class, {prob}) sc
+            WINDOW w AS (PARTITION BY asset_class ORDER BY p ROWS UNBOUNDED PRECEDING)) r
+      GROUP BY asset_class) a"""
+
+
+@register("m15_champion_gate", _fb(f""",
+new_auc AS ({_auc_sql("scored", "label", "false_break_prob")}),
+prev_auc AS ({_auc_sql("fb", "analyst_label", "model_prediction")})
+SELECT n.asset_class, ROUND_EVEN(p.auc, 4) AS prev_auc, ROUND_EVEN(n.auc, 4) AS new_auc,
+       CASE WHEN p.auc IS NULL OR ROUND_EVEN(p.auc, 4) = 0
+                 OR ROUND_EVEN(n.auc, 4) - COALESCE(ROUND_EVEN(p.auc, 4), 0.0) >= 0.02
+            THEN 'accept' ELSE 'reject' END AS action
+FROM new_auc n LEFT JOIN prev_auc p ON n.asset_class = p.asset_class"""), FB_VIEWS)
+def m15_champion_gate(fx):
+    """Accept a candidate when there is no previous AUC or it improves by >= 0.02.
+
+    Candidates per class: the new AUC of the scored probabilities against the
+    rolled-up labels, the previous AUC of the analysts' recorded predictions.
+    """
+    new = MT.auc_ap(fx["scored"].where(F.col("asset_class").isNotNull())).select(
+        "asset_class", F.bround("auc_roc", 4).alias("new_auc"))
+    fb = STP.feedback(fx).where(F.col("asset_class").isNotNull())
+    prev = MT.auc_ap(fb, "analyst_label", "model_prediction").select(
+        F.col("asset_class").alias("__ac"), F.bround("auc_roc", 4).alias("prev_auc"))
+    j = new.join(prev, F.col("asset_class") == F.col("__ac"), "left").drop("__ac")
+    return j.select("asset_class", "prev_auc", "new_auc",
+                    TRN.gate_action(F.col("prev_auc"), F.col("new_auc")).alias("action"))

@@ -171,7 +171,8 @@ def load_snapshot(spark: SparkSession, root: str, schema: T.StructType = BREAKS_
     vs = _versions(spark, root)
     if not vs:
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(os.path.join(root, f"v={vs[-1]}"))
+    # the fixed schema also types the partition column (an all-null one would read as VOID)
+    return spark.read.schema(schema).parquet(os.path.join(root, f"v={vs[-1]}"))
 
 
 def append_table(df: DataFrame, path: str) -> None:

@@ -49,3 +49,12 @@ def test_row_window_is_partitioned_by_bucket(spark):
     # rows are shuffled by bucket; only the per-bucket totals (<= #buckets rows) meet in one task
     assert "hashpartitioning(__rk_bucket" in plan
     assert plan.count("Exchange SinglePartition") <= 1
+
+
+def test_median_paths_agree_bit_for_bit(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"g": rng.choice(["x", "y"], 400), "v": rng.normal(size=400) * 1e6})
+    df = spark.createDataFrame(pdf)
+    dist = {r["g"]: (r["median"], r["n"]) for r in exact_quantile_pair(df, "v", ["g"]).collect()}
+    agg = {r["g"]: (r["median"], r["n"]) for r in exact_quantile_pair(df, "v", ["g"], n_upper=400).collect()}
+    assert dist == agg
