@@ -112,12 +112,18 @@ def build_chain_summary(cash: DataFrame, with_ids: bool = True) -> DataFrame:
     The chain id is assigned on the aggregated rows (one per chain), so the
     numbering never touches the raw breaks.
     """
-    agg = cash.groupBy("PRODUCT", "TRADE_ID").agg(
+    # per (trade, product, day) first - hot trades fold to their few days - then
+    # hash-partition by trade only: that partitioning serves the chain aggregate
+    # (its keys include the trade) AND the join to the per-trade info, so the
+    # chains are not shuffled again for the join; distinct days need no Expand.
+    daily = cash.groupBy("TRADE_ID", "PRODUCT", "Date").agg(
+        F.count("BREAK").alias("__n"), F.sum(pence("BREAK")).alias("__p"))
+    agg = daily.repartition("TRADE_ID").groupBy("TRADE_ID", "PRODUCT").agg(
         F.min("Date").alias("Start_Date"),
         F.max("Date").alias("End_Date"),
-        F.count_distinct("Date").alias("Days_Active"),
-        F.count("BREAK").alias("Total_Breaks"),
-        money_sum("BREAK").alias("Total_Amount"),
+        F.count("Date").alias("Days_Active"),
+        F.sum("__n").alias("Total_Breaks"),
+        (F.sum("__p").cast("double") / F.lit(100.0)).alias("Total_Amount"),
     )
     out = agg.select(F.col("TRADE_ID").alias("Trade"), F.col("PRODUCT").alias("Product"),
                      "Start_Date", "End_Date", "Days_Active", "Total_Breaks", "Total_Amount",

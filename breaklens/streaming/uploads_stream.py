@@ -33,6 +33,11 @@ def upload_stream(spark: SparkSession, upload_dir: str, columns: list[str]) -> D
     return raw.withColumn("__file", F.input_file_name())
 
 
+def _norm(path):
+    """One spelling per file: ``file:///x`` and ``file:/x`` both become ``/x``."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def _ingest_batch(batch: DataFrame, batch_id: int, snapshot_root: str, log_path: str) -> None:
     spark = batch.sparkSession
     if batch.isEmpty():
@@ -40,9 +45,9 @@ def _ingest_batch(batch: DataFrame, batch_id: int, snapshot_root: str, log_path:
     # one small row per file of this micro-batch (bounded by maxFilesPerTrigger)
     paths = [r["__file"] for r in batch.select("__file").distinct().collect()]
     hashes = (spark.read.format("binaryFile").load(paths)
-              .select(F.col("path").alias("__file"), F.sha2("content", 256).alias("upload_hash")))
-    rows = parse_dates(normalise_columns(normalise_na(batch)))
-    rows = rows.join(F.broadcast(hashes), "__file", "left").drop("__file")
+              .select(_norm(F.col("path")).alias("__fk"), F.sha2("content", 256).alias("upload_hash")))
+    rows = parse_dates(normalise_columns(normalise_na(batch))).withColumn("__fk", _norm(F.col("__file")))
+    rows = rows.join(F.broadcast(hashes), "__fk", "left").drop("__fk", "__file")
     prepared = prepare_for_ingest(rows, None)
     merged = ST.ingest(ST.load_snapshot(spark, snapshot_root), prepared, mode="append")
     ST.write_snapshot(merged, snapshot_root)
