@@ -9,8 +9,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Conf keys owned by this library (read with defaults; never required).
 ROWS_PER_BUCKET_CONF = "breaklens.rank.rowsPerBucket"
@@ -45,8 +46,9 @@ def build_session(master: str | None = None, app: str = "breaklens",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of this session.
 
-    Uses the cluster's ``spark.checkpoint.dir`` when it is set; only when it is
-    unset (local runs, tests) a private scratch folder is created.
+    Uses the cluster's ``spark.checkpoint.dir`` when it is set. Only a local
+    master (tests) may go without: it gets a private scratch folder. On a
+    cluster a machine-local folder would lose rows, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="breaklens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -71,18 +75,59 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: the lineage
+    ends there, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.delete(p, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that
+    functions run in Python workers need no installation there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="breaklens-pkg-"), "breaklens_pkg.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("breaklens", os.path.relpath(full, top)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def cleanup_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables this process wrote. Call only once every
     DataFrame built on them has been consumed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
     while _SCRATCH:
-        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        fs = p.getFileSystem(conf)
-        if fs.exists(p):
-            fs.delete(p, True)
-            n += 1
+        n += bool(_delete(spark, _SCRATCH.pop()))
     return n
 
 
