@@ -127,3 +127,30 @@ def windows(h: np.ndarray, base: np.ndarray, k: int, short: bool = False) -> tup
         term = padded[first + j] * _LANES[j]
         out += term if whole else np.where(j < left, term, np.uint64(0))
     return mix(out), first, wbase
+
+
+def beside(docs, cols: list[str], text_col: str, run, fields: str):
+    """``cols`` of every row, then the new columns that ``run`` makes of Arrow text columns.
+
+    ``run(text)`` yields lists of arrays for consecutive slices of the column.
+    Columns travel under positions, so no name clashes.
+    """
+    from pyspark.sql import functions as F
+
+    own = [docs.schema[c] for c in cols]
+    names = [f"c{i}" for i in range(len(own))]
+    new = [f.split()[0] for f in fields.split(", ")]
+
+    def mapped(batches):
+        for batch in batches:
+            lo = 0
+            for arrays in run(batch.column(batch.num_columns - 1)):
+                n = len(arrays[0])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in batch.columns[:-1]), *arrays],
+                                                 names=[*names, *new])
+                lo += n
+
+    kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, own, strict=True)]
+    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)),
+                      F.col(f"`{text_col}`").alias("_text")).mapInArrow(mapped, ", ".join([*kinds, fields]))
+    return out, names
