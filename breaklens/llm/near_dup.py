@@ -18,6 +18,8 @@ N_BINS = 128
 BAND_ROWS = 4
 #: Members of one block of a bucket, when a bucket's components are compared in full.
 BLOCK = 384
+#: A class of this share of all rows or more (so there are at most so many) is joined by broadcast.
+HOT_SHARE = 1000
 
 
 def _list_array(flat: np.ndarray, base: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -149,7 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     feats = written(shingle_features(docs, id_col, text_col, k, n_bins, band_rows), "oph")
     classes = (feats.where("n_shingles > 0 and id is not null").groupBy("f1", "f2")
-               .agg(F.min("id").alias("rep")))
+               .agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     reps = feats.join(classes.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi")
     members = written(reps.select("id", F.explode("bands").alias("bucket")).distinct()
                       .join(reps.select(F.explode("bands").alias("bucket")).groupBy("bucket")
@@ -185,9 +187,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links.unionByName(more), "a", "b")
     release(members, sets, rest, links, more)
     found = (classes.join(roots, F.col("rep") == F.col("node"), "left")
-             .select("f1", "f2", F.coalesce("root", "rep").alias("found")))
-    return (feats.select("id", "n_shingles", "f1", "f2").join(found, ["f1", "f2"], "left")
-            .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("id")))
+             .select("f1", "f2", F.coalesce("root", "rep").alias("found"), "n"))
+    rows = feats.select("id", "n_shingles", "f1", "f2")
+    large = F.col("n") * HOT_SHARE >= feats.count()  # so at most HOT_SHARE classes
+    hot = F.broadcast(found.where(large).drop("n"))
+    found = (rows.join(hot, ["f1", "f2"])
+             .unionByName(rows.join(hot, ["f1", "f2"], "left_anti")
+                          .join(found.where(~large).drop("n"), ["f1", "f2"], "left")))
+    return (found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("id")))
             .withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
             .select(F.col("id").alias(id_col), "n_shingles", "component_id",
                     F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))

@@ -7,9 +7,20 @@ express the result, ``ORACLE`` has the SQL.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from breaklens.llm import langid, pii, toxicity
+from breaklens.llm.decontaminate import contamination
+from breaklens.llm.html_text import main_text
 from breaklens.llm.near_dup import near_duplicates
+from breaklens.llm.packing import pack
+from breaklens.llm.quality import quality
+from breaklens.llm.sharding import uniform_shards
+from breaklens.llm.token_files import read_token_files, write_token_files
+from breaklens.llm.tokens import encode_texts
+from breaklens.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +32,94 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def id_remainder(column: str, modulus: int):
+    """crc32 of an id as text, modulo ``modulus`` (null for a null id)."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    seen = docs.where(id_remainder("doc_id", 4) != 2).select("doc_id", "text", "lang")
+    models = langid.calibrated(langid.train(seen), seen, "doc_id", "lang", "text")
+    found = langid.identify(docs, models)
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens; one row per piece."""
+    ids = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pack(ids, "doc_id").select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equal counts, uniformly shuffled."""
+    placed = uniform_shards(table(spark, sf_dir, "documents"), 24, ["doc_id", "text"])
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return placed.select(
+        "doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(id_remainder("doc_id", 5) != 0).select("doc_id", "toxic")
+    model = toxicity.train(docs.join(labels, "doc_id"), "toxic")
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    return toxicity.toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of all documents lie in verbatim benchmark windows."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "longest")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weakly supervised quality of all documents."""
+    return quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "quality")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written to the shared folder and read back."""
+    folder = scratch_path(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return main_text(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_template")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *(pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
+    "op2_language_id": op2_language_id,
+    "op3_packing": op3_packing,
+    "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
+    "op8_token_files": op8_token_files,
+    "op9_html_text": op9_html_text,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {}
