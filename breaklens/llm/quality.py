@@ -108,16 +108,18 @@ def rules() -> dict[str, Column]:
     symbols, upper, loud = F.col("n_symbols"), F.col("n_upper"), F.col("n_loud")
     return {
         "length": _vote(n < 10, n >= 40),
-        "repeats": _vote(F.col("n_repeat_words") * 100 > n * 15, F.col("n_repeat_words") * 100 <= n * 3),
-        "dup_lines": _vote(F.col("n_dup_lines") * 100 > lines * 30, (lines > 1) & (F.col("n_dup_lines") == 0)),
+        "repeats": _vote(F.col("n_repeat_words") * 100 > n * 20, F.col("n_repeat_words") * 100 <= n * 3),
+        "dup_lines": _vote(F.col("n_dup_lines") * 100 > lines * 50, (lines > 1) & (F.col("n_dup_lines") == 0)),
         "symbols": _vote(symbols * 100 > n * 15, symbols * 100 <= n * 5),
+        "plain": _vote((letters + F.col("n_digits")) * 100 < F.col("word_chars") * 88,
+                       (letters + F.col("n_digits")) * 100 >= F.col("word_chars") * 93),
         "upper": _vote(upper * 100 > letters * 35, upper * 100 <= letters * 15),
         "loud": _vote(loud * 100 > n * 15, loud * 100 <= n * 4),
         "word_length": _vote((F.col("word_chars") > n * 13) | (F.col("word_chars") * 2 < n * 5),
                              (F.col("word_chars") >= n * 3) & (F.col("word_chars") <= n * 10)),
         "letter_words": _vote(F.col("n_letter_words") * 100 < n * 70, F.col("n_letter_words") * 100 >= n * 90),
         "digits": _vote(F.col("n_digits") * 100 > letters * 30, F.col("n_digits") * 100 <= letters * 8),
-        "full_lines": _vote((lines > 0) & (F.col("n_full_lines") * 100 < lines * 20),
+        "full_lines": _vote((lines >= 3) & (F.col("n_full_lines") * 100 < lines * 20),
                             F.col("n_full_lines") * 100 >= lines * 50),
         "variety": _vote((n >= 50) & (F.col("n_distinct_words") * 100 < n * 20),
                          F.col("n_distinct_words") * 100 >= n * 35),
@@ -128,41 +130,47 @@ class LabelModel:
     """Votes given the hidden class, independent of one another, fitted by EM to vote patterns.
 
     ``table[j, y, v]`` is the probability that rule j votes v (bad, good,
-    abstains) on a document of class y (0 bad, 1 good). Pseudo-counts keep
-    every rule better than chance at the start; patterns carry their counts,
-    so the fit covers every document and costs as much as there are patterns
-    (at most 3 to the number of rules).
+    abstains) on a document of class y (0 bad, 1 good). Each rule looks for one
+    defect, which bounds what its votes may say: a bad vote is evidence of
+    ``least_bad`` to one at least, a good vote of ``most_good`` to one at most
+    and never against the document. Patterns carry their counts, so the fit
+    covers every document and costs as much as there are patterns (at most 3
+    to the number of rules).
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior_good: float = 0.85, accuracy: float = 0.8,
-                 pseudo: float = 2.0, rounds: int = 100, tolerance: float = 1e-7) -> None:
-        m = patterns.shape[1] if patterns.size else 0
-        self.good = prior_good
-        start = np.array([[accuracy * 0.6, (1 - accuracy) * 0.6, 0.4], [(1 - accuracy) * 0.2, accuracy, 0.2]])
-        start /= start.sum(axis=1, keepdims=True)
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior_good: float = 0.85, least_bad: float = 4.0,
+                 most_good: float = 1.3, pseudo: float = 2.0, rounds: int = 200, tolerance: float = 1e-6) -> None:
+        m = patterns.shape[1]
+        self.good, self._bounds = prior_good, (math.log(least_bad), math.log(most_good))
+        start = np.array([[0.25, 0.60, 0.15], [0.02, 0.75, 0.23]])
         self.table = np.tile(start, (m, 1, 1))
         if not len(counts):
             return
         seen = np.stack([patterns == v for v in range(3)], axis=2).astype(float)  # pattern, rule, vote
-        before = -math.inf
         for _ in range(rounds):
-            score = np.einsum("pjv,jyv->py", seen, np.log(self.table)) + np.log([1 - self.good, self.good])
-            top = score.max(axis=1, keepdims=True)
-            both = np.exp(score - top)
-            now = float((counts * (np.log(both.sum(axis=1)) + top[:, 0])).sum())
-            post = both / both.sum(axis=1, keepdims=True) * counts[:, None]
+            odds = np.einsum("pjv,jv->p", seen, self.evidence()) + math.log(self.good / (1 - self.good))
+            good = 1 / (1 + np.exp(-odds))
+            post = np.stack([1 - good, good], axis=1) * counts[:, None]
             self.good = float((post[:, 1].sum() + pseudo * prior_good) / (counts.sum() + pseudo))
+            before = self.table
             self.table = np.einsum("pjv,py->jyv", seen, post) + pseudo * start
             self.table /= self.table.sum(axis=2, keepdims=True)
-            if now - before < tolerance * abs(now):
+            if abs(self.table - before).max() < tolerance:
                 break
-            before = now
+
+    def evidence(self) -> np.ndarray:
+        """Log likelihood ratio, good to bad, of each rule's votes."""
+        bad, good = self._bounds
+        gain = np.log(self.table[:, 1]) - np.log(self.table[:, 0])
+        gain[:, 0] = np.minimum(gain[:, 0], -bad)
+        gain[:, 1] = np.clip(gain[:, 1], 0, good)
+        gain[:, 2] = np.clip(gain[:, 2], -good, good)
+        return gain
 
     def posterior(self, votes: list[Column]) -> Column:
         """Probability that a document is good, from its votes."""
         odds = F.lit(math.log(self.good) - math.log(1 - self.good))
-        for j, vote in enumerate(votes):
-            gain = np.log(self.table[j, 1]) - np.log(self.table[j, 0])
+        for vote, gain in zip(votes, self.evidence(), strict=True):
             odds = odds + F.when(vote == 0, float(gain[0])).when(vote == 1, float(gain[1])).otherwise(float(gain[2]))
         return 1 / (1 + F.exp(-odds))
 
@@ -176,7 +184,7 @@ def fit_rules(counts: DataFrame) -> LabelModel:
     votes = _votes()
     patterns = counts.withColumns(votes).groupBy(*votes).count().collect()  # at most 3 ** len(votes) rows
     patterns.sort()
-    return LabelModel(np.array([r[:-1] for r in patterns]), np.array([r[-1] for r in patterns], float))
+    return LabelModel(np.array([r[:-1] for r in patterns], int).reshape(-1, len(votes)), np.array([r[-1] for r in patterns], float))
 
 
 def _decided(counts: DataFrame, model: LabelModel, threshold: float) -> DataFrame:

@@ -84,7 +84,7 @@ class FactorizationMachine:
 
 
 def fit(texts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: np.ndarray, bits: int = TERM_BITS,
-        factors: int = FACTORS, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 2e-4,
+        factors: int = FACTORS, steps: int = 600, batch: int = 64, rate: float = 0.1, decay: float = 2e-4,
         seed: int = 5) -> FactorizationMachine:
     """Fits by AdaGrad on the weighted log loss; a fifth of the rows, kept out, calibrates the score."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -104,25 +104,30 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: n
         base = np.concatenate([[0], np.cumsum([len(texts[i][0]) for i in rows])])
         return (np.concatenate([texts[i][0] for i in rows]), np.concatenate([texts[i][1] for i in rows]), base)
 
-    for _ in range(epochs):
+    done = 0
+    while done < steps:
         train = rng.permutation(train)
         for lo in range(0, len(train), batch):
+            done += 1
             rows = train[lo:lo + batch]
             term, value, base = gather(rows)
             z, mixed = fm.raw(term, value, base)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[rows]) * (weight[rows] / mean)
             who = np.repeat(np.arange(len(rows)), np.diff(base))
-            e = (err[who] * value).astype(np.float32)
-            used, inverse = np.unique(term, return_inverse=True)
-            step = np.bincount(inverse, weights=e, minlength=len(used)) / len(rows) + decay * fm.linear[used]
+            # sums over equal terms: sorted by term, one segment each
+            order = np.argsort(term, kind="stable")
+            sorted_term = term[order]
+            first = np.flatnonzero(np.concatenate([[True], sorted_term[1:] != sorted_term[:-1]]))
+            used, who = sorted_term[first], who[order]
+            x = value[order][:, None]
+            e = (err[who] / len(rows)).astype(np.float32)[:, None] * x
+            inner = mixed.astype(np.float32)[who] - fm.factors[sorted_term] * x
+            step = np.add.reduceat(e[:, 0], first) + decay * fm.linear[used]
             g_lin[used] += step * step
-            fm.linear[used] -= (rate * step / np.sqrt(g_lin[used])).astype(np.float32)
-            inner = mixed[who] - fm.factors[term] * value[:, None]
-            for f in range(factors):
-                step = (np.bincount(inverse, weights=e * inner[:, f], minlength=len(used)) / len(rows)
-                        + decay * fm.factors[used, f])
-                g_fac[used, f] += step * step
-                fm.factors[used, f] -= (rate * 0.3 * step / np.sqrt(g_fac[used, f])).astype(np.float32)
+            fm.linear[used] -= rate * step / np.sqrt(g_lin[used])
+            step = np.add.reduceat(e * inner, first, axis=0) + decay * fm.factors[used]
+            g_fac[used] += step * step
+            fm.factors[used] -= 0.3 * rate * step / np.sqrt(g_fac[used])
             step = float(err.mean())
             g_bias += step * step
             fm.bias -= rate * step / np.sqrt(g_bias)
