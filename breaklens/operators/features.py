@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.expr import days_between, is_date, lookup, numeric, num_or_null
-from .ranking import EXACT_AGG_MAX_ROWS, exact_quantile_pair, materialize, running_totals
+from ..functions.expr import days_between, is_date, lookup, money_sum, numeric, num_or_null
+from .ranking import exact_quantile_pair, materialize, running_totals
 
 
 def _any_null(keys: Sequence[str]) -> Column:
@@ -74,16 +74,15 @@ def entity_recent_table(base: DataFrame, age: str = "break_age_days") -> DataFra
 
 def counterparty_table(base: DataFrame, amount: str | None = "break_amount_gbp") -> DataFrame:
     """J03 + W03 in one aggregate: ``__cpty_n`` = rows - 1; ``__offset`` = 1.0 when
-    the summed amount is within 1.0 of zero (exact sum of pence, nulls skipped)."""
+    the summed amount is within 1.0 of zero (exact decimal sum, nulls skipped)."""
     aggs = [(F.count(F.lit(1)) - 1).cast("double").alias("__cpty_n")]
     if amount:
-        s = F.coalesce(F.sum(F.round(F.col(amount) * F.lit(100.0)).cast("long")), F.lit(0))
-        aggs.append(F.when(F.abs(s) < F.lit(100), F.lit(1.0)).otherwise(F.lit(0.0)).alias("__offset"))
+        s = F.coalesce(money_sum(amount), F.lit(0.0))
+        aggs.append(F.when(F.abs(s) < F.lit(1.0), F.lit(1.0)).otherwise(F.lit(0.0)).alias("__offset"))
     return base.where(F.col("counterparty").isNotNull()).groupBy("counterparty").agg(*aggs)
 
 
-def percentile_table(base: DataFrame, value: str, group: str | None,
-                     n_upper: int | None = None) -> DataFrame:
+def percentile_table(base: DataFrame, value: str, group: str | None) -> DataFrame:
     """(group, value) -> average-method percentile rank within the group.
 
     pct = (rows below + (ties + 1) / 2) / non-null rows of the group.
@@ -91,7 +90,7 @@ def percentile_table(base: DataFrame, value: str, group: str | None,
     keys = [group] if group else []
     vals = (base.where(F.col(value).isNotNull() & ~_any_null(keys))
             .groupBy(*keys, F.col(value).alias("__pv")).agg(F.count(F.lit(1)).alias("__pc")))
-    r = running_totals(vals, ["__pv"], sums=["__pc"], group_cols=keys, n_upper=n_upper)
+    r = running_totals(vals, ["__pv"], sums=["__pc"], group_cols=keys)
     pct = (F.col("cum___pc") - F.col("__pc") + (F.col("__pc") + 1) / 2.0) / F.col("group___pc")
     return r.select(*keys, "__pv", pct.alias("amount_percentile"))
 
@@ -104,8 +103,7 @@ def amount_percentile(df: DataFrame, value: Column, group: str | None) -> DataFr
     return _equi_join(base, t, keys + ["__pval"], keys + ["__pv"]).drop("__pval")
 
 
-def segment_medians(base: DataFrame, values: dict[str, str], keys: Sequence[str],
-                    n_upper: int | None = None) -> DataFrame:
+def segment_medians(base: DataFrame, values: dict[str, str], keys: Sequence[str]) -> DataFrame:
     """Exact medians of several columns per segment in ONE ranking pass.
 
     ``values`` maps output name -> column. Rows with a null key are excluded;
@@ -117,8 +115,7 @@ def segment_medians(base: DataFrame, values: dict[str, str], keys: Sequence[str]
                                              F.col(c).cast("double").alias("__val"))
                                    for n, c in values.items()])).alias("__s"))
     long = stacked.select(*keys, F.col("__s.__name").alias("__name"), F.col("__s.__val").alias("__val"))
-    med = exact_quantile_pair(long, "__val", list(keys) + ["__name"],
-                              n_upper * len(values) if n_upper is not None else None)
+    med = exact_quantile_pair(long, "__val", list(keys) + ["__name"])
     wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, F.col("median"))).alias(n)
                                     for n in names])
     return wide
@@ -152,31 +149,26 @@ def _equi_join(left: DataFrame, right: DataFrame, lkeys: Sequence[str], rkeys: S
 
 
 def mad_table(base: DataFrame, amount: str, keys: Sequence[str],
-              extra: dict[str, str] | None = None, n_upper: int | None = None) -> DataFrame:
+              extra: dict[str, str] | None = None) -> DataFrame:
     """W05 statistics per segment: ``__med`` = median |x|, ``__mdev`` = median of
     ``||x| - med|``, plus any ``extra`` medians sharing the same keys (one pass)."""
     vals = {"__med": "__ax", **(extra or {})}
     b = base.withColumn("__ax", F.abs(F.col(amount)))
-    # small (one row per segment) and read twice below: written once
-    big = n_upper is None or n_upper > EXACT_AGG_MAX_ROWS
-    first = segment_medians(b, vals, keys, n_upper)
-    if big:  # the rank-selection result is read twice below: written once
-        first = materialize(first, "segment-medians")
+    # one row per segment, read twice below: written once
+    first = materialize(segment_medians(b, vals, keys), "segment-medians")
     dev = _equi_join(b.select(*keys, "__ax"), first.select(*keys, "__med"), keys, keys) \
         .withColumn("__dev", F.abs(F.col("__ax") - F.col("__med")))
-    second = segment_medians(dev, {"__mdev": "__dev"}, keys, n_upper)
-    stats = _equi_join(first, second, keys, keys)
-    return materialize(stats, "segment-stats") if big else stats
+    second = segment_medians(dev, {"__mdev": "__dev"}, keys)
+    return materialize(_equi_join(first, second, keys, keys), "segment-stats")
 
 
-def category_dictionaries(df: DataFrame, cols: Sequence[str], n_upper: int | None = None) -> DataFrame:
+def category_dictionaries(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """W08 for several columns in ONE ranking pass: (feature, value, code)."""
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"),
                  F.coalesce(F.col(c).cast("string"), F.lit(C.MISSING_CATEGORY)).alias("value"))
         for c in cols])).alias("__s")).select("__s.feature", "__s.value").distinct()
-    r = running_totals(stacked, ["value"], group_cols=["feature"],
-                       n_upper=n_upper * len(cols) if n_upper is not None else None)
+    r = running_totals(stacked, ["value"], group_cols=["feature"])
     return r.select("feature", "value", (F.col("pos") - 1).cast("long").alias("code"))
 
 
@@ -300,7 +292,6 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
 
     # group features: statistics tables from ONE materialized base, joined back
     base = materialize(base, "feature-base")
-    n_rows = base.count()  # footer-only count of the written base; bounds every statistic below
     g = base
     if "entity_id" in cols:
         g = _equi_join(g, entity_recent_table(base), ["entity_id"], ["entity_id"])
@@ -313,12 +304,12 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
         g = g.withColumn("__pv_src", numeric(df, "break_amount_pence"))
         pv = "__pv_src"
     group = "asset_class" if "asset_class" in cols else None
-    pt = percentile_table(g if pv == "__pv_src" else base, pv, group, n_rows)
+    pt = percentile_table(g if pv == "__pv_src" else base, pv, group)
     keys_p = ([group] if group else [])
     g = _equi_join(g, pt, keys_p + [pv], keys_p + ["__pv"])
     cats = [c for c in ("entity_id", "team_code", "rec_name") if c in cols]
     if cats:
-        dicts = category_dictionaries(base, cats, n_rows)
+        dicts = category_dictionaries(base, cats)
         for c in cats:
             d = dicts.where(F.col("feature") == c).select(
                 F.col("value").alias(f"__v_{c}"), F.col("code").cast("double").alias(f"{c}_enc"))
@@ -345,10 +336,10 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
         src = g if amt_src == "__mad_src" else base
         if keys:
             extra = {"__seg_age": "break_age_days"} if seg_keys == keys else None
-            mt = mad_table(src, amt_src, keys, extra, n_rows)
+            mt = mad_table(src, amt_src, keys, extra)
             g = _equi_join(g, mt, keys, keys)
         else:
-            mt = mad_table(src.withColumn("__all", F.lit(1)), amt_src, ["__all"], None, n_rows)
+            mt = mad_table(src.withColumn("__all", F.lit(1)), amt_src, ["__all"])
             row = mt.select("__med", "__mdev").first()
             g = g.withColumns({"__med": F.lit(row[0] if row else None).cast("double"),
                                "__mdev": F.lit(row[1] if row else None).cast("double")})

@@ -1,14 +1,13 @@
 """Exact, distributed ranks and running totals.
 
 Spark's ``Window.orderBy`` without ``partitionBy`` moves every row into ONE
-task. The operators here avoid that:
-
-1. the sort key (group columns first, then order columns) is sampled once and
-   a bounded list of split points is taken to the driver;
-2. every row gets a bucket number that depends on its key only
-   (``size(filter(splits, s -> s <= key))``), so ties never straddle buckets
-   and re-running a task reproduces the same bucket;
-3. per-(group, bucket) totals - at most ``#groups + #buckets`` rows - give the
+task. The operators here avoid that, with one plan at every size:
+
+1. ``repartitionByRange`` deals the rows out by their sort key (group columns
+   first, then order columns); equal keys share a bucket, and a bucket is the
+   number of its partition. The dealt rows are written once, so totals and
+   ranks read the same buckets;
+2. per-(group, bucket) totals - at most ``#groups + #buckets`` rows - give the
    exclusive offsets; the window then runs per (group, bucket).
 
 Inputs are expected to be *aggregated first* (one row per distinct key with a
@@ -17,22 +16,13 @@ weight), which removes hot keys before anything is shuffled by value.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import (MATERIALIZE_CONF, ROWS_PER_BUCKET_CONF, conf_int, conf_str,
-                       ensure_checkpoint_dir, scratch_path)
+from ..session import MATERIALIZE_CONF, conf_str, ensure_checkpoint_dir, scratch_path, written
 
-DEFAULT_ROWS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 4096
-SAMPLES_PER_BUCKET = 40
-MIN_ROWS_TO_SPREAD = 2_000_000
-EXACT_AGG_MAX_ROWS = 5_000_000
-_K = "__rk_key"
 _B = "__rk_bucket"
 
 
@@ -55,63 +45,23 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _literal(value, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.StructType):
-        if value is None:
-            return F.lit(None).cast(dtype)
-        return F.struct(*[_literal(value[i], f.dataType).alias(f.name)
-                          for i, f in enumerate(dtype.fields)])
-    return F.lit(value).cast(dtype)
-
-
 def running_totals(df: DataFrame, order: Sequence[Column | str], sums: Sequence[str] = (),
-                   group_cols: Sequence[str] = (), rows_per_bucket: int | None = None,
-                   seed: int = 17, prefix: str = "cum_", n_upper: int | None = None) -> DataFrame:
+                   group_cols: Sequence[str] = (), buckets: int | None = None,
+                   prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of ``sums`` within each group, in ascending ``order``.
 
     Adds ``pos`` (1-based position within the group), ``<prefix><s>`` for every
     ``s`` in ``sums``, plus ``group_rows`` / ``group_<s>`` (group totals).
     ``order`` must be unique within a group for a deterministic result (callers
     aggregate to distinct keys first; descending order = negate the value).
-    ``n_upper`` (optional) is a known upper bound on the input rows; when it is
-    small enough for a single bucket the counting job is skipped.
+    ``buckets`` defaults to the session's shuffle partitions.
     """
-    spark = df.sparkSession
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    key = F.struct(*[F.col(g) for g in group_cols], *order_cols)
     one = "__rk_one"
-    base = df.withColumn(_K, key).withColumn(one, F.lit(1).cast("long"))
-    rpb = rows_per_bucket or conf_int(spark, ROWS_PER_BUCKET_CONF, DEFAULT_ROWS_PER_BUCKET)
-    if n_upper is not None and rows_per_bucket is None and n_upper < min(rpb, MIN_ROWS_TO_SPREAD):
-        # a known upper bound on the rows already says "one bucket": no counting job
-        n = n_upper
-    else:
-        n = base.count()
-    nb = math.ceil(n / max(rpb, 1))
-    if n >= MIN_ROWS_TO_SPREAD and rows_per_bucket is None:
-        # enough rows to keep every core busy: at least one bucket per core
-        nb = max(nb, min(spark.sparkContext.defaultParallelism, n // (MIN_ROWS_TO_SPREAD // 2)))
-    nb = max(1, min(MAX_BUCKETS, nb))
-    if nb > 1:
-        # several buckets: the input is read again for the sample and the rank,
-        # so cut its lineage once instead of recomputing it twice more
-        base = materialize(base, "rank-input")
-        frac = min(1.0, SAMPLES_PER_BUCKET * nb / max(n, 1))
-        sample = (base.select(_K).sample(False, frac, seed).orderBy(_K).collect())
-        m = len(sample)
-        splits = []
-        if m:
-            for i in range(1, nb):
-                v = sample[min(m - 1, (i * m) // nb)][0]
-                if not splits or splits[-1] != v:
-                    splits.append(v)
-        kt = base.schema[_K].dataType
-        arr = F.array(*[_literal(s, kt) for s in splits]) if splits else None
-        bucket = (F.size(F.filter(arr, lambda s: s <= F.col(_K))) if arr is not None
-                  else F.lit(0))
-    else:
-        bucket = F.lit(0)
-    b = base.withColumn(_B, bucket.cast("int"))
+    keys = {f"__rk_o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (df.withColumns(keys | {one: F.lit(1).cast("long")})
+             .repartitionByRange(n, *group_cols, *keys).withColumn(_B, F.spark_partition_id()))
+    b = written(dealt, "rank-input")
     vals = [one] + list(sums)
     totals = b.groupBy(*group_cols, _B).agg(*[F.sum(v).alias(v) for v in vals])
     gw = Window.partitionBy(*group_cols).orderBy(_B)
@@ -122,13 +72,13 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], sums: Sequence[
                      F.lit(0)).alias(f"__off_{v}") for v in vals],
         *[F.sum(v).over(gall).alias(f"__tot_{v}") for v in vals],
     )
-    w = (Window.partitionBy(*group_cols, _B).orderBy(_K)
+    w = (Window.partitionBy(*group_cols, _B).orderBy(*keys)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = b.select("*", *[F.sum(v).over(w).alias(f"__run_{v}") for v in vals])
-    keys = list(group_cols) + [_B]
-    offs = offs.withColumnsRenamed({k: f"__ok_{k}" for k in keys})
+    on = list(group_cols) + [_B]
+    offs = offs.withColumnsRenamed({k: f"__ok_{k}" for k in on})
     cond = None
-    for k in keys:
+    for k in on:
         e = F.col(k).eqNullSafe(F.col(f"__ok_{k}"))
         cond = e if cond is None else cond & e
     j = ranked.join(offs, cond, "left")
@@ -150,28 +100,18 @@ def dense_ids(df: DataFrame, key_cols: Sequence[str], order: Sequence[Column | s
     return r.select(*group_cols, *key_cols, (F.col("pos") - 1 + base).cast("long").alias(id_col))
 
 
-def exact_quantile_pair(df: DataFrame, value: str, group_cols: Sequence[str] = (),
-                        n_upper: int | None = None) -> DataFrame:
+def exact_quantile_pair(df: DataFrame, value: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact median per group, the mean of the two middle values (nulls ignored).
 
     Values are first counted per distinct (group, value) - a hot group collapses
     to its distinct values - then located by running totals. Returns
     ``group_cols + [median, n]``.
-
-    With a proven bound ``n_upper <= EXACT_AGG_MAX_ROWS`` on the input rows the
-    built-in exact ``median`` aggregate is used instead (one pass; its per-group
-    value map cannot exceed that bound). ``0.5*lo + 0.5*hi`` equals
-    ``(lo + hi) / 2`` bit for bit, so both paths return the same doubles.
     """
     v = F.col(value).cast("double")
-    if n_upper is not None and n_upper <= EXACT_AGG_MAX_ROWS:
-        clean = df.select(*group_cols, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-        return clean.groupBy(*group_cols).agg(F.median("__v").alias("median"),
-                                              F.count(F.lit(1)).alias("n"))
     vals = (df.select(*group_cols, v.alias("__v"))
             .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
             .groupBy(*group_cols, "__v").agg(F.count(F.lit(1)).alias("__c")))
-    r = running_totals(vals, ["__v"], sums=["__c"], group_cols=group_cols, n_upper=n_upper)
+    r = running_totals(vals, ["__v"], sums=["__c"], group_cols=group_cols)
     n = F.col("group___c")
     lo = F.floor((n - 1) / 2)
     hi = F.floor(n / 2)
