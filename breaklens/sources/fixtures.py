@@ -33,10 +33,9 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 """
 
 VIEW_SQL["mi"] = """\
-SELECT l_shipdate AS mi_date, 'T' || CAST(l_orderkey AS STRING) AS trade_ref, rec,
+SELECT l_shipdate AS mi_date, CASE WHEN l_orderkey % 6 = 0 THEN 'U' ELSE 'T' END || CAST(l_orderkey AS STRING) AS trade_ref, rec,
  CASE WHEN l_returnflag = 'R' THEN 'J' END AS journals_posted, CAST(l_quantity * 2 AS INT) AS age_days
 FROM lineitem JOIN rec_dim ON rec_no = (l_partkey + l_suppkey) % 24
-WHERE l_orderkey % 6 <> 0
 """
 
 VIEW_SQL["breaks"] = """\
@@ -62,7 +61,8 @@ SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || CASE
  CASE WHEN l_partkey % 9 IN (0, 1) THEN l_orderkey % 30 END AS div_ex_date_proximity,
  CAST(l_orderkey % 20 AS DOUBLE) / 20 AS supplied_autoclose_rate
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN (SELECT 1 AS sgn UNION ALL SELECT -1 AS sgn) m ON m.sgn = 1 OR l_orderkey % 50 = 0
+JOIN (SELECT 0 AS mirrored, 1 AS sgn UNION ALL SELECT 1 AS mirrored, 1 AS sgn UNION ALL SELECT 1 AS mirrored, -1 AS sgn) m
+ ON m.mirrored = CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE 0 END
 """
 
 VIEW_SQL["scored"] = """\
@@ -78,7 +78,8 @@ VIEW_SQL["feedback"] = """\
 SELECT break_id, CASE WHEN break_amount_pence % 3 = 0 THEN 0 ELSE 1 END AS analyst_label,
  'analyst_' || CAST(break_amount_pence % 5 AS STRING) AS analyst_id, false_break_prob AS model_prediction,
  CASE WHEN asset_class = 'XXX' THEN NULL ELSE asset_class END AS asset_class, k AS pass_no
-FROM scored JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) p ON (break_amount_pence % 10 = 0 AND k = 1) OR break_amount_pence % 50 = 0
+FROM scored JOIN (SELECT 0 AS again, 1 AS k UNION ALL SELECT 1 AS again, 1 AS k UNION ALL SELECT 1 AS again, 2 AS k) p
+ ON p.again = CASE WHEN break_amount_pence % 50 = 0 THEN 1 ELSE 0 END
 """
 _IDENT = re.compile(r"\b([a-z_][a-z0-9_]*)\b")
 
@@ -119,27 +120,7 @@ def _braced(sql: str, names: list[str]) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_if_small(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread_if_small(df: DataFrame) -> DataFrame:
-    """Give every core a share of a SMALL table.
-
-    Parquet splits by row group; a file written as one row group is read by one
-    task however many cores there are. Tables below ``maxPartitionBytes x
-    parallelism`` are round-robin spread (a cheap shuffle of little data);
-    larger inputs already split into many tasks and are left alone.
-    """
-    spark = df.sparkSession
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no statistics: leave the scan as it is
-        return df
-    par = spark.sparkContext.defaultParallelism
-    max_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
-    if par > 1 and 2_000_000 <= size < max_bytes * par:
-        return df.repartition(par)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 class Fixtures:
