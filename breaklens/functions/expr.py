@@ -40,6 +40,16 @@ def to_number(c: ColumnOrName) -> Column:
     return nan_to_null(ustrip(col_(c).cast("string")).try_cast("double"))
 
 
+def money(c: ColumnOrName) -> Column:
+    """An amount as an exact decimal (no number, infinite, too large: null), to be added in any order."""
+    return col_(c).try_cast("decimal(28,4)")
+
+
+def money_sum(c: ColumnOrName) -> Column:
+    """Exact total of amounts with up to four decimals."""
+    return F.sum(money(c)).cast("double")
+
+
 def parse_timestamp(c: ColumnOrName, dtype: T.DataType | None = None) -> Column:
     """Coercing date parse.
 

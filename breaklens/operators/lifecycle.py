@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.expr import lookup, numeric, parse_timestamp, ustrip
+from ..functions.expr import lookup, money, numeric, parse_timestamp, ustrip
 from ..sources.csv import require_columns
 from .ranking import dense_ids, running_totals
 
@@ -43,7 +43,7 @@ def standardize_mi(df: DataFrame, date_col: str = "Date", trade_col: str = "TRAD
     """typed MI rows with columns Date, TRADE REF, Rec (+ journal / age if present)."""
     require_columns(df, [date_col, trade_col], "mi_df")
     if rec_col not in df.columns:
-        raise ValueError(f"mi_df must contain a '{rec_col}' column. Columns found: {df.columns}")
+        raise ValueError(f"no rec name column {rec_col!r} among {df.columns}")
     dt = df.schema[date_col].dataType
     cols = [parse_timestamp(date_col, dt).alias("Date"),
             ustrip(F.col(trade_col).cast("string")).alias("TRADE REF"),
@@ -95,17 +95,6 @@ def build_break_chains(cash: DataFrame) -> DataFrame:
     return j.select(*cash.columns, trade_key().alias("TradeKey"), "BreakChainID")
 
 
-def pence(c: Column | str) -> Column:
-    """Amount in whole pence (long): exact, order-independent to add up."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c * F.lit(100.0)).cast("long")
-
-
-def money_sum(c: Column | str) -> Column:
-    """Money total to the penny: a long sum of pence (codegen'd, exact in any order)."""
-    return F.sum(pence(c)).cast("double") / F.lit(100.0)
-
-
 def build_chain_summary(cash: DataFrame, with_ids: bool = True) -> DataFrame:
     """A01 (+ W01): one row per chain (product, trade).
 
@@ -117,13 +106,13 @@ def build_chain_summary(cash: DataFrame, with_ids: bool = True) -> DataFrame:
     # (its keys include the trade) AND the join to the per-trade info, so the
     # chains are not shuffled again for the join; distinct days need no Expand.
     daily = cash.groupBy("TRADE_ID", "PRODUCT", "Date").agg(
-        F.count("BREAK").alias("__n"), F.sum(pence("BREAK")).alias("__p"))
+        F.count("BREAK").alias("__n"), F.sum(money("BREAK")).alias("__p"))
     agg = daily.repartition("TRADE_ID").groupBy("TRADE_ID", "PRODUCT").agg(
         F.min("Date").alias("Start_Date"),
         F.max("Date").alias("End_Date"),
         F.count("Date").alias("Days_Active"),
         F.sum("__n").alias("Total_Breaks"),
-        (F.sum("__p").cast("double") / F.lit(100.0)).alias("Total_Amount"),
+        F.sum("__p").cast("double").alias("Total_Amount"),
     )
     out = agg.select(F.col("TRADE_ID").alias("Trade"), F.col("PRODUCT").alias("Product"),
                      "Start_Date", "End_Date", "Days_Active", "Total_Breaks", "Total_Amount",

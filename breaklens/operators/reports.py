@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lifecycle import money_sum
+from ..functions.expr import money_sum
 
 DISPLAY_COLUMNS = ["Trade", "Product", "Start_Date", "End_Date", "Days_Active", "Total_Breaks",
                    "Total_Amount", "Is_Recurring", "Root_System", "Root_Rec", "Rec_Flow",

@@ -88,7 +88,7 @@ chains0 AS (
   SELECT "TRADE_ID" AS "Trade", "PRODUCT" AS "Product", MIN("Date") AS "Start_Date",
          MAX("Date") AS "End_Date", COUNT(DISTINCT "Date") AS "Days_Active",
          COUNT("BREAK") AS "Total_Breaks",
-         CAST(SUM(CAST(ROUND("BREAK" * 100.0) AS BIGINT)) AS DOUBLE) / 100.0 AS "Total_Amount",
+         CAST(SUM(CAST("BREAK" AS DECIMAL(28, 4))) AS DOUBLE) AS "Total_Amount",
          COUNT(DISTINCT "Date") > 1 AS "Is_Recurring"
   FROM cash_f GROUP BY "PRODUCT", "TRADE_ID"),
 chains AS (

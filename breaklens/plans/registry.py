@@ -134,7 +134,7 @@ def j02_root_system_map(fx):
 @register("a05_p1_kpis", _p1("""
 SELECT COUNT(*) AS total_chains, COUNT_IF("Is_Recurring") AS is_recurring,
        COUNT_IF("Journal_Used") AS journal_used, COUNT_IF("False_Closure") AS false_closure,
-       CAST(SUM(CAST(ROUND("Total_Amount" * 100.0) AS BIGINT)) AS DOUBLE) / 100.0 AS total_amount,
+       CAST(SUM(CAST("Total_Amount" AS DECIMAL(28, 4))) AS DOUBLE) AS total_amount,
        ROUND_EVEN(CASE WHEN COUNT(*) > 0 THEN COUNT_IF("Is_Recurring") * 100.0 / COUNT(*) END, 1) AS is_recurring_pct,
        ROUND_EVEN(CASE WHEN COUNT(*) > 0 THEN COUNT_IF("Journal_Used") * 100.0 / COUNT(*) END, 1) AS journal_used_pct,
        ROUND_EVEN(CASE WHEN COUNT(*) > 0 THEN COUNT_IF("False_Closure") * 100.0 / COUNT(*) END, 1) AS false_closure_pct
@@ -159,7 +159,7 @@ def a06_root_system_top(fx):
 SELECT COALESCE("Root_System", 'Unknown') AS "Root_System", COUNT("BreakChainID") AS "Total_Chains",
        COUNT_IF("False_Closure") AS "False_Closures", COUNT_IF("Is_Recurring") AS "Recurring",
        COUNT_IF("Journal_Used") AS "Journal_Used",
-       CAST(SUM(CAST(ROUND("Total_Amount" * 100.0) AS BIGINT)) AS DOUBLE) / 100.0 AS "Total_Amount",
+       CAST(SUM(CAST("Total_Amount" AS DECIMAL(28, 4))) AS DOUBLE) AS "Total_Amount",
        ROUND_EVEN(COUNT_IF("False_Closure") * 100.0 / GREATEST(COUNT("BreakChainID"), 1), 1) AS "FC_Rate"
 FROM summary GROUP BY "Root_System"
 """), P1_VIEWS)
@@ -486,8 +486,8 @@ def s14_score_write_back(fx):
 @register("a08_breaks_kpis", _store("""
 SELECT COUNT(*) AS total_breaks, COUNT_IF(risk_tier = 'Suppress') AS suppressed,
        COUNT_IF(risk_tier = 'Review') AS review, COUNT_IF(risk_tier = 'Escalate') AS escalate,
-       CAST(COALESCE(SUM(CASE WHEN risk_tier = 'Suppress' THEN CAST(ROUND(ABS(break_amount_gbp) * 100.0) AS BIGINT) END), 0)
-             AS DOUBLE) / 100.0 AS value_suppressed_gbp,
+       CAST(COALESCE(SUM(CASE WHEN risk_tier = 'Suppress' THEN CAST(ABS(break_amount_gbp) AS DECIMAL(28, 4)) END), 0)
+             AS DOUBLE) AS value_suppressed_gbp,
        ROUND_EVEN(COALESCE(AVG(dq_score), 0.0), 9) AS avg_dq_score,
        ROUND_EVEN(COUNT_IF(risk_tier = 'Suppress') * 100.0 / GREATEST(COUNT(*), 1), 1) AS suppressed_pct
 FROM store"""), BREAK_VIEWS)
@@ -548,8 +548,8 @@ WITH t AS (SELECT break_id, CAST(break_amount_pence AS DOUBLE) / 100.0 AS break_
 SELECT COUNT(*) AS total, COUNT_IF(risk_tier = 'Suppress') AS suppressed, COUNT_IF(risk_tier = 'Review') AS review,
        COUNT_IF(risk_tier = 'Escalate') AS escalate,
        ROUND_EVEN(COUNT_IF(risk_tier = 'Suppress') * 100.0 / GREATEST(COUNT(*), 1), 1) AS suppressed_pct,
-       CAST(COALESCE(SUM(CASE WHEN risk_tier = 'Suppress' THEN CAST(ROUND(ABS(break_amount_gbp) * 100.0) AS BIGINT) END), 0)
-             AS DOUBLE) / 100.0 AS value_suppressed,
+       CAST(COALESCE(SUM(CASE WHEN risk_tier = 'Suppress' THEN CAST(ABS(break_amount_gbp) AS DECIMAL(28, 4)) END), 0)
+             AS DOUBLE) AS value_suppressed,
        CAST(0.8 AS DOUBLE) AS threshold
 FROM t""", SCORED_VIEWS)
 def a09_suppression_stats(fx):
@@ -637,8 +637,9 @@ def m13_feedback_gate(fx):
 
 @register("s12_feedback_append", _fb("""
 SELECT n.break_id, n.analyst_label, n.analyst_id, n.model_prediction, n.asset_class, n.override_flag,
-       n.break_id IN (SELECT break_id FROM fb WHERE pass_no = 1) AS already_had_feedback
-FROM fb n WHERE n.pass_no = 2"""), FB_VIEWS)
+       o.break_id IS NOT NULL AS already_had_feedback
+FROM fb n LEFT JOIN (SELECT DISTINCT break_id FROM fb WHERE pass_no = 1) o ON n.break_id = o.break_id
+WHERE n.pass_no = 2"""), FB_VIEWS)
 def s12_feedback_append(fx):
     """A new feedback batch in stored shape, flagged when the break already has feedback."""
     batch = FB.prepare_feedback(STP.feedback(fx, 2), "feedback_timestamp")
@@ -682,7 +683,7 @@ def m02_median_impute(fx):
     """Nulls -> column median; columns without any value are dropped."""
     from ..operators.ranking import materialize
     m = materialize(SP.feature_matrix_view(fx), "impute-input")
-    imputed, kept = AN.median_impute(m, C.ALL_FEATURES, n_upper=m.count())
+    imputed, kept = AN.median_impute(m, C.ALL_FEATURES)
     return imputed.select("break_id", *kept[()])
 
 

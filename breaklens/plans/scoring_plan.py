@@ -103,7 +103,7 @@ f0 AS (
 r7 AS (SELECT entity_id AS r7_entity, CAST(COUNT(*) AS DOUBLE) AS r7 FROM f0
        WHERE entity_id IS NOT NULL AND COALESCE(f_age, 999) <= 7 GROUP BY entity_id),
 cp AS (SELECT counterparty AS cp_cpty, CAST(COUNT(*) - 1 AS DOUBLE) AS cpty_n,
-              CASE WHEN ABS(COALESCE(SUM(CAST(ROUND(break_amount_gbp * 100.0) AS BIGINT)), 0)) < 100
+              CASE WHEN ABS(COALESCE(CAST(SUM(CAST(break_amount_gbp AS DECIMAL(28, 4))) AS DOUBLE), 0)) < 1.0
                    THEN 1.0 ELSE 0.0 END AS offs
        FROM f0 WHERE counterparty IS NOT NULL GROUP BY counterparty),
 pct AS (

@@ -81,3 +81,9 @@ def test_empty_kpis_have_null_percentages(spark):
     summ = L.run_lifecycle(_cash(spark), _mi(spark), start="2030-01-01", end="2030-02-01")
     k = R.p1_kpis(summ).first()
     assert k["total_chains"] == 0 and k["false_closure_pct"] is None
+
+
+def test_money_sums_keep_fractions_of_a_penny(spark):
+    rows = [("2024-01-02", "T1", "P", v) for v in ("0.004", "0.004", "0.004", "abc", None, "Infinity")]
+    cash = L.standardize_cash(spark.createDataFrame(rows, "BREAK_DATE string, TRADE_ID string, PRODUCT string, BREAK string"))
+    assert L.build_chain_summary(cash).first()["Total_Amount"] == 0.012
