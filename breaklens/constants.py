@@ -65,7 +65,7 @@ MIN_ANALYST_LABELS = 200
 AUC_IMPROVEMENT_THRESHOLD = 0.02
 GBT_PARAMS = {"max_iter": 300, "max_depth": 6, "step_size": 0.05,
               "subsampling_rate": 0.8, "feature_subset": "0.8",
-              "early_stop_rounds": 20, "seed": 42}
+              "seed": 42}
 CV_FOLDS = 5
 CV_ITERATIONS = 100
 TEST_FRACTION = 0.20
@@ -129,9 +129,6 @@ REC_ORDER = {
     "Washbook '0006 Fiscal account' - Market Charges": 10,
 }
 
-# Required input columns
-REQUIRED_CASH_COLS = ["BREAK_DATE", "TRADE_ID", "PRODUCT", "BREAK"]
-REQUIRED_MI_COLS = ["Date", "TRADE REF"]
 REC_NAME_COL = "Rec Name (as per Rec Cube)"
 
 # MI report header aliases (incoming header → canonical name)
@@ -177,16 +174,6 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
              "n/a", "nan", "null"]
 
-# Placeholder columns added at ingest so the stored schema is complete
-INGEST_PLACEHOLDERS = [
-    "dq_score", "false_break_prob", "risk_tier",
-    "pseudo_label", "label_confidence",
-    "break_age_days", "days_since_last_move",
-    "governance_completeness_score", "mad_score",
-    "segment_median_age", "is_statistical_outlier",
-    "offsetting_break_exists", "rolling_7d_autoclose_rate",
-]
-
 # ─────────────────────── feature order (42, fixed) ───────────────────────
 TEMPORAL_FEATURES = [
     "break_age_days", "days_since_last_move",
@@ -223,8 +210,3 @@ ALL_FEATURES = (TEMPORAL_FEATURES + FINANCIAL_FEATURES + ENTITY_FEATURES
                 + PATTERN_FEATURES + GOVERNANCE_FEATURES + ASSET_SPECIFIC_FEATURES)
 
 SEGMENT_KEYS = ["entity_id", "team_code", "rec_name", "asset_class"]
-
-
-def get_feature_names(asset_class: str | None = None) -> list[str]:
-    """Ordered list of the 42 feature columns (the class argument has no effect)."""
-    return list(ALL_FEATURES)

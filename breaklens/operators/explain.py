@@ -1,178 +1,10 @@
-"""Per-break feature contributions (M12) and top contributing features.
-
-Contributions are exact path-dependent TreeSHAP values (Lundberg, Erion & Lee,
-"Consistent Individualized Feature Attribution for Tree Ensembles", 2018,
-Algorithm 2) of the boosted-tree margin: for every row
-``base + sum(contributions) == margin`` (MLlib's probability is
-``sigmoid(2 * margin)``).
-
-The ensemble is read as a node table from the saved model's data folder
-(trees x nodes, bounded by maxIter x 2^(depth+1)), broadcast once, and applied
-to the rows to explain in ``mapInPandas`` - the work is per row and spreads
-over all tasks; nothing row-level reaches the driver.
-"""
+"""Top contributing features per break (T06), out of a given long table of contributions."""
 
 from __future__ import annotations
 
-import os
-from collections.abc import Sequence
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as C
-from .training import feature_frame
-
-
-def ensemble_table(spark: SparkSession, model_path: str) -> tuple[pd.DataFrame, np.ndarray]:
-    """(node table, tree weights) of the GBT stage of a saved pipeline model."""
-    stages = os.path.join(model_path, "stages")
-    gbt_dir = sorted(d for d in _listdir(spark, stages) if "GBT" in d)[0]
-    base = os.path.join(stages, gbt_dir)
-    data = spark.read.parquet(os.path.join(base, "data")).select(
-        "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("value"),
-        F.col("nodeData.impurityStats").alias("stats"), F.col("nodeData.leftChild").alias("left"),
-        F.col("nodeData.rightChild").alias("right"), F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"))
-    nodes = data.toPandas()  # bounded: trees x nodes
-    nodes["cover"] = nodes["stats"].apply(lambda s: float(s[0]) if len(s) else 0.0)
-    nodes["threshold"] = nodes["thr"].apply(lambda t: float(t[0]) if len(t) else 0.0)
-    meta = spark.read.parquet(os.path.join(base, "treesMetadata"))
-    if "_1" in meta.columns:  # stored as (treeID, metadata, weight) tuples
-        meta = meta.select(F.col("_1").alias("treeID"), F.col("_3").alias("weights"))
-    meta = meta.select("treeID", "weights").toPandas()
-    weights = meta.sort_values("treeID")["weights"].to_numpy(dtype=float)
-    return nodes.drop(columns=["stats", "thr"]), weights
-
-
-def _listdir(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(p)]
-
-
-class _Tree:
-    def __init__(self, t: pd.DataFrame):
-        t = t.sort_values("id")
-        idx = {int(i): k for k, i in enumerate(t["id"])}
-        self.left = np.array([idx.get(int(v), -1) for v in t["left"]])
-        self.right = np.array([idx.get(int(v), -1) for v in t["right"]])
-        self.feature = t["feature"].to_numpy()
-        self.threshold = t["threshold"].to_numpy(dtype=float)
-        self.value = t["value"].to_numpy(dtype=float)
-        self.cover = t["cover"].to_numpy(dtype=float)
-        self.root = idx[int(t["id"].min())] if 0 not in idx else idx[0]
-
-    def is_leaf(self, j: int) -> bool:
-        return self.left[j] < 0
-
-    def expected(self) -> float:
-        leaves = [j for j in range(len(self.value)) if self.is_leaf(j)]
-        tot = sum(self.cover[j] for j in leaves)
-        return float(sum(self.cover[j] * self.value[j] for j in leaves) / tot) if tot else 0.0
-
-    def predict(self, x: np.ndarray) -> float:
-        j = self.root
-        while not self.is_leaf(j):
-            j = self.left[j] if x[self.feature[j]] <= self.threshold[j] else self.right[j]
-        return float(self.value[j])
-
-
-def _tree_shap(tree: _Tree, x: np.ndarray, phi: np.ndarray, scale: float) -> None:
-    """Adds ``scale`` x the TreeSHAP values of one tree for row ``x`` into ``phi``."""
-
-    def extend(m, pz, po, pi):
-        m = [list(e) for e in m] + [[pi, pz, po, 1.0 if not m else 0.0]]
-        n = len(m) - 1
-        for i in range(n - 1, -1, -1):
-            m[i + 1][3] += po * m[i][3] * (i + 1) / (n + 1)
-            m[i][3] = pz * m[i][3] * (n - i) / (n + 1)
-        return m
-
-    def unwind(m, i):
-        n = len(m) - 1
-        m = [list(e) for e in m]
-        last = m[n][3]
-        o, z = m[i][2], m[i][1]
-        for j in range(n - 1, -1, -1):
-            if o != 0:
-                t = m[j][3]
-                m[j][3] = last * (n + 1) / ((j + 1) * o)
-                last = t - m[j][3] * z * (n - j) / (n + 1)
-            else:
-                m[j][3] = m[j][3] * (n + 1) / (z * (n - j))
-        for j in range(i, n):
-            m[j][0], m[j][1], m[j][2] = m[j + 1][0], m[j + 1][1], m[j + 1][2]
-        return m[:n]
-
-    def recurse(j, m, pz, po, pi):
-        m = extend(m, pz, po, pi)
-        if tree.is_leaf(j):
-            for i in range(1, len(m)):
-                w = sum(e[3] for e in unwind(m, i))
-                phi[m[i][0]] += scale * w * (m[i][2] - m[i][1]) * tree.value[j]
-            return
-        d = int(tree.feature[j])
-        hot, cold = ((tree.left[j], tree.right[j]) if x[d] <= tree.threshold[j]
-                     else (tree.right[j], tree.left[j]))
-        iz = io = 1.0
-        k = next((k for k in range(1, len(m)) if m[k][0] == d), None)
-        if k is not None:
-            iz, io = m[k][1], m[k][2]
-            m = unwind(m, k)
-        rj = tree.cover[j] or 1.0
-        recurse(hot, m, iz * tree.cover[hot] / rj, io, d)
-        recurse(cold, m, iz * tree.cover[cold] / rj, 0.0, d)
-
-    recurse(tree.root, [], 1.0, 1.0, -1)
-
-
-def shap_values(trees: list[_Tree], weights: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """(contributions, base, margin) of one row."""
-    phi = np.zeros(len(x))
-    base = margin = 0.0
-    for t, w in zip(trees, weights):
-        _tree_shap(t, x, phi, w)
-        base += w * t.expected()
-        margin += w * t.predict(x)
-    return phi, base, margin
-
-
-CONTRIB_SCHEMA = ("break_id string, feature string, value double, contribution double, abs_rank int, "
-                  "base double, margin double")
-
-
-def explain_breaks(spark: SparkSession, model_path: str, rows: DataFrame, key: str = "break_id",
-                   features: Sequence[str] = C.ALL_FEATURES) -> DataFrame:
-    """Long table (break_id, feature, value, contribution, abs_rank, base, margin)."""
-    nodes, weights = ensemble_table(spark, model_path)
-    bc = spark.sparkContext.broadcast((nodes, weights))
-    feats = list(features)
-    x_cols = [f"__x_{f}" for f in feats]
-    framed = feature_frame(rows, feats).select(F.col(key).cast("string").alias("break_id"), *x_cols)
-
-    def run(batches):
-        nd, ws = bc.value
-        trees = [_Tree(t) for _, t in nd.groupby("treeID", sort=True)]
-        for pdf in batches:
-            out = []
-            for rec in pdf.itertuples(index=False):
-                x = np.array(rec[1:], dtype=float)
-                phi, base, margin = shap_values(trees, ws, x)
-                order = np.argsort(-np.abs(phi), kind="stable")
-                rank = np.empty(len(phi), dtype=int)
-                rank[order] = np.arange(1, len(phi) + 1)
-                for i, f in enumerate(feats):
-                    out.append((rec[0], f, None if x[i] <= -1e8 else float(x[i]), float(phi[i]),
-                                int(rank[i]), base, margin))
-            yield pd.DataFrame(out, columns=["break_id", "feature", "value", "contribution", "abs_rank",
-                                             "base", "margin"])
-
-    return framed.mapInPandas(run, CONTRIB_SCHEMA)
-
 
 def top_features(contributions: DataFrame, n: int = 5, key: str = "break_id") -> DataFrame:
     """The ``n`` largest absolute contributions per break, in order, as
@@ -184,5 +16,3 @@ def top_features(contributions: DataFrame, n: int = 5, key: str = "break_id") ->
                                                                  e["contribution"].alias("contribution")))
                     .alias("top_features"))
 
-
-__all__ = ["ensemble_table", "shap_values", "explain_breaks", "top_features"]

@@ -1,75 +1,8 @@
-import itertools
-import math
-import os
+from breaklens.operators.explain import top_features
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
 
-from breaklens.operators import explain as EX
-from breaklens.operators import training as TRN
-
-FEATS = ["f_a", "f_b", "f_c"]
-
-
-def _model(spark, tmp_dir):
-    rng = np.random.default_rng(5)
-    n = 400
-    pdf = pd.DataFrame({"break_id": [f"r{i}" for i in range(n)], "f_a": rng.normal(size=n),
-                        "f_b": rng.normal(size=n), "f_c": rng.integers(0, 3, n).astype(float)})
-    pdf.loc[::9, "f_b"] = np.nan
-    pdf["label"] = ((pdf.f_a + 0.5 * pdf.f_c.fillna(0) + rng.normal(scale=0.3, size=n)) > 0.8).astype(int)
-    df = spark.createDataFrame(pdf).withColumn("weight", F.lit(1.0)).withColumn("is_test", F.lit(False))
-    model = TRN.fit_pipeline(df, FEATS, max_iter=4, validation=False)
-    path = os.path.join(tmp_dir, "m")
-    model.write().overwrite().save(path)
-    return model, path, df
-
-
-def _expvalue(tree, x, S):
-    def rec(j):
-        if tree.is_leaf(j):
-            return tree.value[j]
-        d = int(tree.feature[j])
-        if d in S:
-            return rec(tree.left[j] if x[d] <= tree.threshold[j] else tree.right[j])
-        l, r = tree.left[j], tree.right[j]
-        return (tree.cover[l] * rec(l) + tree.cover[r] * rec(r)) / tree.cover[j]
-    return rec(tree.root)
-
-
-def test_contributions_add_up_and_equal_brute_force(spark, tmp_dir):
-    model, path, df = _model(spark, tmp_dir)
-    nodes, weights = EX.ensemble_table(spark, path)
-    trees = [EX._Tree(t) for _, t in nodes.groupby("treeID", sort=True)]
-    rows = TRN.feature_frame(df.limit(5), FEATS).select([f"__x_{f}" for f in FEATS]).toPandas().to_numpy()
-    raw = model.transform(TRN.feature_frame(df.limit(5), FEATS)).select(
-        vector_to_array("rawPrediction")[1].alias("m")).toPandas()["m"].to_numpy()
-    M = len(FEATS)
-    for x, margin_spark in zip(rows, raw):
-        phi, base, margin = EX.shap_values(trees, weights, x)
-        assert abs(base + phi.sum() - margin) < 1e-9
-        assert abs(margin - margin_spark) < 1e-9
-        exp = np.zeros(M)
-        for t, w in zip(trees, weights):
-            for i in range(M):
-                others = [k for k in range(M) if k != i]
-                for r in range(M):
-                    for S in itertools.combinations(others, r):
-                        c = math.factorial(len(S)) * math.factorial(M - len(S) - 1) / math.factorial(M)
-                        exp[i] += w * c * (_expvalue(t, x, set(S) | {i}) - _expvalue(t, x, set(S)))
-        assert np.allclose(phi, exp, atol=1e-9)
-
-
-def test_explain_breaks_and_top_features(spark, tmp_dir):
-    _, path, df = _model(spark, tmp_dir)
-    long = EX.explain_breaks(spark, path, df.limit(7), features=FEATS)
-    pdf = long.toPandas()
-    assert len(pdf) == 7 * 3
-    sums = pdf.groupby("break_id").agg(c=("contribution", "sum"), b=("base", "first"), m=("margin", "first"))
-    assert np.allclose(sums.b + sums.c, sums.m)
-    top = {r["break_id"]: r["top_features"] for r in EX.top_features(long, n=2).collect()}
-    for bid, feats in top.items():
-        sub = pdf[pdf.break_id == bid].sort_values("abs_rank")
-        assert [f["feature"] for f in feats] == list(sub.feature[:2])
+def test_top_features_by_absolute_contribution(spark):
+    rows = [("b1", "x", 0.5), ("b1", "y", -2.0), ("b1", "z", 1.0), ("b2", "x", 0.0)]
+    got = {r.break_id: [tuple(f) for f in r.top_features] for r in top_features(
+        spark.createDataFrame(rows, "break_id string, feature string, contribution double"), n=2).collect()}
+    assert got == {"b1": [("y", -2.0), ("z", 1.0)], "b2": [("x", 0.0)]}
