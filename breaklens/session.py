@@ -14,7 +14,6 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Conf keys owned by this library (read with defaults; never required).
-ROWS_PER_BUCKET_CONF = "breaklens.rank.rowsPerBucket"
 MATERIALIZE_CONF = "breaklens.rank.materialize"
 
 
@@ -95,6 +94,11 @@ def release(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _delete(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

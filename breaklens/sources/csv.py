@@ -69,8 +69,7 @@ def parse_dates(df: DataFrame, date_cols: Iterable[str] = C.DATE_COLUMNS) -> Dat
 
 def ensure_break_id(df: DataFrame) -> None:
     if "break_id" not in df.columns:
-        raise ValueError("Uploaded CSV must contain a 'break_id' column (or a recognised alias "
-                         "such as 'BreakID' or 'Break_ID').")
+        raise ValueError(f"no break_id among the columns (aliases included): {df.columns}")
 
 
 def load_mi_report(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -181,21 +181,13 @@ def append_table(df: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - an absent table reads as empty
+    """An absent table reads as empty; any other failure is raised."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def csv_export(df: DataFrame, path: str) -> None:
     """Header CSV export."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
-
-def default_breaks_columns() -> list[str]:
-    return [f.name for f in BREAKS_SCHEMA.fields]
-
-
-__all__ = ["BREAKS_SCHEMA", "FEEDBACK_SCHEMA", "UPLOAD_LOG_SCHEMA", "conform", "newest_per_key",
-           "ingest", "write_back", "write_snapshot", "load_snapshot", "append_table", "read_table",
-           "csv_export", "C"]

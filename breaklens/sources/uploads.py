@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as C
+from ..session import path_exists
 from .csv import convert_pence, load_mi_report
 from .store import UPLOAD_LOG_SCHEMA, append_table, read_table
 
@@ -40,14 +40,14 @@ def unseen_uploads(hashes: DataFrame, upload_log: DataFrame) -> DataFrame:
 
 
 def load_or_cache(spark: SparkSession, file_path: str, upload_hash: str, cache_dir: str) -> DataFrame:
-    """Read ``<cache>/<hash>`` when present, else parse the CSV and write it there."""
+    """Read ``<cache>/<hash>`` when it is complete, else parse the CSV and write it there.
+
+    A folder without ``_SUCCESS`` is what a writer left that died; it is written anew.
+    """
     target = f"{cache_dir.rstrip('/')}/{upload_hash}"
-    try:
-        return spark.read.parquet(target)
-    except Exception:  # noqa: BLE001 - cache miss
-        df = load_mi_report(spark, file_path)
-        df.write.mode("overwrite").parquet(target)
-        return spark.read.parquet(target)
+    if not path_exists(spark, f"{target}/_SUCCESS"):
+        load_mi_report(spark, file_path).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
 
 
 def prepare_for_ingest(df: DataFrame, upload_hash: str | None) -> DataFrame:
@@ -89,8 +89,10 @@ def ingest_directory(spark: SparkSession, upload_dir: str, cache_dir: str, log_p
     per-file loop only builds a plan per new upload.
     """
     hashes = content_hashes(spark, upload_dir, glob)
-    new = unseen_uploads(hashes, read_upload_log(spark, log_path)).select(
-        "path", "filename", "upload_hash")
+    # of files with the same content, one is loaded and logged
+    new = (unseen_uploads(hashes, read_upload_log(spark, log_path)).groupBy("upload_hash")
+           .agg(F.min(F.struct("path", "filename")).alias("file"))
+           .select("file.path", "file.filename", "upload_hash"))
     files = new.collect()  # one small row per new file
     frames = []
     for f in files:
@@ -105,6 +107,3 @@ def ingest_directory(spark: SparkSession, upload_dir: str, cache_dir: str, log_p
     log_uploads(new.select("upload_hash", "filename"), counts, log_path)
     return out
 
-
-__all__ = ["content_hashes", "unseen_uploads", "load_or_cache", "prepare_for_ingest",
-           "log_uploads", "read_upload_log", "ingest_directory", "T"]

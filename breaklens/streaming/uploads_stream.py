@@ -67,5 +67,3 @@ def start_upload_ingest(spark: SparkSession, upload_dir: str, snapshot_root: str
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="1 minute")
     return w.start()
 
-
-__all__ = ["upload_stream", "start_upload_ingest", "C"]

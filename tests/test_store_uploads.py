@@ -97,3 +97,27 @@ def test_feedback_counts_gate_and_flags(spark):
     assert flagged == {"B2": True, "B3": False}
     empty = FB.feedback_counts(fb.limit(0)).collect()
     assert [(r["asset_class"], r["total"]) for r in empty] == [("TOTAL", 0)]
+
+
+def test_unfinished_cache_folder_is_written_anew(spark, tmp_dir):
+    from breaklens.sources.uploads import load_or_cache
+    path = os.path.join(tmp_dir, "r.csv")
+    with open(path, "w") as f:
+        f.write("break_id,asset_class\n" + "".join(f"B{i},CEQ\n" for i in range(10)))
+    cache = os.path.join(tmp_dir, "cache")
+    spark.createDataFrame([("B0", "CEQ")], "break_id string, asset_class string").write.parquet(os.path.join(cache, "h"))
+    os.remove(os.path.join(cache, "h", "_SUCCESS"))
+    assert load_or_cache(spark, path, "h", cache).count() == 10
+
+
+def test_same_content_twice_is_loaded_once(spark, tmp_dir):
+    from breaklens.sources.uploads import ingest_directory, read_upload_log
+    up = os.path.join(tmp_dir, "up")
+    os.makedirs(up)
+    for n in ("a.csv", "b.csv"):
+        with open(os.path.join(up, n), "w") as f:
+            f.write("break_id,asset_class\nB1,CEQ\nB2,LnD\n")
+    log = os.path.join(tmp_dir, "log")
+    assert ingest_directory(spark, up, os.path.join(tmp_dir, "cache"), log).count() == 2
+    assert read_upload_log(spark, log).count() == 1
+    assert ingest_directory(spark, up, os.path.join(tmp_dir, "cache"), log) is None
