@@ -15,34 +15,57 @@ from pyspark.sql import functions as F
 from breaklens.session import ship_package
 
 #: Chunks whose ids a worker keeps; the memo starts anew beyond that.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 700_000
 #: Characters that are split into chunks at a time.
 CHARS = 1 << 20
 
-_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z|\0")
+#: One word of Latin letters, maybe with a blank or line end before and punctuation behind.
+_PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%#*$&|]*)")
+#: White space besides blank and line end.
+_RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
 _BETWEEN = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def _with_space(text: str) -> list[str]:
-    """Chunks of a text that a byte-level vocabulary encodes one by one.
+    """Keys of the chunks of a text that a byte-level vocabulary encodes one by one.
 
     Its pre-tokens take one space before a word along, or runs of white space
     alone; where one blank or line end stands between two other characters,
-    a pre-token starts at it, whatever stands around.
+    a pre-token starts at it, whatever stands around. A key is a chunk without
+    its leading blank; ``\\0`` before it tells that there is none, nor a line end.
     """
-    if _IRREGULAR.search(text):
-        return _BETWEEN.split(text)
-    return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+    if ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace()
+            or _RARE.search(text)):
+        return ["\0" + c for c in _BETWEEN.split(text)]
+    parts = text.replace("\n", " \n").split(" ")
+    parts[0] = "\0" + parts[0]
+    return parts
+
+
+def _literal(key: str) -> str:
+    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
 
 
 def _without_space(text: str) -> list[str]:
     """Chunks for a vocabulary that drops white space: no pre-token holds a blank or line end."""
-    return [c for c in text.replace("\n", " ").split(" ") if c]
+    return text.replace("\n", " ").split(" ")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte (as a Latin-1 character):
+    printable ones stand for themselves, the others follow from 256 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class ChunkEncoder:
     """Encodes texts chunk by chunk; ids equal those of the whole text.
 
+    A new chunk that is one plain word is split here into its pre-tokens, and
+    only the vocabulary's merges run on them; any other goes through the whole
+    tokenizer.
+
     Strings of special tokens inside a text are ordinary text. The chunks of
     one text are encoded at most once per memo, which is what makes long
     corpora of recurring words cheap.
@@ -54,22 +77,54 @@ class ChunkEncoder:
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
-        self._memo: dict[str, bytes] = {}
+        self._memo: dict[str, bytes] = {"": b""}
         self._most = memo_chunks
         self._split = _without_space if self._tok.normalizer is not None else _with_space
         self.vocab_size = self._tok.get_vocab_size()
+        self._letters = _byte_letters()
+        self._lower = self._tok.normalizer is not None
+
+    def _merged(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        letters = piece.encode().decode("latin-1").translate(self._letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self._tok.model.tokenize(letters)])
+
+    def _plain(self, lead: str, word: str, marks: str) -> bytes:
+        """Ids of one plain word with what stands around it; its pre-tokens are chunks too, under their own keys."""
+        if self._lower:
+            parts = ((word.lower(), word.lower()), (marks, marks))
+        elif lead == " ":
+            parts = ((word, " " + word), ("\0" + marks, marks))
+        else:
+            parts = (("\0" + lead, lead), ("\0" + word, word), ("\0" + marks, marks))
+        out = b""
+        for key, piece in parts:
+            if piece:
+                ids = self._memo.get(key)
+                if ids is None:
+                    ids = self._memo[key] = self._merged(piece)
+                out += ids
+        return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) if t else [] for t in texts]
         need = set().union(*split)
         new = [c for c in need if c not in self._memo]
         if len(self._memo) + len(new) > self._most:
-            self._memo.clear()
-            new = list(need)
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for c, e in zip(part, self._tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._memo[c] = b"".join([x.to_bytes(4, "little") for x in e.ids])
+            self._memo = {"": b""}
+            new = [c for c in need if c]
+        odd = []
+        for key in new:
+            text = key if self._lower else _literal(key)
+            m = _PLAIN.fullmatch(text)
+            if m is None:
+                odd.append((key, text))
+            else:
+                self._memo[key] = self._plain(*m.groups())
+        for i in range(0, len(odd), 4096):
+            keys, part = zip(*odd[i:i + 4096], strict=True)
+            for key, e in zip(keys, self._tok.encode_batch_fast(list(part), add_special_tokens=False), strict=True):
+                self._memo[key] = b"".join([x.to_bytes(4, "little") for x in e.ids])
         get = self._memo.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
