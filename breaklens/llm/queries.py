@@ -67,7 +67,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels of those that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(id_remainder("doc_id", 5) != 0).select("doc_id", "toxic")
-    model = toxicity.train(docs.join(labels, "doc_id"), "toxic")
+    model = toxicity.train(docs, labels, "toxic")
     held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
     return toxicity.toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

@@ -138,21 +138,24 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: n
     return fm
 
 
-def train(docs: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
+def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
           rows_per_class: int = ROWS_PER_CLASS, **options) -> FactorizationMachine:
-    """Fits to at most ``rows_per_class`` rows of each class of ``docs`` (label 0 or 1; others are left out).
+    """Fits to the texts of at most ``rows_per_class`` ids of each class of ``labels`` (label 0 or 1;
+    others, ids without a document and null ids are left out).
 
-    The rows are those of the least hash of the id, so a larger table gives no
-    larger sample; each class is weighted to its share of all labelled rows.
-    Their terms are hashed on the executors, and only these come to the driver.
+    The ids are those of the least hash, so a larger table gives no larger
+    sample; each class is weighted to its share of all labelled ids. Only the
+    sampled texts are looked up, by a broadcast of their ids; their terms are
+    hashed on the executors, and only these come to the driver.
     """
     ship_package(docs.sparkSession)
-    labelled = docs.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"))
+    labelled = (labels.where(F.col(label_col).isin(0, 1))
+                .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
+                .join(docs.select(F.col(id_col).alias("id")), "id", "left_semi"))
     shares = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
-    ids = [labelled.where(F.col("label") == k).select("id").distinct().orderBy(F.xxhash64("id"), "id")
-           .limit(rows_per_class) for k in (0, 1)]
-    sample = labelled.join(F.broadcast(ids[0].union(ids[1]).distinct()), "id", "left_semi")
+    chosen = [labelled.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(rows_per_class) for k in (0, 1)]
+    sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+              .join(F.broadcast(chosen[0].union(chosen[1])), "id").select("id", "label", "text"))
 
     def run(batches):
         for batch in batches:

@@ -59,7 +59,7 @@ def test_held_out_documents(spark, make, edges, write_prose):
                 w.insert(rng.randrange(len(w)), rng.choice(stems) + rng.choice(["", "en", "isch", "ol"]))
         rows.append((i, " ".join(w), toxic if i % 9 else None))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
-    model = T.train(docs.where("doc_id < 500"), "toxic", rows_per_class=200)
+    model = T.train(docs, docs.where("doc_id < 500"), "toxic", rows_per_class=200)
     got = {r.doc_id: r for r in T.toxicity(docs, model).collect()}
     held = [r for r in rows if r[0] >= 500 and r[2] is not None]
     assert np.mean([got[d].predicted == t for d, _, t in held]) > 0.95
@@ -70,5 +70,5 @@ def test_held_out_documents(spark, make, edges, write_prose):
 
 def test_without_labels(spark, make, edges):
     docs = make(edges).selectExpr("*", "cast(null as int) as toxic")
-    model = T.train(docs, "toxic")
+    model = T.train(docs, docs, "toxic")
     assert {r.predicted for r in T.toxicity(make(edges), model).collect()} == {0}
