@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import constants as C
 from ..session import path_exists
 
 BREAKS_SCHEMA = T.StructType([

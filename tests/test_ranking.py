@@ -1,6 +1,5 @@
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from breaklens.operators.ranking import dense_ids, exact_quantile_pair, running_totals
