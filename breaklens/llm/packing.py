@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from breaklens.llm.tokens import encoding
 from breaklens.session import ship_package
 
 #: Open items among which a sequence's next piece is chosen.
@@ -138,26 +139,13 @@ class Packer:
         self.sequences += 1
 
 
-def pack(rows: DataFrame, id_col: str, ids_col: str = "ids", loss_col: str | None = None,
-         limits: Limits = Limits(), window: int = WINDOW) -> DataFrame:
-    """Pieces of sequences: ``id_col``, start, length, ids, doc_tokens, loss_tokens,
-    sequence_id, offset.
+_FIELDS = ("start bigint, length bigint, ids binary, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, "
+           "offset bigint")
 
-    ``ids_col`` is binary (little-endian unsigned 32-bit ids); ``loss_col``, if
-    given, binary with one byte 0 or 1 per id, else every id bears loss. Each
-    id of each row lies in exactly one piece; a sequence keeps all ``limits``
-    at once. Rows are packed within their partition, in one pass and without a
-    shuffle, among ``window`` open rows. A sequence has the limit's tokens or,
-    at a partition's end or where segments or loss run out, a power of two.
-    sequence_id is the partition's number times 2**40 plus a count: unique, and
-    the same when a task runs again over the same input.
 
-    A row longer than a sequence fills whole ones first (where its loss allows
-    it); null ids are no ids and give no piece. Repeated rows and null keys are
-    packed like any other; other columns are not looked at.
-    """
-    ship_package(rows.sparkSession)
-    names = ["id", "start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
+def _packing(limits: Limits, window: int):
+    """The function of a task that packs batches of (id, ids) or (id, ids, loss)."""
+    names = ["id", *(f.split()[0] for f in _FIELDS.split(", "))]
 
     def run(batches):
         first = TaskContext.get().partitionId() << 40
@@ -175,7 +163,8 @@ def pack(rows: DataFrame, id_col: str, ids_col: str = "ids", loss_col: str | Non
 
         for batch in batches:
             kinds = kinds or [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
-            for key, ids, mask in zip(*(batch.column(i) for i in range(3)), strict=True):
+            masks = batch.column(2) if batch.num_columns > 2 else pa.nulls(batch.num_rows, pa.binary())
+            for key, ids, mask in zip(batch.column(0), batch.column(1), masks, strict=True):
                 data = ids.as_buffer() if ids.is_valid else None
                 if data is None or not data.size:
                     continue
@@ -188,7 +177,8 @@ def pack(rows: DataFrame, id_col: str, ids_col: str = "ids", loss_col: str | Non
                     out += map(row, packer.whole(own, at, ids[at:end], None if mask is None else mask[at:end]))
                     at = end
                 if at < len(ids):
-                    out += map(row, packer.add(own, at, ids[at:], None if mask is None else mask[at:]))
+                    # copied, for what stays open shall not hold its whole batch
+                    out += map(row, packer.add(own, at, ids[at:].copy(), None if mask is None else mask[at:].copy()))
                 if len(out) >= 2048:
                     yield batch_of(out)
                     out = []
@@ -196,9 +186,42 @@ def pack(rows: DataFrame, id_col: str, ids_col: str = "ids", loss_col: str | Non
         for i in range(0, len(out), 2048):
             yield batch_of(out[i:i + 2048])
 
-    loss = F.col(loss_col) if loss_col else F.lit(None).cast("binary")
+    return run
+
+
+def pack(rows: DataFrame, id_col: str, ids_col: str = "ids", loss_col: str | None = None,
+         limits: Limits = Limits(), window: int = WINDOW) -> DataFrame:
+    """Pieces of sequences: ``id_col``, start, length, ids, doc_tokens, loss_tokens,
+    sequence_id, offset.
+
+    ``ids_col`` is binary (little-endian unsigned 32-bit ids); ``loss_col``, if
+    given, binary with one byte 0 or 1 per id, else every id bears loss. Each
+    id of each row lies in exactly one piece; a sequence keeps all ``limits``
+    at once. Rows are packed within their partition, in one pass and without a
+    shuffle, among ``window`` open rows. A sequence has the limit's tokens or,
+    at a partition's end or where segments or loss run out, a power of two.
+    sequence_id is the partition's number times 2**40 plus a count: unique, and
+    the same when a task runs again over the same input.
+
+    A row longer than a sequence fills whole ones first (where its loss allows
+    it); null ids are no ids and give no piece. Repeated rows and null keys are
+    packed like any other; other columns are not looked at.
+    """
+    ship_package(rows.sparkSession)
+    cols = [F.col(id_col).alias("id"), F.col(ids_col).alias("ids")]
+    if loss_col:
+        cols.append(F.col(loss_col).alias("loss"))
     kind = rows.schema[id_col].dataType.simpleString()
-    return (rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"), loss.alias("loss"))
-            .mapInArrow(run, f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, "
-                             "loss_tokens bigint, sequence_id bigint, offset bigint")
+    return (rows.select(*cols).mapInArrow(_packing(limits, window), f"id {kind}, {_FIELDS}")
             .withColumnRenamed("id", id_col))
+
+
+def pack_texts(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
+               limits: Limits = Limits(), window: int = WINDOW) -> DataFrame:
+    """:func:`pack` over the tokens of whole texts, encoded in the same task: ids don't
+    travel between processes. A null text is ``end_id`` alone; every id bears loss."""
+    ship_package(docs.sparkSession)
+    encode, run = encoding(tokenizer_path, end_id), _packing(limits, window)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+            .mapInArrow(lambda batches: run(encode(batches)), f"id {kind}, {_FIELDS}").withColumnRenamed("id", id_col))

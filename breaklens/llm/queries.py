@@ -15,11 +15,10 @@ from breaklens.llm import langid, oracles, pii, toxicity
 from breaklens.llm.decontaminate import contamination
 from breaklens.llm.html_text import main_text
 from breaklens.llm.near_dup import near_duplicates
-from breaklens.llm.packing import pack
+from breaklens.llm.packing import pack_texts
 from breaklens.llm.quality import quality
 from breaklens.llm.sharding import uniform_shards
 from breaklens.llm.token_files import read_token_files, write_token_files
-from breaklens.llm.tokens import encode_texts
 from breaklens.session import scratch_path
 
 
@@ -49,8 +48,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens; one row per piece."""
-    ids = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return pack(ids, "doc_id").select(
+    pieces = pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

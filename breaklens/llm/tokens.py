@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from breaklens.session import ship_package
 
 #: Chunks whose ids a worker keeps; the memo starts anew beyond that.
-MEMO_CHUNKS = 700_000
+MEMO_CHUNKS = 300_000
 #: Characters that are split into chunks at a time.
 CHARS = 1 << 20
 
@@ -163,14 +163,8 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``ids`` (binary: little-endian unsigned 32-bit ids of the
-    whole text, then ``end_id``) for every row, in the order of the input.
-
-    A null or empty text is ``end_id`` alone. Other columns are not looked at.
-    """
-    ship_package(docs.sparkSession)
+def encoding(tokenizer_path: str, end_id: int):
+    """The function of a task that turns batches of (id, text) into batches of (id, ids)."""
     tail = end_id.to_bytes(4, "little")
 
     def run(batches):
@@ -188,6 +182,17 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, len(held)), pa.array(held, pa.binary())], names=["id", "ids"])
 
+    return run
+
+
+def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``ids`` (binary: little-endian unsigned 32-bit ids of the
+    whole text, then ``end_id``) for every row, in the order of the input.
+
+    A null or empty text is ``end_id`` alone. Other columns are not looked at.
+    """
+    ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col))
+            .mapInArrow(encoding(tokenizer_path, end_id), f"id {kind}, ids binary").withColumnRenamed("id", id_col))

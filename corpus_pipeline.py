@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from breaklens.llm.decontaminate import decontaminate
 from breaklens.llm.near_dup import near_duplicates
-from breaklens.llm.packing import pack
+from breaklens.llm.packing import pack_texts
 from breaklens.llm.pii import redact_pii
 from breaklens.llm.quality import keep_quality
-from breaklens.llm.tokens import encode_texts
 from breaklens.session import written
 
 
@@ -54,8 +53,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 1024; one row per piece, with its ids."""
-    ids = encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return pack(ids, "doc_id").withColumn("ids_crc32", F.crc32("ids"))
+    pieces = pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

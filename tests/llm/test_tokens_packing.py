@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from breaklens.llm import tokens
-from breaklens.llm.packing import Limits, pack
+from breaklens.llm.packing import Limits, pack, pack_texts
 from breaklens.llm.token_files import read_token_files, write_token_files
 from breaklens.llm.tokens import ChunkEncoder, encode_texts
 from breaklens.session import scratch_path
@@ -82,6 +82,8 @@ def test_most_sequences_are_full(spark, make, write_prose, rng):
     seq = check_pieces(rows, {r.doc_id: np.frombuffer(r.ids, "<u4") for r in ids.collect()}, Limits())
     full = sum(sum(p["length"] for p in s) == 1024 for s in seq.values())
     assert len(seq) - full <= 10
+    again = [r.asDict() for r in pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), 0).collect()]
+    assert again == rows
 
 
 def test_token_files_round_trip(spark, make, edges, write_prose, monkeypatch):
