@@ -7,7 +7,7 @@ import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breaklens.session import ship_package, written
@@ -221,47 +221,60 @@ class PageTree:
         e.parts = []
         self.at = e.parent
 
-    def rows(self) -> list[dict]:
-        """Blocks with the digests of the elements around them (none inside the main content)."""
-        out = []
+    @staticmethod
+    def _path(e: _Element | None, main: bool) -> list[int]:
+        path = []
+        while e is not None and not main:
+            if e.digest:
+                path.append(e.digest)
+            e = e.parent
+        return path
+
+    def trees(self) -> list[int]:
+        """Digests of the distinct subtrees that a template may hold."""
+        return sorted({d for _, main, _, e in self.blocks for d in self._path(e, main)})
+
+    def kept(self) -> list[dict]:
+        """Stretches of text that the page's own markup leaves, with the digests of
+        the elements around them (none inside the main content, which is one stretch)."""
+        out: list[dict] = []
         for text, main, junk, e in self.blocks:
-            path = []
-            while e is not None:
-                if e.digest and not main:
-                    path.append(e.digest)
-                e = e.parent
-            keep = not junk and (main or not self.has_main)
-            out.append({"text": text if keep else "", "keep": keep, "path": path})
+            if junk or (self.has_main and not main):
+                continue
+            path = self._path(e, main)
+            if out and not path and not out[-1]["path"]:
+                out[-1]["text"] += " " + text
+            else:
+                out.append({"text": text, "path": path})
         return out
 
 
-def page_blocks(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """All columns of ``pages`` but the html, with host and blocks (text, keep, path)."""
+def _parsed(pages: DataFrame, html_col: str, cols: dict[str, Column], field: tuple, make) -> DataFrame:
+    """``cols`` and what ``make`` takes out of each page's tree (``field``: name, Arrow type, SQL type)."""
     ship_package(pages.sparkSession)
-    own = [f for f in pages.schema.fields if f.name != html_col]
+    name, arrow, sql = field
 
     def run(batches):
-        kind = pa.list_(pa.struct([("text", pa.string()), ("keep", pa.bool_()), ("path", pa.list_(pa.int64()))]))
         for batch in batches:
             found, size, lo = [], 0, 0
-            whole = batch.column(batch.num_columns - 1)
-            for i in range(batch.num_rows):
-                page = whole[i].as_py() or ""
+            for i, page in enumerate(batch.column(batch.num_columns - 1)):
+                page = page.as_py() or ""
                 size += len(page)
-                found.append(PageTree(page).rows())
+                found.append(make(PageTree(page)))
                 if size > 4 << 20 or i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays(
-                        [*(c.slice(lo, len(found)) for c in batch.columns[:-1]), pa.array(found, kind)],
-                        names=[*batch.schema.names[:-1], "blocks"])
+                        [*(c.slice(lo, len(found)) for c in batch.columns[:-1]), pa.array(found, arrow)],
+                        names=[*batch.schema.names[:-1], name])
                     found, size, lo = [], 0, i + 1
 
-    names = [f"c{i}" for i in range(len(own))]
-    listed = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, own, strict=True))
-    return (pages.select(*(F.col(f"`{f.name}`").alias(n) for n, f in zip(names, own, strict=True)),
-                         F.coalesce(F.lower(F.try_parse_url(F.col(url_col), F.lit("HOST"))), F.lit("")).alias("host"),
-                         F.col(html_col).alias("html"))
-            .mapInArrow(run, f"{listed}, host string, "
-                             "blocks array<struct<text:string,keep:boolean,path:array<bigint>>>"))
+    given = pages.select(*(c.alias(n) for n, c in cols.items()), F.col(f"`{html_col}`").alias("_html"))
+    listed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    return given.mapInArrow(run, f"{listed}, {name} {sql}")
+
+
+_TREES = ("trees", pa.list_(pa.int64()), "array<bigint>")
+_KEPT = ("blocks", pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))])),
+         "array<struct<text:string,path:array<bigint>>>")
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
@@ -271,30 +284,37 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     Each element outside the declared main content (``article``, ``main``) is
     hashed with everything below it. Spark counts on how many pages of its host
     a subtree stands; those on at least ``min_pages`` pages and ``min_share``
-    of the host's are the site's template and are deleted (n_template blocks).
+    of the host's are the site's template and are deleted (n_template subtrees).
     Of what is left, the main content counts where a page declares one, else
     everything; menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles, hidden elements and reader comments that their markup
     gives away are dropped on sites of any size. Elements inside the main
     content are no template, however often their text recurs.
 
+    Pages are parsed twice, once for the counts and once for the text, so that
+    only digests are stored and the text moves once.
+
     Character references are decoded, white space inside a block becomes one
     blank, blocks are joined by one blank in page order. Null and empty pages
     give an empty text; pages without a host share the empty host; repeated
-    rows count as pages of their own. Columns of ``pages`` called text,
-    n_template or host don't clash, but the first two are replaced.
+    rows count as pages of their own. Other columns may have any name; one
+    called text or n_template is replaced.
     """
-    own = [f.name for f in pages.schema.fields if f.name != html_col]
-    parsed = written(page_blocks(pages, url_col, html_col).withColumn("page", F.monotonically_increasing_id()), "pages")
-    trees = (parsed.select("page", "host", F.explode(F.array_distinct(F.flatten("blocks.path"))).alias("tree")))
-    sizes = parsed.groupBy("host").agg(F.count("*").alias("pages"))
+    own = {f"c{i}": name for i, name in enumerate(c for c in pages.columns if c not in (html_col, "text", "n_template"))}
+    host = F.coalesce(F.lower(F.try_parse_url(F.col(f"`{url_col}`"), F.lit("HOST"))), F.lit(""))
+    content = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")  # pages that agree in both share their templates
+    key = {"k1": F.xxhash64(F.lit(1), *content), "k2": F.xxhash64(F.lit(2), *content)}
+    digests = written(_parsed(pages, html_col, key | {"host": F.xxhash64(host)}, _TREES, PageTree.trees), "trees")
+    trees = digests.select("k1", "k2", "host", F.explode("trees").alias("tree"))
+    sizes = digests.groupBy("host").agg(F.count("*").alias("pages"))
     template = (trees.groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
                 .join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "tree"))
-    gone = trees.join(template, ["host", "tree"]).groupBy("page").agg(F.collect_list("tree").alias("gone"))
-    with_gone = parsed.join(gone, "page", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
-    deleted = lambda b: F.arrays_overlap(b["path"], F.col("gone"))
-    left = F.filter("blocks", lambda b: b["keep"] & ~deleted(b))
-    return with_gone.select(
-        *(F.col(f"c{i}").alias(name) for i, name in enumerate(own) if name not in ("text", "n_template")),
-        F.array_join(F.transform(left, lambda b: b["text"]), " ").alias("text"),
-        F.size(F.filter("blocks", deleted)).cast("bigint").alias("n_template"))
+    gone = trees.join(template, ["host", "tree"]).groupBy("k1", "k2").agg(F.collect_set("tree").alias("gone"))
+    texts = _parsed(pages, html_col, {n: F.col(f"`{c}`") for n, c in own.items()} | key, _KEPT, PageTree.kept)
+    none = F.array().cast("array<bigint>")
+    left = texts.join(gone, ["k1", "k2"], "left").withColumn("gone", F.coalesce("gone", none))
+    stays = F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], F.col("gone")))
+    return left.select(
+        *(F.col(n).alias(c) for n, c in own.items()),
+        F.array_join(F.transform(stays, lambda b: b["text"]), " ").alias("text"),
+        F.size("gone").cast("bigint").alias("n_template"))
