@@ -230,9 +230,11 @@ class PageTree:
             e = e.parent
         return path
 
-    def trees(self) -> list[int]:
-        """Digests of the distinct subtrees that a template may hold."""
-        return sorted({d for _, main, _, e in self.blocks for d in self._path(e, main)})
+    def trees(self) -> dict:
+        """A digest of the page's texts, and those of the distinct subtrees that a template may hold."""
+        texts = "\0".join(text for text, *_ in self.blocks if text).encode("utf-8", "surrogatepass")
+        return {"body": int.from_bytes(hashlib.blake2b(texts, digest_size=8).digest(), "little", signed=True),
+                "trees": sorted({d for _, main, _, e in self.blocks for d in self._path(e, main)})}
 
     def kept(self) -> list[dict]:
         """Stretches of text that the page's own markup leaves, with the digests of
@@ -272,7 +274,8 @@ def _parsed(pages: DataFrame, html_col: str, cols: dict[str, Column], field: tup
     return given.mapInArrow(run, f"{listed}, {name} {sql}")
 
 
-_TREES = ("trees", pa.list_(pa.int64()), "array<bigint>")
+_TREES = ("found", pa.struct([("body", pa.int64()), ("trees", pa.list_(pa.int64()))]),
+          "struct<body:bigint,trees:array<bigint>>")
 _KEPT = ("blocks", pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))])),
          "array<struct<text:string,path:array<bigint>>>")
 
@@ -283,7 +286,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
 
     Each element outside the declared main content (``article``, ``main``) is
     hashed with everything below it. Spark counts on how many pages of its host
-    a subtree stands; those on at least ``min_pages`` pages and ``min_share``
+    a subtree stands, pages of the same texts once (copies are no template); those on at least ``min_pages`` pages and ``min_share``
     of the host's are the site's template and are deleted (n_template subtrees).
     Of what is left, the main content counts where a page declares one, else
     everything; menus, headers, footers, sidebars, notices, adverts, forms,
@@ -297,7 +300,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     Character references are decoded, white space inside a block becomes one
     blank, blocks are joined by one blank in page order. Null and empty pages
     give an empty text; pages without a host share the empty host; repeated
-    rows count as pages of their own. Other columns may have any name; one
+    rows count as one page. Other columns may have any name; one
     called text or n_template is replaced.
     """
     own = {f"c{i}": name for i, name in enumerate(c for c in pages.columns if c not in (html_col, "text", "n_template"))}
@@ -305,9 +308,9 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     content = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")  # pages that agree in both share their templates
     key = {"k1": F.xxhash64(F.lit(1), *content), "k2": F.xxhash64(F.lit(2), *content)}
     digests = written(_parsed(pages, html_col, key | {"host": F.xxhash64(host)}, _TREES, PageTree.trees), "trees")
-    trees = digests.select("k1", "k2", "host", F.explode("trees").alias("tree"))
-    sizes = digests.groupBy("host").agg(F.count("*").alias("pages"))
-    template = (trees.groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    trees = digests.select("k1", "k2", "host", "found.body", F.explode("found.trees").alias("tree"))
+    sizes = digests.select("host", "found.body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    template = (trees.select("host", "tree", "body").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
                 .join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "tree"))
     gone = trees.join(template, ["host", "tree"]).groupBy("k1", "k2").agg(F.collect_set("tree").alias("gone"))
     texts = _parsed(pages, html_col, {n: F.col(f"`{c}`") for n, c in own.items()} | key, _KEPT, PageTree.kept)

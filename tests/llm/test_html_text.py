@@ -56,3 +56,10 @@ def test_extra_columns_and_empty_table(spark):
     got = main_text(df)
     assert got.columns == ["page_id", "url", "page", "text", "n_template"] and got.first().text == "x"
     assert main_text(df.where("false")).count() == 0
+
+
+def test_copies_are_no_template(spark):
+    rows = [(i, f"http://h.example/{i}", f"<nav>menu {i}</nav><div><p>A copied story.</p><p>Its end.</p></div>") for i in range(6)]
+    rows += [(i, f"http://h.example/{i}", f"<div><p>story {i}</p></div>") for i in range(6, 12)]
+    for r in main_text(pages(spark, rows)).collect():
+        assert r.text == ("A copied story. Its end." if r.page_id < 6 else f"story {r.page_id}")
