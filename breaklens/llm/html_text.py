@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from breaklens.session import ship_package, written
 
-#: A subtree is template if it stands on this many pages of its host and this share of them.
+#: A subtree is template if it stands on this many pages of its host.
 MIN_PAGES = 4
-MIN_SHARE = 0.05
 
 # Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -280,14 +279,13 @@ _KEPT = ("blocks", pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(
          "array<struct<text:string,path:array<bigint>>>")
 
 
-def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
-              min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """All columns of ``pages`` but the html, then ``text`` and ``n_template``.
 
     Each element outside the declared main content (``article``, ``main``) is
     hashed with everything below it. Spark counts on how many pages of its host
-    a subtree stands, pages of the same texts once (copies are no template); those on at least ``min_pages`` pages and ``min_share``
-    of the host's are the site's template and are deleted (n_template subtrees).
+    a subtree stands, pages of the same texts once (copies are no template); those on at least ``min_pages`` pages, however large
+    the host, are the site's template and are deleted (n_template subtrees).
     Of what is left, the main content counts where a page declares one, else
     everything; menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles, hidden elements and reader comments that their markup
@@ -309,9 +307,8 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     key = {"k1": F.xxhash64(F.lit(1), *content), "k2": F.xxhash64(F.lit(2), *content)}
     digests = written(_parsed(pages, html_col, key | {"host": F.xxhash64(host)}, _TREES, PageTree.trees), "trees")
     trees = digests.select("k1", "k2", "host", "found.body", F.explode("found.trees").alias("tree"))
-    sizes = digests.select("host", "found.body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     template = (trees.select("host", "tree", "body").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-                .join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "tree"))
+                .select("host", "tree"))
     gone = trees.join(template, ["host", "tree"]).groupBy("k1", "k2").agg(F.collect_set("tree").alias("gone"))
     texts = _parsed(pages, html_col, {n: F.col(f"`{c}`") for n, c in own.items()} | key, _KEPT, PageTree.kept)
     none = F.array().cast("array<bigint>")

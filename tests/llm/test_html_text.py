@@ -63,3 +63,8 @@ def test_copies_are_no_template(spark):
     rows += [(i, f"http://h.example/{i}", f"<div><p>story {i}</p></div>") for i in range(6, 12)]
     for r in main_text(pages(spark, rows)).collect():
         assert r.text == ("A copied story. Its end." if r.page_id < 6 else f"story {r.page_id}")
+
+
+def test_template_of_a_section_on_a_large_host(spark):
+    rows = [(i, f"http://h.example/{i}", f"<p>story {i}</p>" + "<div>Section notice</div>" * (i < 6)) for i in range(200)]
+    assert all(r.text == f"story {r.page_id}" for r in main_text(pages(spark, rows)).collect())
