@@ -14,6 +14,8 @@ from breaklens.session import ship_package, written
 
 #: A subtree is template if it stands on this many pages of its host.
 MIN_PAGES = 4
+#: Inside the declared main content also on more than this share of its host's pages.
+MAIN_SHARE = 0.5
 
 # Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,6 +28,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
                   "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu "
                   "nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead "
                   "tr ul".split())
+#: Elements that may be template inside the main content (lone paragraphs and headings are text).
+GROUPS = frozenset("address center details dir div dl figure hgroup menu ol section table ul".split())
 #: Elements that a start tag of the key closes, up to the nearest element of the second set.
 CLOSED_BY = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu", "dir"))),
@@ -86,7 +90,8 @@ class PageTree:
 
     ``blocks``: (text, in main content, dropped by its own markup, enclosing
     block element) in page order. Every block element outside the main content
-    gets the digest of its subtree: element names and texts, in order.
+    and every group inside gets the digest of its subtree: element names and texts,
+    in order.
     """
 
     def __init__(self, page: str) -> None:
@@ -208,22 +213,23 @@ class PageTree:
         e = self.at
         if e.tag in BLOCK or e.parent is None:
             self._flush()
-        if not e.main or e.tag in MAIN:
-            whole = b"\0".join(b" ".join(p.split()) for p in e.parts)
-            digest = hashlib.blake2b(e.tag.encode() + b"\1" + whole, digest_size=8).digest()
-            if e.parent is not None:
-                e.parent.parts.append(digest.hex().encode())
-            if e.tag in BLOCK and e.tag not in ("html", "body") and not e.main:
-                e.digest = int.from_bytes(digest, "little", signed=True)
-                if e.junk and not (e.parent is not None and e.parent.junk) and whole.strip(b"\0"):
-                    self.blocks.append(("", False, True, e))
+        whole = b"\0".join(b" ".join(p.split()) for p in e.parts)
+        digest = hashlib.blake2b(e.tag.encode() + b"\1" + whole, digest_size=8).digest()
+        if e.parent is not None:
+            e.parent.parts.append(digest.hex().encode())
+        if e.tag in (GROUPS if e.main else BLOCK) and e.tag not in ("html", "body") and e.tag not in MAIN:
+            e.digest = int.from_bytes(digest, "little", signed=True)
+            if e.main:
+                e.digest = ~e.digest  # not one with the same subtree outside
+            elif e.junk and not (e.parent is not None and e.parent.junk) and whole.strip(b"\0"):
+                self.blocks.append(("", False, True, e))
         e.parts = []
         self.at = e.parent
 
     @staticmethod
     def _path(e: _Element | None, main: bool) -> list[int]:
         path = []
-        while e is not None and not main:
+        while e is not None and e.main == main:
             if e.digest:
                 path.append(e.digest)
             e = e.parent
@@ -233,11 +239,12 @@ class PageTree:
         """A digest of the page's texts, and those of the distinct subtrees that a template may hold."""
         texts = "\0".join(text for text, *_ in self.blocks if text).encode("utf-8", "surrogatepass")
         return {"body": int.from_bytes(hashlib.blake2b(texts, digest_size=8).digest(), "little", signed=True),
-                "trees": sorted({d for _, main, _, e in self.blocks for d in self._path(e, main)})}
+                **{name: sorted({d for _, main, _, e in self.blocks if main == inner for d in self._path(e, main)})
+                   for name, inner in (("trees", False), ("inner", True))}}
 
     def kept(self) -> list[dict]:
         """Stretches of text that the page's own markup leaves, with the digests of
-        the elements around them (none inside the main content, which is one stretch)."""
+        the elements around them (inside the main content those of the groups in it)."""
         out: list[dict] = []
         for text, main, junk, e in self.blocks:
             if junk or (self.has_main and not main):
@@ -273,8 +280,12 @@ def _parsed(pages: DataFrame, html_col: str, cols: dict[str, Column], field: tup
     return given.mapInArrow(run, f"{listed}, {name} {sql}")
 
 
-_TREES = ("found", pa.struct([("body", pa.int64()), ("trees", pa.list_(pa.int64()))]),
-          "struct<body:bigint,trees:array<bigint>>")
+def _marked(inner: bool):
+    return lambda d: F.struct(d.alias("tree"), F.lit(inner).alias("inner"))
+
+
+_TREES = ("found", pa.struct([("body", pa.int64()), ("trees", pa.list_(pa.int64())), ("inner", pa.list_(pa.int64()))]),
+          "struct<body:bigint,trees:array<bigint>,inner:array<bigint>>")
 _KEPT = ("blocks", pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))])),
          "array<struct<text:string,path:array<bigint>>>")
 
@@ -282,15 +293,17 @@ _KEPT = ("blocks", pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """All columns of ``pages`` but the html, then ``text`` and ``n_template``.
 
-    Each element outside the declared main content (``article``, ``main``) is
+    Each element outside the declared main content (``article``, ``main``) and
+    each group (``div``, lists, tables) inside is
     hashed with everything below it. Spark counts on how many pages of its host
     a subtree stands, pages of the same texts once (copies are no template); those on at least ``min_pages`` pages, however large
     the host, are the site's template and are deleted (n_template subtrees).
     Of what is left, the main content counts where a page declares one, else
     everything; menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles, hidden elements and reader comments that their markup
-    gives away are dropped on sites of any size. Elements inside the main
-    content are no template, however often their text recurs.
+    gives away are dropped on sites of any size. Inside the main content, a
+    group must also stand on more than half of the host's pages; paragraphs
+    outside of such groups stay, however often their text recurs.
 
     Pages are parsed twice, once for the counts and once for the text, so that
     only digests are stored and the text moves once.
@@ -306,9 +319,12 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     content = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")  # pages that agree in both share their templates
     key = {"k1": F.xxhash64(F.lit(1), *content), "k2": F.xxhash64(F.lit(2), *content)}
     digests = written(_parsed(pages, html_col, key | {"host": F.xxhash64(host)}, _TREES, PageTree.trees), "trees")
-    trees = digests.select("k1", "k2", "host", "found.body", F.explode("found.trees").alias("tree"))
-    template = (trees.select("host", "tree", "body").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-                .select("host", "tree"))
+    trees = digests.select("k1", "k2", "host", "found.body", F.explode(F.concat(*(
+        F.transform(f"found.{name}", _marked(inner))
+        for name, inner in (("trees", False), ("inner", True))))).alias("t")).select("k1", "k2", "host", "body", "t.*")
+    sizes = digests.select("host", "found.body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    template = (trees.select("host", "tree", "inner", "body").distinct().groupBy("host", "tree", "inner").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+                .join(sizes, "host").where(~F.col("inner") | (F.col("n") > F.col("pages") * MAIN_SHARE)).select("host", "tree"))
     gone = trees.join(template, ["host", "tree"]).groupBy("k1", "k2").agg(F.collect_set("tree").alias("gone"))
     texts = _parsed(pages, html_col, {n: F.col(f"`{c}`") for n, c in own.items()} | key, _KEPT, PageTree.kept)
     none = F.array().cast("array<bigint>")

@@ -68,3 +68,10 @@ def test_copies_are_no_template(spark):
 def test_template_of_a_section_on_a_large_host(spark):
     rows = [(i, f"http://h.example/{i}", f"<p>story {i}</p>" + "<div>Section notice</div>" * (i < 6)) for i in range(200)]
     assert all(r.text == f"story {r.page_id}" for r in main_text(pages(spark, rows)).collect())
+
+
+def test_recurring_group_inside_main(spark):
+    rows = [(i, f"http://h.example/{i}", f"<main><div class=x7>Share this</div><div><p>story {i}</p><p>Same licence.</p></div>"
+             + "<div>twice told</div>" * (i < 5) + "</main>") for i in range(12)]
+    for r in main_text(pages(spark, rows)).collect():
+        assert r.text == f"story {r.page_id} Same licence." + " twice told" * (r.page_id < 5) and r.n_template == 1
