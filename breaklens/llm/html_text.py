@@ -24,6 +24,7 @@ NOT_TEXT = frozenset("head script style title noscript template iframe object em
                      "select option datalist textarea button input label fieldset legend form nav header footer "
                      "aside menu dialog map applet".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
                   "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu "
                   "nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead "
@@ -47,6 +48,15 @@ NAMES = frozenset("ad ads advert adverts advertisement advertising adbox sponsor
                   "cookie cookies consent gdpr newsletter subscribe signup popup modal overlay nav navbar navigation "
                   "menu breadcrumb breadcrumbs footer comments comment disqus share sharing social related "
                   "recommended widget pagination pager notice banner login skip".split())
+COMMENTS = frozenset("comments comment disqus".split())
+#: Words that give an element away as part of any name, unless one of DENIALS stands beside them.
+SURE = frozenset("ad ads advert adverts advertisement advertising adbox sponsor sponsored cookie cookies consent gdpr "
+                 "newsletter disqus navbar breadcrumb breadcrumbs".split())
+DENIALS = frozenset("has with no without".split())
+#: Words that say nothing beside one of NAMES; any other makes the name one of its own.
+FILLER = frozenset("list area section box block wrap wrapper container bar item items inner outer row column top bottom "
+                   "left right site primary secondary mobile desktop sticky fixed link links button buttons icon icons "
+                   "post posts article articles panel group toggle reader user header main".split())
 WHOLE_NAMES = frozenset("header site-header page-header masthead top-bar topbar".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -56,11 +66,14 @@ _NAME = re.compile(r"[^a-z0-9]+")
 
 
 class _Element:
-    __slots__ = ("digest", "junk", "main", "parent", "parts", "tag")
+    __slots__ = ("digest", "dropped", "junk", "main", "mains", "name", "named", "parent", "parts", "size", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, junk: bool) -> None:
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Element | None, junk: bool, name: int = 0) -> None:
+        self.tag, self.parent, self.name = tag, parent, name
         self.junk = junk or (parent is not None and parent.junk)
+        self.named = self if name else parent.named if parent is not None else None
+        self.size = self.mains = 0  # of a named element: characters and outermost main elements inside
+        self.dropped = False
         self.main = tag in MAIN or (parent is not None and parent.main)
         self.parts: list[bytes] = []
         self.digest = 0
@@ -79,12 +92,31 @@ def _is_junk(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and value:
-            if not WHOLE_NAMES.isdisjoint(value.split()) or not NAMES.isdisjoint(_NAME.split(value)):
-                return True
     return False
 
 
+def _by_name(tag: str, attributes: str, in_article: bool) -> int:
+    """Do class and id give an element away: 0 no, 1 by a word that layouts use as well, 2 for sure."""
+    found = 0
+    if not attributes or tag in ("html", "body") or (tag in MAIN and not (tag == "article" and in_article)):
+        return found
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name != "class" and (name != "id" or tag in HEADINGS):
+            continue
+        for token in value.strip("\"'").lower().split():
+            parts = {w for w in _NAME.split(token) if w and not w.isdigit()}
+            alone = not parts.isdisjoint(NAMES) and parts <= NAMES | FILLER
+            comment = alone and not parts.isdisjoint(COMMENTS)
+            if tag in MAIN:  # only a comment of its own is junk inside an article
+                found = max(found, 2 * comment)
+            elif comment or (not parts.isdisjoint(SURE) and parts.isdisjoint(DENIALS)):
+                found = 2
+            elif alone or token in WHOLE_NAMES:
+                found = max(found, 1)
+    return found
+
+
 class PageTree:
     """The elements of one page, built in one pass; bad nesting closes what it must.
 
@@ -97,12 +129,36 @@ class PageTree:
     def __init__(self, page: str) -> None:
         self.root = self.at = _Element("", None, False)
         self.blocks: list[tuple[str, bool, bool, _Element]] = []
-        self.has_main = False
-        self._text: list[str] = []
+        self._mains: list[_Element] = []
+        self._text: list[tuple[str, _Element | None]] = []
+        self._named: list[_Element] = []
+        self._size = self._outermost = 0
+        self._raw: list[tuple[list[tuple[str, _Element | None]] | None, _Element]] = []
         self._parse(page)
         self._flush()
         while self.at is not None:
             self._close_one()
+        self._resolve()
+
+    def _resolve(self) -> None:
+        """Drops what names give away, but not what holds the declared main content or most of the text."""
+        sure = sum(e.size for e in self._named if e.name == 2 and (e.parent.named is None or e.parent.named.name != 2))
+        declared = any(e.named is None for e in self._mains)
+        for e in self._named:  # outer ones first
+            holds = self._outermost and e.mains == self._outermost and 2 * e.size >= self._size
+            most = e.name == 1 and (e.main or not declared) and 2 * e.size > max(self._size - sure, e.size)
+            above = e.parent.named
+            e.dropped = (above is not None and above.dropped) or not (holds or most)
+        self.has_main = any(e.named is None or not e.named.dropped for e in self._mains)
+        for pieces, e in self._raw:
+            if pieces is None:
+                above = e.parent.named if e.parent is not None else None
+                if not (above is not None and above.dropped) and (e.junk or e.dropped):
+                    self.blocks.append(("", False, True, e))
+                continue
+            text = " ".join("".join(x for x, named in pieces if named is None or not named.dropped).split())
+            if text:
+                self.blocks.append((text, e.main, False, e))
 
     def _parse(self, page: str) -> None:
         pos, n = 0, len(page)
@@ -145,7 +201,12 @@ class PageTree:
         text = html.unescape(raw) if "&" in raw else raw
         self.at.parts.append(text.encode("utf-8", "surrogatepass"))
         if not self.at.junk:
-            self._text.append(text)
+            self._text.append((text, self.at.named))
+            size, e = len(text.strip()), self.at.named
+            self._size += size
+            while e is not None:
+                e.size += size
+                e = e.parent.named
 
     def _block(self) -> _Element:
         e = self.at
@@ -155,11 +216,8 @@ class PageTree:
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join("".join(self._text).split())
+            self._raw.append((self._text, self._block()))
             self._text = []
-            if text:
-                e = self._block()
-                self.blocks.append((text, e.main, False, e))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCK or tag in MAIN:
@@ -177,13 +235,21 @@ class PageTree:
             while last is not None and self.at is not last.parent:
                 self._close_one()
         if tag == "br":
-            self._text.append("\n")
+            self._text.append(("\n", None))
         if tag in VOID:
             self.at.parts.append(b"<" + tag.encode() + b">")
             return
-        e = _Element(tag, self.at, _is_junk(tag, attributes))
-        if e.tag in MAIN and not e.junk:
-            self.has_main = True
+        name = _by_name(tag, attributes, tag in MAIN and self._open("article")) if attributes else 0
+        e = _Element(tag, self.at, _is_junk(tag, attributes), name)
+        if name:
+            self._named.append(e)
+        if tag in MAIN and not e.junk:
+            self._mains.append(e)
+            above = e.named if not self.at.main else None
+            self._outermost += not self.at.main
+            while above is not None:
+                above.mains += 1
+                above = above.parent.named
         self.at = e
         if attributes.endswith("/") and tag in ("svg", "path"):
             self._close_one()
@@ -202,7 +268,7 @@ class PageTree:
         if tag in BLOCK:
             self._flush()
         if tag == "br":
-            self._text.append("\n")
+            self._text.append(("\n", None))
         if not self._open(tag, stop=() if tag in BLOCK else ("td", "th", "article", "main", "body")):
             return
         while self.at.tag != tag:
@@ -221,8 +287,8 @@ class PageTree:
             e.digest = int.from_bytes(digest, "little", signed=True)
             if e.main:
                 e.digest = ~e.digest  # not one with the same subtree outside
-            elif e.junk and not (e.parent is not None and e.parent.junk) and whole.strip(b"\0"):
-                self.blocks.append(("", False, True, e))
+            elif (e.junk or e.name) and not (e.parent is not None and e.parent.junk) and whole.strip(b"\0"):
+                self._raw.append((None, e))
         e.parts = []
         self.at = e.parent
 

@@ -75,3 +75,18 @@ def test_recurring_group_inside_main(spark):
              + "<div>twice told</div>" * (i < 5) + "</main>") for i in range(12)]
     for r in main_text(pages(spark, rows)).collect():
         assert r.text == f"story {r.page_id} Same licence." + " twice told" * (r.page_id < 5) and r.n_template == 1
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<div class='has-sidebar'><article>story</article></div>", "story"),
+    ("<div class='elementor-widget wide'><p>story</p></div>", "story"), ("<div id='nav-page'><main>story</main></div>", "story"),
+    ("<div class=sidebar><div class=widget><article>story</article></div></div>", "story"),
+    ("<div class=widget><p>a long story told here</p></div><p>end</p>", "a long story told here end"),
+    ("<article><h2 id='related-work'>Related work</h2><p>t</p></article>", "Related work t"),
+    ("<article>t<article class='comment'>no</article><div class='comments-area'><article>no</article></div></article>", "t"),
+    ("<article class='comment'>an opinion</article>", "an opinion"),
+    ("<main>t</main><section class=related><article>no</article></section>", "t"),
+    ("<p>a long enough text</p><div class='widget box'>no</div><span class='ad-slot'>no</span>", "a long enough text"),
+])
+def test_names_of_elements(page, want):
+    assert text(page) == want
