@@ -53,3 +53,71 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(item
        sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
+
+#: crc32 of short strings: the table of the reflected polynomial, then one step a byte.
+_CRC = """
+crc_bits AS (
+  SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(0 AS BIGINT) FOR z IN range(8)]),
+                        lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c
+  FROM range(256) AS t(i)),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_bits)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of an ASCII string expression; ``t`` is the column of ``crc_table``."""
+    return (f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(ch) AS BIGINT) "
+            f"FOR ch IN string_split({text}, '')]), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)))")
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+_ROW = " || ".join(_field(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars"))
+
+#: Trees a source and one of the subroots, level by level; paths and folded roots by joins on the levels.
+MERKLE = f"""
+WITH RECURSIVE {_CRC},
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, sha256({_ROW} || {_field("text")}) AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_crc32("CAST(coalesce(doc_id, 0) AS VARCHAR)")} % 2 = 0
+              THEN sha256({_ROW} || {_field("replace(text, chr(10), '')")}) END AS tampered
+  FROM documents, crc_table),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM docs),
+nodes AS (
+  SELECT source, 0 AS lvl, i AS idx, leaf AS h FROM leaves
+  UNION ALL
+  SELECT source, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM nodes) WHERE n > 1 GROUP BY source, lvl, idx // 3),
+subroots AS (
+  SELECT source, arg_max(h, lvl) AS subroot, max(lvl) AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i
+  FROM nodes GROUP BY source),
+crown AS (
+  SELECT 0 AS lvl, i AS idx, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER () AS n FROM crown) WHERE n > 1 GROUP BY lvl, idx // 3),
+top AS (SELECT arg_max(h, lvl) AS root, max(lvl) AS height FROM crown),
+runs AS (
+  SELECT l.r, n.lvl AS step, n.idx, n.h, l.i // CAST(pow(3, n.lvl) AS BIGINT) AS own
+  FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+  JOIN nodes n ON n.source IS NOT DISTINCT FROM l.source AND n.lvl < s.height
+       AND n.idx // 3 = l.i // CAST(pow(3, n.lvl + 1) AS BIGINT)
+  UNION ALL
+  SELECT l.r, s.height + n.lvl, n.idx, n.h, s.i // CAST(pow(3, n.lvl) AS BIGINT)
+  FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source, top t
+  JOIN crown n ON n.lvl < t.height AND n.idx // 3 = s.i // CAST(pow(3, n.lvl + 1) AS BIGINT)),
+steps AS (
+  SELECT r, step, coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx < own), '') AS lft,
+         coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx > own), '') AS rgt
+  FROM runs GROUP BY r, step),
+folds AS (
+  SELECT r, 0 AS step, coalesce(tampered, leaf) AS h FROM docs
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(s.lft || f.h || s.rgt) FROM folds f JOIN steps s ON s.r = f.r AND s.step = f.step),
+proofs AS (SELECT r, string_agg(lft || rgt, '' ORDER BY step) AS proof FROM steps GROUP BY r)
+SELECT l.doc_id, l.leaf, s.subroot, t.root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.h AS folded_root,
+       f.h = t.root AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN top t
+JOIN folds f ON f.r = l.r AND f.step = s.height + t.height LEFT JOIN proofs p ON p.r = l.r
+"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from breaklens.llm import langid, oracles, pii, toxicity
 from breaklens.llm.decontaminate import contamination
 from breaklens.llm.html_text import main_text
+from breaklens.llm.merkle import digest, fold, leaf, merkle_manifest, siblings
 from breaklens.llm.near_dup import near_duplicates
 from breaklens.llm.packing import pack_texts
 from breaklens.llm.quality import quality
@@ -107,6 +108,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, and which proofs still hold once line ends are gone from every other text."""
+    docs = table(spark, sf_dir, "documents")
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when((id_remainder("doc_id", 2) == 0) & F.contains("text", F.lit("\n")),
+                      leaf(*others, F.replace("text", F.lit("\n"), F.lit(""))))
+    manifest = merkle_manifest(docs, leaf(*others, F.col("text")), "source", "doc_id",
+                               {"doc_id": F.col("doc_id"), "tampered": tampered})
+    told = manifest.select("doc_id", "leaf", "subroot", "root", digest(siblings(F.col("path"))).alias("proof_sha256"),
+                           fold(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_language_id": op2_language_id,
@@ -118,10 +132,12 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
+    "op13_merkle": op13_merkle,
 }
 
 #: The others are held against brute force, exact round trips or held-out rows in tests/llm.
 ORACLE: dict[str, str] = {
     "op1_near_dup": oracles.NEAR_DUP,
     "op6_decontamination": oracles.DECONTAMINATION,
+    "op13_merkle": oracles.MERKLE,
 }
