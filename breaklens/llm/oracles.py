@@ -121,3 +121,76 @@ SELECT l.doc_id, l.leaf, s.subroot, t.root, sha256(coalesce(p.proof, '')) AS pro
 FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN top t
 JOIN folds f ON f.r = l.r AND f.step = s.height + t.height LEFT JOIN proofs p ON p.r = l.r
 """
+
+
+def _add(state: str, cost: str, letter: str, line: str = "''") -> str:
+    """A state's (cost and audit as one sortable string, text so far) after an edit; `~` is no way to get there."""
+    return (f"struct_pack(k := CASE WHEN {state}.k = '~' THEN '~' ELSE printf('%09d', CAST({state}.k[1:9] AS INTEGER) "
+            f"+ {cost}) || {state}.k[10:] || '{letter}' END, t := {state}.t || {line})")
+
+
+def _best(*states: str) -> str:
+    return f"list_sort([{', '.join(states)}])[1]"
+
+
+def _if(condition: str, state: str) -> str:
+    return f"CASE WHEN {condition} THEN {state} ELSE struct_pack(k := '~', t := '') END"
+
+
+_USER, _ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+_LINE = "chr(10) || m.role || ':' || m.text"
+_STAYS = "m.fault NOT IN ('blank', 'duplicate')"
+
+#: Damage by crc32, then the least (cost, audit) of each role state, row by row, inserts after every row.
+CONVERSATIONS = rf"""
+WITH RECURSIVE {_CRC},
+hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said
+  FROM damaged),
+marked AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         CASE WHEN said <> '' AND right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS cut,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM placed),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id),
+fold AS (
+  SELECT conv_id, 0 AS i, struct_pack(k := '000000000', t := '') AS n, struct_pack(k := '~', t := '') AS s,
+         struct_pack(k := '000000003I', t := {_USER}) AS u,
+         struct_pack(k := '000000006II', t := {_USER} || {_ASSISTANT}) AS a
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, n, s, u, {_best("a", _add("u", "3", "I", _ASSISTANT))} AS a
+  FROM (SELECT conv_id, i, n, s, a,
+               {_best("u", _add("n", "3", "I", _USER), _add("s", "3", "I", _USER), _add("a", "3", "I", _USER))} AS u
+        FROM (SELECT f.conv_id, m.i, {_add("f.n", "4", "D")} AS n,
+                     {_best(_add("f.s", "4", "D"), _if(_STAYS + " AND left(m.role, 1) = 's'", _add("f.n", "m.cut", "K", _LINE)))} AS s,
+                     {_best(_add("f.u", "4", "D"), _if(_STAYS + " AND left(m.role, 1) = 'u'", _add("f.o", "m.cut", "K", _LINE)),
+                            _if(_STAYS, _add("f.o", "3 + m.cut", "R", _USER + " || m.text")))} AS u,
+                     {_best(_add("f.a", "4", "D"), _if(_STAYS + " AND left(m.role, 1) = 'a'", _add("f.u", "m.cut", "K", _LINE)),
+                            _if(_STAYS, _add("f.u", "3 + m.cut", "R", _ASSISTANT + " || m.text")))} AS a
+              FROM (SELECT *, {_best("n", "s", "a")} AS o FROM fold) f
+              JOIN marked m ON m.conv_id IS NOT DISTINCT FROM f.conv_id AND m.i = f.i + 1))),
+goal AS (
+  SELECT conv_id, {_best("n", "a")} AS g FROM fold
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(g.g.k[1:9] AS BIGINT) AS cost,
+       g.g.k[10:] AS audit, sha256(g.g.t[2:]) AS repaired_sha256
+FROM goal g LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM g.conv_id
+"""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breaklens.llm import langid, oracles, pii, toxicity
+from breaklens.llm.conversations import damaged, repair_conversations
 from breaklens.llm.decontaminate import contamination
 from breaklens.llm.html_text import main_text
 from breaklens.llm.merkle import digest, fold, leaf, merkle_manifest, siblings
@@ -108,6 +109,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations, after planted damage."""
+    rows, gone = damaged(table(spark, sf_dir, "conversations"))
+    return repair_conversations(rows, gone=gone)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of all documents, and which proofs still hold once line ends are gone from every other text."""
     docs = table(spark, sf_dir, "documents")
@@ -132,6 +139,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
+    "op12_conversations": op12_conversations,
     "op13_merkle": op13_merkle,
 }
 
@@ -139,5 +147,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_near_dup": oracles.NEAR_DUP,
     "op6_decontamination": oracles.DECONTAMINATION,
+    "op12_conversations": oracles.CONVERSATIONS,
     "op13_merkle": oracles.MERKLE,
 }
