@@ -17,6 +17,7 @@ from breaklens.llm.decontaminate import contamination
 from breaklens.llm.html_text import main_text
 from breaklens.llm.merkle import digest, fold, leaf, merkle_manifest, siblings
 from breaklens.llm.near_dup import near_duplicates
+from breaklens.llm.order_minhash import as_text, fingerprint, likeness, with_next
 from breaklens.llm.packing import pack_texts
 from breaklens.llm.quality import quality
 from breaklens.llm.sharding import uniform_shards
@@ -109,6 +110,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of all documents and of their edited texts, whose last quarter is the next document's beginning."""
+    quarter = F.floor(F.col("size") / 4).cast("int")
+    found = with_next(table(spark, sf_dir, "documents"), quarter)
+    size = F.char_length("text")
+    found = found.withColumn("edited", F.concat(
+        F.col("text").substr(F.lit(1), size - F.floor(size / 4).cast("int")), "head"))
+    prints = found.select("doc_id", size.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                          F.col("fingerprint").alias("own"), fingerprint(F.col("edited")).alias("changed"),
+                          F.col("next_fingerprint").alias("next"))
+    return prints.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"),
+                         as_text(F.col("changed")).alias("edited_fingerprint"),
+                         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+                         likeness(F.col("own"), F.col("next")).alias("near_next"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repairs of all conversations, after planted damage."""
     rows, gone = damaged(table(spark, sf_dir, "conversations"))
@@ -139,6 +156,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_html_text": op9_html_text,
     "op10_pii": op10_pii,
+    "op11_order_minhash": op11_order_minhash,
     "op12_conversations": op12_conversations,
     "op13_merkle": op13_merkle,
 }
