@@ -12,10 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from breaklens.llm.words import small_batches
 from breaklens.session import ship_package
 
-#: Chunks whose ids a worker keeps; the memo starts anew beyond that.
-MEMO_CHUNKS = 300_000
+#: Chunks of one generation of a worker's memo; it keeps two.
+MEMO_CHUNKS = 400_000
 #: Characters that are split into chunks at a time.
 CHARS = 1 << 20
 
@@ -59,6 +60,27 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Ids of chunks, made when first asked for, in two generations.
+
+    A full generation becomes the old one, and the one before goes; what is
+    asked for again moves over from the old one. So frequent chunks stay.
+    """
+
+    def __init__(self, make, most: int) -> None:
+        self._make, self._most, self._old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self._old.get(key)
+        if ids is None:
+            ids = self._make(key)
+        if len(self) >= self._most:
+            self._old = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk; ids equal those of the whole text.
 
@@ -66,8 +88,8 @@ class ChunkEncoder:
     only the vocabulary's merges run on them; any other goes through the whole
     tokenizer.
 
-    Strings of special tokens inside a text are ordinary text. The chunks of
-    one text are encoded at most once per memo, which is what makes long
+    Strings of special tokens inside a text are ordinary text. A chunk is
+    encoded once as long as the memo keeps it, which is what makes long
     corpora of recurring words cheap.
     """
 
@@ -77,73 +99,45 @@ class ChunkEncoder:
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
-        self._memo: dict[str, bytes] = {"": b""}
-        self._most = memo_chunks
-        self._split = _without_space if self._tok.normalizer is not None else _with_space
+        self._memo = _Memo(self._new, memo_chunks)
+        self._lower = self._tok.normalizer is not None
+        self._split = _without_space if self._lower else _with_space
         self.vocab_size = self._tok.get_vocab_size()
         self._letters = _byte_letters()
-        self._lower = self._tok.normalizer is not None
 
     def _merged(self, piece: str) -> bytes:
         """Ids of one pre-token."""
         letters = piece.encode().decode("latin-1").translate(self._letters)
         return b"".join([t.id.to_bytes(4, "little") for t in self._tok.model.tokenize(letters)])
 
-    def _plain(self, lead: str, word: str, marks: str) -> bytes:
-        """Ids of one plain word with what stands around it; its pre-tokens are chunks too, under their own keys."""
+    def _new(self, key: str) -> bytes:
+        """Ids of a chunk; pre-tokens of a plain word with something around it are looked up by themselves."""
+        text = key if self._lower else key and _literal(key)
+        if not text:
+            return b""
+        m = _PLAIN.fullmatch(text)
+        if m is None:
+            return b"".join([x.to_bytes(4, "little") for x in self._tok.encode(text, add_special_tokens=False).ids])
+        lead, word, marks = m.groups()
         if self._lower:
-            parts = ((word.lower(), word.lower()), (marks, marks))
-        elif lead == " ":
-            parts = ((word, " " + word), ("\0" + marks, marks))
-        else:
-            parts = (("\0" + lead, lead), ("\0" + word, word), ("\0" + marks, marks))
-        out = b""
-        for key, piece in parts:
-            if piece:
-                ids = self._memo.get(key)
-                if ids is None:
-                    ids = self._memo[key] = self._merged(piece)
-                out += ids
-        return out
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) if t else [] for t in texts]
-        need = set().union(*split)
-        new = [c for c in need if c not in self._memo]
-        if len(self._memo) + len(new) > self._most:
-            self._memo = {"": b""}
-            new = [c for c in need if c]
-        odd = []
-        for key in new:
-            text = key if self._lower else _literal(key)
-            m = _PLAIN.fullmatch(text)
-            if m is None:
-                odd.append((key, text))
-            else:
-                self._memo[key] = self._plain(*m.groups())
-        for i in range(0, len(odd), 4096):
-            keys, part = zip(*odd[i:i + 4096], strict=True)
-            for key, e in zip(keys, self._tok.encode_batch_fast(list(part), add_special_tokens=False), strict=True):
-                self._memo[key] = b"".join([x.to_bytes(4, "little") for x in e.ids])
-        get = self._memo.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            low = word.lower()
+            if marks:
+                return self._memo[low] + self._memo[marks]
+            return self._merged(low) if low == word else self._memo[low]
+        if lead == "\n":
+            return self._memo["\0\n"] + self._memo["\0" + word + marks]
+        if marks:
+            return self._memo[word if lead else "\0" + word] + self._memo["\0" + marks]
+        return self._merged(text)
 
     def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        held: list[str] = []
-        size = 0
+        get = self._memo.__getitem__
         for t in texts:
             if len(t) > 2 * CHARS:
-                yield from self._ids(held)
-                held, size = [], 0
-                yield b"".join(self._ids([p])[0] for p in _pieces(t))
-                continue
-            held.append(t)
-            size += len(t)
-            if size >= CHARS:
-                yield from self._ids(held)
-                held, size = [], 0
-        yield from self._ids(held)
+                yield b"".join(b"".join(map(get, self._split(p))) for p in _pieces(t))
+            else:
+                yield b"".join(map(get, self._split(t))) if t else b""
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -193,6 +187,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     A null or empty text is ``end_id`` alone. Other columns are not looked at.
     """
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .mapInArrow(encoding(tokenizer_path, end_id), f"id {kind}, ids binary").withColumnRenamed("id", id_col))
