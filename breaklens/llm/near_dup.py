@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from breaklens.llm.graph import components
 from breaklens.llm.oph import OnePermutation, band_keys, distinct
-from breaklens.llm.words import SPACED, mix, slices, windows, words
+from breaklens.llm.words import SPACED, mix, slices, small_batches, windows, words
 from breaklens.session import release, ship_package, written
 
 SHINGLE_WORDS = 5
@@ -38,6 +38,7 @@ def shingle_features(docs: DataFrame, id_col: str, text_col: str, k: int = SHING
                      n_bins: int = N_BINS, band_rows: int = BAND_ROWS) -> DataFrame:
     """id, n_shingles, a 128-bit set fingerprint (f1, f2) and the band keys of every row."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     opener = OnePermutation(n_bins)
 
     def run(batches):
@@ -67,6 +68,7 @@ def shingle_features(docs: DataFrame, id_col: str, text_col: str, k: int = SHING
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE_WORDS) -> DataFrame:
     """id and the sorted distinct 64-bit shingle hashes of every row's whole text."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

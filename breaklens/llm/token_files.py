@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breaklens.llm.tokens import encoder
+from breaklens.llm.words import small_batches
 from breaklens.session import ship_package
 
 MANIFEST = "manifest.json"
@@ -48,6 +49,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(spark)
     tail = end_id.to_bytes(4, "little")
 
     def run(batches):

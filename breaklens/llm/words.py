@@ -129,28 +129,43 @@ def windows(h: np.ndarray, base: np.ndarray, k: int, short: bool = False) -> tup
     return mix(out), first, wbase
 
 
+#: Bytes of text that travel to a Python worker at a time, where the session doesn't say otherwise.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark) -> None:
+    """Arrow batches of at most :data:`BATCH_BYTES`, if the session has Spark's default of 64 MB:
+    a batch is held in the JVM and in the worker, by every task at once."""
+    if spark.conf.get(_BATCH_CONF) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+
+
 def beside(docs, cols: list[str], text_col: str, run, fields: str):
     """``cols`` of every row, then the new columns that ``run`` makes of Arrow text columns.
 
     ``run(text)`` yields lists of arrays for consecutive slices of the column.
-    Columns travel under positions, so no name clashes.
+    Columns travel under positions, so no name clashes; the text travels once.
     """
     from pyspark.sql import functions as F
 
+    small_batches(docs.sparkSession)
+    sent = list(cols) if text_col in cols else [*cols, text_col]
     own = [docs.schema[c] for c in cols]
     names = [f"c{i}" for i in range(len(own))]
     new = [f.split()[0] for f in fields.split(", ")]
+    text_at, n_own = sent.index(text_col), len(own)
 
     def mapped(batches):
         for batch in batches:
             lo = 0
-            for arrays in run(batch.column(batch.num_columns - 1)):
+            for arrays in run(batch.column(text_at)):
                 n = len(arrays[0])
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in batch.columns[:-1]), *arrays],
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in batch.columns[:n_own]), *arrays],
                                                  names=[*names, *new])
                 lo += n
 
     kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, own, strict=True)]
-    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(cols, names, strict=True)),
-                      F.col(f"`{text_col}`").alias("_text")).mapInArrow(mapped, ", ".join([*kinds, fields]))
+    out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sent))).mapInArrow(
+        mapped, ", ".join([*kinds, fields]))
     return out, names
