@@ -193,14 +193,70 @@ def apply_dictionary(df: DataFrame, col: str, dictionary: DataFrame, out_col: st
 
 # ───────────────────────────── the matrix ─────────────────────────────
 
+#: Group statistics and the per-row features that each reads. One table a
+#: statistic, shared by all features that name it.
+STATISTICS = {
+    "entity_recent": ("break_age_days",),
+    "percentile": ("break_amount_gbp",),
+    "codes": (),
+    "counterparty": ("break_amount_gbp",),
+    "mad": ("break_amount_gbp",),
+    "segment_age": ("break_age_days",),
+}
+
+#: What a feature is made of besides the input columns: statistics and other
+#: features. A feature that isn't listed is a per-row expression.
+DEPENDS = {
+    "rolling_7d_break_count": ("entity_recent",),
+    "amount_percentile": ("percentile",),
+    "entity_id_enc": ("codes",),
+    "team_code_enc": ("codes",),
+    "rec_name_enc": ("codes",),
+    "offsetting_break_exists": ("counterparty",),
+    "prior_break_same_cpty": ("counterparty",),
+    "mad_score": ("mad",),
+    "segment_median_age": ("segment_age",),
+    "is_statistical_outlier": ("mad_score",),
+    "governance_completeness_score": ("owner_populated", "approver_populated", "status_populated"),
+}
+
+
+def needed(wanted: Sequence[str]) -> tuple[set[str], set[str]]:
+    """(features, statistics) that the ``wanted`` features are made of, themselves included."""
+    unknown = set(wanted) - set(C.ALL_FEATURES)
+    if unknown:
+        raise ValueError(f"no such features: {sorted(unknown)}")
+    features: set[str] = set()
+    statistics: set[str] = set()
+    open_ = list(wanted)
+    while open_:
+        name = open_.pop()
+        if name in STATISTICS:
+            if name not in statistics:
+                statistics.add(name)
+                open_ += STATISTICS[name]
+        elif name not in features:
+            features.add(name)
+            open_ += DEPENDS.get(name, ())
+    return features, statistics
+
+
 def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_date_override=None,
-                         keep_input: bool = True) -> DataFrame:
-    """X01-X42. Returns the input columns (if ``keep_input``) plus the 42 features.
+                         keep_input: bool | Sequence[str] = True, only: Sequence[str] | None = None) -> DataFrame:
+    """X01-X42. Returns the input columns (all, none, or those that ``keep_input`` names) plus the features.
+
+    ``only`` names the features to return (default: all 42). Just these, what
+    they are made of and the statistics behind them are computed
+    (:func:`needed`). The base is written once if several statistics read it;
+    a single one reads the input itself, pruned to its columns.
 
     Where the input already carries a feature column with a value it is used,
     otherwise the feature is derived (``coalesce(input, derived)``).
     """
     cols = set(df.columns)
+    wanted = [c for c in C.ALL_FEATURES if only is None or c in set(only)]
+    features, stats = needed(wanted if only is None else only)
+    kept = df.columns if keep_input is True else list(keep_input or ())
     rd = report_date_col(df, report_date_override)
     open_dt = F.col("break_open_date") if "break_open_date" in cols else F.lit(None).cast("timestamp_ntz")
     last_dt = F.col("last_activity_date") if "last_activity_date" in cols else None
@@ -288,97 +344,104 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
     }
     # One projection: per-row features from the original columns; input
     # feature columns are kept as ``__in_<name>`` for coalesce(input, derived).
-    base = _with_row_features(df, row_feats)
+    inputs = {*kept, "asset_class", "break_amount_gbp", "break_amount_pence", *C.SEGMENT_KEYS,
+              *(["counterparty"] if "counterparty" in stats else ())} & cols
+    base = _with_row_features(df, {k: v for k, v in row_feats.items() if k in features}, inputs, features)
+    if len(stats) > 1:
+        base = materialize(base, "feature-base")
 
-    # group features: statistics tables from ONE materialized base, joined back
-    base = materialize(base, "feature-base")
+    # group features: statistics tables from the base, joined back
     g = base
-    if "entity_id" in cols:
-        g = _equi_join(g, entity_recent_table(base), ["entity_id"], ["entity_id"])
-        g = g.withColumn("__r7", F.coalesce(F.col("__r7"), F.lit(1.0)))
-    else:
-        g = g.withColumn("__r7", F.lit(1.0))
+    derived: dict[str, Column] = {}
     raw_amt = _raw_amount_name(df)
-    pv = "break_amount_gbp"  # resolved amount (equals the raw column whenever it is present)
-    if raw_amt == "break_amount_pence" and "asset_class" in cols:
-        g = g.withColumn("__pv_src", numeric(df, "break_amount_pence"))
-        pv = "__pv_src"
-    group = "asset_class" if "asset_class" in cols else None
-    pt = percentile_table(g if pv == "__pv_src" else base, pv, group)
-    keys_p = ([group] if group else [])
-    g = _equi_join(g, pt, keys_p + [pv], keys_p + ["__pv"])
-    cats = [c for c in ("entity_id", "team_code", "rec_name") if c in cols]
-    if cats:
-        dicts = category_dictionaries(base, cats)
-        for c in cats:
+    if "entity_recent" in stats:
+        r7 = F.lit(1.0)
+        if "entity_id" in cols:
+            g = _equi_join(g, entity_recent_table(base), ["entity_id"], ["entity_id"])
+            r7 = F.coalesce(F.col("__r7"), F.lit(1.0))
+        derived["rolling_7d_break_count"] = r7
+    if "percentile" in stats:
+        pv = "break_amount_gbp"  # resolved amount (equals the raw column whenever it is present)
+        group = ["asset_class"] if "asset_class" in cols else []
+        source = base
+        if raw_amt == "break_amount_pence" and group:
+            pv = "__pv_src"
+            g = g.withColumn(pv, numeric(df, "break_amount_pence"))
+            source = base.withColumn(pv, numeric(df, "break_amount_pence"))
+        pt = percentile_table(source, pv, group[0] if group else None)
+        g = _equi_join(g, pt, group + [pv], group + ["__pv"])
+    if "codes" in stats:
+        told = [c for c in ("entity_id", "team_code", "rec_name") if f"{c}_enc" in features]
+        cats = [c for c in told if c in cols]
+        dicts = category_dictionaries(base, cats) if cats else None
+        for c in told:
+            if c not in cats:
+                g = g.withColumn(f"{c}_enc", F.lit(None).cast("double"))
+                continue
             d = dicts.where(F.col("feature") == c).select(
                 F.col("value").alias(f"__v_{c}"), F.col("code").cast("double").alias(f"{c}_enc"))
             g = g.withColumn(f"__k_{c}", F.coalesce(F.col(c).cast("string"), F.lit(C.MISSING_CATEGORY)))
             g = _equi_join(g, d, [f"__k_{c}"], [f"__v_{c}"])
-    for c in ("entity_id", "team_code", "rec_name"):
-        if c not in cats:
-            g = g.withColumn(f"{c}_enc", F.lit(None).cast("double"))
-    if "counterparty" in cols:
-        cpt = counterparty_table(base, "break_amount_gbp" if "break_amount_gbp" in cols else None)
-        g = _equi_join(g, cpt, ["counterparty"], ["counterparty"])
-        if "break_amount_gbp" not in cols:
-            g = g.withColumn("__offset", F.lit(0.0))
-        g = g.withColumn("__offset", F.coalesce(F.col("__offset"), F.lit(0.0)))
-    else:
-        g = g.withColumns({"__offset": F.lit(0.0), "__cpty_n": F.lit(0.0)})
+    if "counterparty" in stats:
+        offset, others = F.lit(0.0), F.lit(0.0)
+        if "counterparty" in cols:
+            netted = "break_amount_gbp" in cols and "offsetting_break_exists" in features
+            cpt = counterparty_table(base, "break_amount_gbp" if netted else None)
+            g = _equi_join(g, cpt, ["counterparty"], ["counterparty"])
+            others = F.col("__cpty_n")
+            offset = F.coalesce(F.col("__offset"), F.lit(0.0)) if netted else offset
+        given = F.col("__in_offsetting_break_exists").cast("double") if "offsetting_break_exists" in cols else F.lit(None)
+        derived["offsetting_break_exists"] = F.coalesce(given, offset)
+        derived["prior_break_same_cpty"] = others
     keys = [k for k in C.SEGMENT_KEYS if k in cols]
     seg_keys = keys if len(keys) >= 2 else []
-    if raw_amt is not None:
-        amt_src = raw_amt if raw_amt != "break_amount_gbp" else "break_amount_gbp"
-        if raw_amt == "break_amount_pence":
-            g = g.withColumn("__mad_src", numeric(df, "break_amount_pence"))
-            amt_src = "__mad_src"
-        src = g if amt_src == "__mad_src" else base
-        if keys:
-            extra = {"__seg_age": "break_age_days"} if seg_keys == keys else None
-            mt = mad_table(src, amt_src, keys, extra)
-            g = _equi_join(g, mt, keys, keys)
-        else:
-            mt = mad_table(src.withColumn("__all", F.lit(1)), amt_src, ["__all"])
-            row = mt.select("__med", "__mdev").first()
-            g = g.withColumns({"__med": F.lit(row[0] if row else None).cast("double"),
-                               "__mdev": F.lit(row[1] if row else None).cast("double")})
-        ax = F.abs(F.col(amt_src))
-        g = g.withColumn("__mad", F.abs((ax - F.col("__med")) / (F.col("__mdev") + F.lit(C.MAD_EPS))))
-    else:
-        g = g.withColumn("__mad", F.lit(0.0))
-    if "__seg_age" not in g.columns:
-        g = segment_median(g, F.col("break_age_days"), seg_keys, "__seg_age")
-
-    resolved = {
-        "rolling_7d_break_count": F.col("__r7"),
-        "offsetting_break_exists": F.coalesce(F.col("__in_offsetting_break_exists").cast("double")
-                                              if "offsetting_break_exists" in cols else F.lit(None),
-                                              F.col("__offset")),
-        "prior_break_same_cpty": F.col("__cpty_n"),
-        "mad_score": F.coalesce(F.col("__in_mad_score").cast("double")
-                                if "mad_score" in cols else F.lit(None).cast("double"), F.col("__mad")),
-        "segment_median_age": F.coalesce(F.col("__in_segment_median_age").cast("double")
-                                         if "segment_median_age" in cols else F.lit(None).cast("double"),
-                                         F.col("__seg_age")),
+    if "mad" in stats:
+        mad = F.lit(0.0)
+        if raw_amt is not None:
+            amt_src, source = raw_amt, base
+            if raw_amt == "break_amount_pence":
+                amt_src = "__mad_src"
+                g = g.withColumn(amt_src, numeric(df, "break_amount_pence"))
+                source = base.withColumn(amt_src, numeric(df, "break_amount_pence"))
+            if keys:
+                fused = "segment_age" in stats and seg_keys == keys
+                mt = mad_table(source, amt_src, keys, {"__seg_age": "break_age_days"} if fused else None)
+                g = _equi_join(g, mt, keys, keys)
+            else:
+                mt = mad_table(source.withColumn("__all", F.lit(1)), amt_src, ["__all"])
+                row = mt.select("__med", "__mdev").first()
+                g = g.withColumns({"__med": F.lit(row[0] if row else None).cast("double"),
+                                   "__mdev": F.lit(row[1] if row else None).cast("double")})
+            mad = F.abs((F.abs(F.col(amt_src)) - F.col("__med")) / (F.col("__mdev") + F.lit(C.MAD_EPS)))
+        derived["mad_score"] = F.coalesce(F.col("__in_mad_score").cast("double") if "mad_score" in cols
+                                          else F.lit(None).cast("double"), mad)
+    if "segment_age" in stats:
+        if "__seg_age" not in g.columns:
+            if seg_keys:
+                ages = segment_medians(base, {"__seg_age": "break_age_days"}, seg_keys)
+                g = _equi_join(g, ages, seg_keys, seg_keys)
+            else:
+                g = segment_median(g, F.col("break_age_days"), seg_keys, "__seg_age")
+        derived["segment_median_age"] = F.coalesce(
+            F.col("__in_segment_median_age").cast("double") if "segment_median_age" in cols
+            else F.lit(None).cast("double"), F.col("__seg_age"))
+
+    g = g.withColumns({k: v for k, v in derived.items() if k in features})
+    last = {
+        "is_statistical_outlier": lambda: F.when(
+            F.coalesce(F.col("mad_score"), F.lit(0.0)) > C.OUTLIER_CUT, 1.0).otherwise(0.0),
+        "governance_completeness_score": lambda: (
+            F.col("owner_populated") + F.col("approver_populated") + F.col("status_populated")) / 3.0,
     }
-    g = g.withColumns(resolved)
-    g = g.withColumns({
-        "is_statistical_outlier": F.when(F.coalesce(F.col("mad_score"), F.lit(0.0)) > C.OUTLIER_CUT,
-                                         1.0).otherwise(0.0),
-        "governance_completeness_score": (F.col("owner_populated") + F.col("approver_populated")
-                                          + F.col("status_populated")) / 3.0,
-    })
-    helpers = [c for c in g.columns if c.startswith("__")]
-    g = g.drop(*helpers)
-    passthrough = [c for c in df.columns if c not in C.ALL_FEATURES] if keep_input else []
-    return g.select(*passthrough, *[F.col(c).cast("double").alias(c) for c in C.ALL_FEATURES])
-
-
-def _with_row_features(df: DataFrame, row_feats: dict) -> DataFrame:
+    g = g.withColumns({k: make() for k, make in last.items() if k in features})
+    passthrough = [c for c in df.columns if c in set(kept) and c not in C.ALL_FEATURES]
+    return g.select(*passthrough, *[F.col(c).cast("double").alias(c) for c in wanted])
+
+
+def _with_row_features(df: DataFrame, row_feats: dict, inputs: set[str], features: set[str]) -> DataFrame:
     """Evaluate the per-row features against the ORIGINAL input columns in one
     projection; input feature columns are kept under ``__in_<name>``."""
     cols = set(df.columns)
-    keep = [F.col(c) for c in df.columns if c not in C.ALL_FEATURES]
-    saved = [F.col(c).alias("__in_" + c) for c in C.ALL_FEATURES if c in cols]
+    keep = [F.col(c) for c in df.columns if c in inputs and c not in C.ALL_FEATURES]
+    saved = [F.col(c).alias("__in_" + c) for c in C.ALL_FEATURES if c in cols and c in features]
     return df.select(*keep, *saved, *[v.alias(k) for k, v in row_feats.items()])

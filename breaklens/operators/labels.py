@@ -13,6 +13,12 @@ from .. import constants as C
 from ..functions.expr import flag_or_false, num_or_null
 
 
+#: Features that the rules read.
+RULE_FEATURES = ["break_age_days", "rolling_7d_autoclose_rate", "offsetting_break_exists", "is_statistical_outlier",
+                 "csa_margin_call_flag", "coupon_payment_proximity", "div_ex_date_proximity",
+                 "governance_completeness_score"]
+
+
 def _rule_conditions(df: DataFrame) -> list[Column]:
     age = num_or_null(df, "break_age_days")
     autoclose = num_or_null(df, "rolling_7d_autoclose_rate")

@@ -294,42 +294,42 @@ def x_feature_matrix(fx):
 SELECT break_id, asset_class, break_amount_gbp, amount_percentile FROM feat"""), BREAK_VIEWS)
 def w02_amount_percentile(fx):
     """Average-rank percentile of the amount within asset class."""
-    return SP.features(fx).select("break_id", "asset_class", "break_amount_gbp", "amount_percentile")
+    return SP.features(fx, only=["break_amount_gbp", "amount_percentile"], keep=["break_id", "asset_class"])
 
 
 @register("w03_same_cpty_count", _feat("""
 SELECT break_id, counterparty, prior_break_same_cpty FROM feat"""), BREAK_VIEWS)
 def w03_same_cpty_count(fx):
     """Other breaks with the same counterparty."""
-    return SP.features(fx).select("break_id", "counterparty", "prior_break_same_cpty")
+    return SP.features(fx, only=["prior_break_same_cpty"], keep=["break_id", "counterparty"])
 
 
 @register("j03_offsetting_semi", _feat("""
 SELECT break_id, counterparty, offsetting_break_exists FROM feat"""), BREAK_VIEWS)
 def j03_offsetting_semi(fx):
     """Counterparty nets to (almost) zero."""
-    return SP.features(fx).select("break_id", "counterparty", "offsetting_break_exists")
+    return SP.features(fx, only=["offsetting_break_exists"], keep=["break_id", "counterparty"])
 
 
 @register("w04_segment_median_age", _feat("""
 SELECT break_id, entity_id, team_code, rec_name, asset_class, segment_median_age FROM feat"""), BREAK_VIEWS)
 def w04_segment_median_age(fx):
     """Exact median age per (entity, team, rec, class) segment."""
-    return SP.features(fx).select("break_id", *C.SEGMENT_KEYS, "segment_median_age")
+    return SP.features(fx, only=["segment_median_age"], keep=["break_id", *C.SEGMENT_KEYS])
 
 
 @register("w05_mad_score", _feat("""
 SELECT break_id, mad_score, is_statistical_outlier FROM feat"""), BREAK_VIEWS)
 def w05_mad_score(fx):
     """W05 + X27: MAD score per segment and the outlier flag."""
-    return SP.features(fx).select("break_id", "mad_score", "is_statistical_outlier")
+    return SP.features(fx, only=["mad_score", "is_statistical_outlier"], keep=["break_id"])
 
 
 @register("w07_rolling_7d_count", _feat("""
 SELECT break_id, entity_id, rolling_7d_break_count FROM feat"""), BREAK_VIEWS)
 def w07_rolling_7d_count(fx):
     """W07 + J04: per-entity recent-break count (default 1)."""
-    return SP.features(fx).select("break_id", "entity_id", "rolling_7d_break_count")
+    return SP.features(fx, only=["rolling_7d_break_count"], keep=["break_id", "entity_id"])
 
 
 @register("w08_category_codes", """

@@ -25,12 +25,17 @@ def dq_scored(fx: Fixtures, supplied_autoclose: bool = False) -> DataFrame:
     return DQ.compute_dq_scores(report(fx, supplied_autoclose))
 
 
-def features(fx: Fixtures, supplied_autoclose: bool = False) -> DataFrame:
-    return FT.build_feature_matrix(dq_scored(fx, supplied_autoclose))
+def features(fx: Fixtures, supplied_autoclose: bool = False, only: list[str] | None = None,
+             keep: list[str] | None = None) -> DataFrame:
+    """The matrix, or the ``only`` features with the ``keep`` input columns; scored first if that is asked for."""
+    scored = only is None or "dq_score" in only
+    rows = dq_scored(fx, supplied_autoclose) if scored else report(fx, supplied_autoclose)
+    return FT.build_feature_matrix(rows, keep_input=True if keep is None else keep, only=only)
 
 
 def labelled(fx: Fixtures, supplied_autoclose: bool = False) -> DataFrame:
-    return LB.label_breaks(features(fx, supplied_autoclose))
+    """Weak labels: the features that the rules read, and nothing else of the matrix."""
+    return LB.label_breaks(features(fx, supplied_autoclose, LB.RULE_FEATURES, ["break_id", "asset_class"]))
 
 
 def feature_matrix_view(fx: Fixtures) -> DataFrame:
