@@ -428,6 +428,7 @@ def a14_label_balance(fx):
 from ..operators import feedback as FB  # noqa: E402
 from ..operators import metrics as MT  # noqa: E402
 from ..operators import tiers as TR  # noqa: E402
+from ..sources import store as ST  # noqa: E402
 from ..sources.uploads import prepare_for_ingest  # noqa: E402
 from . import store_plan as STP  # noqa: E402
 
@@ -470,6 +471,18 @@ def s11_snapshot_ingest(fx):
     return _dates_as_ts(STP.ingested(fx))
 
 
+@register("s11_append_upload", _store(f"{_DATES_AS_TS} FROM merged"), BREAK_VIEWS)
+def s11_append_upload(fx):
+    """S11 + U02: a second upload appended to a written snapshot and merged on read."""
+    return _dates_as_ts(STP.appended(fx))
+
+
+@register("s17_breaks_load", _store(f"{_DATES_AS_TS} FROM store"), BREAK_VIEWS)
+def s17_breaks_load(fx):
+    """The current version of a written snapshot, scores included."""
+    return _dates_as_ts(STP.store(fx))
+
+
 @register("s13_dq_write_back", _store("SELECT break_id, dq_score FROM store"), BREAK_VIEWS)
 def s13_dq_write_back(fx):
     """S13 + J07: dq_score written back by key."""
@@ -502,16 +515,15 @@ SELECT break_id, asset_class, risk_tier, false_break_prob, break_amount_gbp FROM
 WHERE asset_class IN ('CEQ', 'OTC') AND risk_tier IN ('Suppress', 'Review')"""), BREAK_VIEWS)
 def f06_query_breaks(fx):
     """IN-list filters on class and tier plus a column list."""
-    s = STP.store(fx)
-    return (s.where(F.col("asset_class").isin("CEQ", "OTC") & F.col("risk_tier").isin("Suppress", "Review"))
-            .select("break_id", "asset_class", "risk_tier", "false_break_prob", "break_amount_gbp"))
+    return ST.query_breaks(STP.store(fx), ["CEQ", "OTC"], ["Suppress", "Review"],
+                           columns=["break_id", "asset_class", "risk_tier", "false_break_prob", "break_amount_gbp"])
 
 
 @register("f07_break_by_id", _store(f"{_DATES_AS_TS} FROM store WHERE break_id = '{LOOKUP_ID}'"),
           BREAK_VIEWS)
 def f07_break_by_id(fx):
     """point lookup (0 or 1 row)."""
-    return _dates_as_ts(STP.store(fx).where(F.col("break_id") == LOOKUP_ID))
+    return _dates_as_ts(ST.break_by_id(STP.store(fx), LOOKUP_ID))
 
 
 SCORED_VIEWS = ["scored"]

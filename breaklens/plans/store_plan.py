@@ -15,6 +15,7 @@ from ..operators import tiers as TR
 from ..sources import store as ST
 from ..sources.fixtures import Fixtures
 from ..sources.uploads import prepare_for_ingest
+from ..session import scratch_path
 
 FIXTURE_HASH = "0" * 64
 PROB_SQL = "CAST(((break_amount_pence % 997) + 997) % 997 AS DOUBLE) / 996.0"
@@ -25,15 +26,28 @@ def ingested(fx: Fixtures) -> DataFrame:
     return ST.ingest(None, prepare_for_ingest(fx["breaks"], FIXTURE_HASH), mode="replace")
 
 
-def store(fx: Fixtures) -> DataFrame:
-    """Ingested -> DQ write-back -> probability + tier write-back."""
-    snap = ingested(fx)
-    scored = DQ.compute_dq_scores(snap.drop("dq_score"))
-    snap = ST.write_back(snap, scored.select("break_id", "dq_score"), ["dq_score"])
+def _scores(snap: DataFrame) -> DataFrame:
+    """dq_score, probability and tier of the stored rows, by id."""
     prob = ((F.col("break_amount_pence") % 997 + 997) % 997).cast("double") / 996.0
-    probs = TR.assign_risk_tiers(snap.select("break_id", "asset_class",
-                                             prob.alias("false_break_prob")))
-    return ST.write_back(snap, probs, ["false_break_prob", "risk_tier"])
+    scored = DQ.compute_dq_scores(snap.drop("dq_score")).withColumn("false_break_prob", prob)
+    return TR.assign_risk_tiers(scored.select("break_id", "asset_class", "dq_score", "false_break_prob")).select(
+        "break_id", "dq_score", "false_break_prob", "risk_tier")
+
+
+def store(fx: Fixtures) -> DataFrame:
+    """A written snapshot: ingested as its first version, scores written back as the second, read again."""
+    root = scratch_path(fx.spark, "store")
+    ST.write_snapshot(ingested(fx), root)
+    return ST.update_snapshot(fx.spark, root, _scores, ["dq_score", "false_break_prob", "risk_tier"])
+
+
+def appended(fx: Fixtures) -> DataFrame:
+    """S11 append: a second upload (all breaks of one class, amounts changed) over a written snapshot."""
+    root = scratch_path(fx.spark, "store")
+    ST.write_snapshot(ingested(fx), root)
+    again = prepare_for_ingest(fx["breaks"], FIXTURE_HASH).where(F.col("asset_class") == "CEQ")
+    ST.append_upload(again.withColumn("break_amount_pence", F.col("break_amount_pence") + 100), root)
+    return ST.load_snapshot(fx.spark, root)
 
 
 def feedback(fx: Fixtures, pass_no: int | None = None) -> DataFrame:
@@ -88,6 +102,12 @@ def store_ctes() -> str:
     others = ", ".join(c for c in STORE_COLS if c not in ("dq_score", "false_break_prob", "risk_tier"))
     return f"""
 prep AS (SELECT {", ".join(sel)} FROM breaks),
+uploads AS (SELECT *, 1 AS upload FROM prep UNION ALL
+            SELECT * REPLACE (break_amount_pence + 100 AS break_amount_pence), 2 AS upload FROM prep
+            WHERE asset_class = 'CEQ'),
+merged AS (SELECT {", ".join(STORE_COLS)} FROM (
+             SELECT *, ROW_NUMBER() OVER (PARTITION BY break_id ORDER BY upload DESC, {order}) AS __rn FROM uploads) q
+           WHERE __rn = 1),
 snap AS (SELECT {", ".join(STORE_COLS)} FROM (
            SELECT *, ROW_NUMBER() OVER (PARTITION BY break_id ORDER BY {order}) AS __rn FROM prep) q
          WHERE __rn = 1),

@@ -2,7 +2,9 @@
 
 * ``breaks`` - versioned snapshots: every ingest / write-back writes a NEW
   version folder (``v=<n>``), the newest one is current. A writer that dies
-  mid-way leaves no half-written current version.
+  mid-way leaves no half-written current version. An appended upload is a
+  small delta folder (``d=<n>-<k>``) beside its version: the base is neither
+  rewritten nor shuffled, readers merge, ``compact`` folds the deltas in.
 * ``feedback`` / ``upload_log`` - append-only Parquet.
 
 Upsert keeps the newest row per key: one aggregate of ``max(struct(ordinal,
@@ -13,9 +15,9 @@ so a key repeated a million times is folded before the shuffle.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +115,15 @@ def newest_per_key(df: DataFrame, key: str = "break_id", ordinal: str | None = N
     return best.select(*[F.col("__best")[c].alias(c) for c in cols])
 
 
+def newest_rows(new: DataFrame, key: str = "break_id", ordinal: Column | None = None) -> DataFrame:
+    """The upload on the fixed schema, one row per key: the one with the greatest
+    ``ordinal`` (a whole number over the columns of ``new``, such as the row's
+    place in its file); equal or absent ordinals are decided by the row itself."""
+    place = F.lit(0) if ordinal is None else F.coalesce(ordinal, F.lit(-1))
+    typed = T.StructType([*BREAKS_SCHEMA.fields, T.StructField("__ord", T.LongType())])
+    return newest_per_key(conform(new.withColumn("__ord", place.cast("bigint")), typed), key, "__ord")
+
+
 def ingest(old: DataFrame | None, new: DataFrame, mode: str = "replace",
            key: str = "break_id") -> DataFrame:
     """``replace`` = the new rows only; ``append`` = upsert (new wins per key)."""
@@ -139,40 +150,129 @@ def write_back(table: DataFrame, updates: DataFrame, columns: Sequence[str],
 
 # ───────────────────────────── snapshot folders ─────────────────────────────
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
+def _complete(spark: SparkSession, root: str, prefix: str) -> list[str]:
+    """Names (without ``prefix``) of the finished folders of ``root``."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(conf)
     if not fs.exists(path):
         return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+    names = [(st.getPath().getName(), st.getPath()) for st in fs.listStatus(path)]
+    return [n[len(prefix):] for n, p in names
+            if n.startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n) for n in _complete(spark, root, "v="))
+
 
+def _deltas(spark: SparkSession, root: str, version: int) -> list[int]:
+    """Numbers of the deltas of a version, oldest first."""
+    pairs = (n.split("-") for n in _complete(spark, root, "d="))
+    return sorted(int(k) for v, k in pairs if int(v) == version)
 
-def write_snapshot(df: DataFrame, root: str, partition_by: str | None = "report_month") -> str:
+
+def _write_sorted(df: DataFrame, path: str, partition_by: str | None, key: str) -> None:
+    """Rows sorted by key within their files, with a bloom filter on the key: a
+    point lookup opens the row groups that may hold it and no others."""
+    parts = [partition_by] if partition_by and partition_by in df.columns else []
+    w = df.sortWithinPartitions(*parts, key).write.mode("errorifexists").option(
+        f"parquet.bloom.filter.enabled#{key}", "true")
+    (w.partitionBy(*parts) if parts else w).parquet(path)
+
+
+def write_snapshot(df: DataFrame, root: str, partition_by: str | None = "report_month", key: str = "break_id") -> str:
     """Write a new immutable version; returns its path."""
-    spark = df.sparkSession
-    vs = _versions(spark, root)
+    vs = _versions(df.sparkSession, root)
     path = os.path.join(root, f"v={(vs[-1] + 1) if vs else 1}")
-    w = df.write.mode("errorifexists")
-    if partition_by and partition_by in df.columns:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+    _write_sorted(df, path, partition_by, key)
     return path
 
 
-def load_snapshot(spark: SparkSession, root: str, schema: T.StructType = BREAKS_SCHEMA) -> DataFrame:
-    """The current (newest complete) version; filters push into the scan."""
+def append_upload(new: DataFrame, root: str, ordinal: Column | None = None, key: str = "break_id") -> str:
+    """S11 append + U02: the upload becomes a delta of the current version.
+
+    Only the upload is deduplicated and written; rows of the snapshot with the
+    same key are replaced when it is read. Without a snapshot the upload is its
+    first version. Returns the path written.
+    """
+    spark = new.sparkSession
+    rows = newest_rows(new, key, ordinal)
+    vs = _versions(spark, root)
+    if not vs:
+        return write_snapshot(rows, root, key=key)
+    ks = _deltas(spark, root, vs[-1])
+    path = os.path.join(root, f"d={vs[-1]}-{(ks[-1] + 1) if ks else 1}")
+    _write_sorted(rows, path, None, key)
+    return path
+
+
+def load_snapshot(spark: SparkSession, root: str, schema: T.StructType = BREAKS_SCHEMA,
+                  key: str = "break_id") -> DataFrame:
+    """The current (newest complete) version with its deltas; filters push into the scans.
+
+    Of several deltas with a key the newest one counts. Rows of the base stay
+    where they are: they are only probed against the deltas' keys.
+    """
     vs = _versions(spark, root)
     if not vs:
         return spark.createDataFrame([], schema)
     # the fixed schema also types the partition column (an all-null one would read as VOID)
-    return spark.read.schema(schema).parquet(os.path.join(root, f"v={vs[-1]}"))
+    base = spark.read.schema(schema).parquet(os.path.join(root, f"v={vs[-1]}"))
+    later = None
+    for k in _deltas(spark, root, vs[-1]):
+        one = spark.read.schema(schema).parquet(os.path.join(root, f"d={vs[-1]}-{k}")).select(base.columns)
+        later = one if later is None else _replaced(later, one, key)
+    return base if later is None else _replaced(base, later, key)
+
+
+def _replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``new`` and the rows of ``old`` with other keys (a null key is a key)."""
+    keys = new.select(F.col(key).alias("__nk"))
+    return old.join(keys, F.col(key).eqNullSafe(F.col("__nk")), "left_anti").unionByName(new)
+
+
+def compact(spark: SparkSession, root: str) -> str | None:
+    """A new version without deltas; returns its path (None if there is nothing to fold)."""
+    vs = _versions(spark, root)
+    if not vs or not _deltas(spark, root, vs[-1]):
+        return None
+    return write_snapshot(load_snapshot(spark, root), root)
+
+
+def update_snapshot(spark: SparkSession, root: str, updates: Callable[[DataFrame], DataFrame],
+                    columns: Sequence[str], key: str = "break_id") -> DataFrame:
+    """S13 / S14 as one operation: ``updates`` of the stored rows (key and
+    ``columns``) are written back as a new version, which is returned."""
+    current = load_snapshot(spark, root, key=key)
+    write_snapshot(write_back(current, updates(current), columns, key), root, key=key)
+    return load_snapshot(spark, root, key=key)
+
+
+# ───────────────────────────── lookups ─────────────────────────────
+
+def query_breaks(snapshot: DataFrame, asset_classes: Sequence[str] | None = None,
+                 risk_tiers: Sequence[str] | None = None, limit: int | None = None,
+                 columns: Sequence[str] | None = None) -> DataFrame:
+    """rows of the given classes and tiers. None or an empty list is no
+    filter; unknown columns are an error; ``limit`` takes any so many rows."""
+    rows = snapshot
+    if asset_classes:
+        rows = rows.where(F.col("asset_class").isin(*asset_classes))
+    if risk_tiers:
+        rows = rows.where(F.col("risk_tier").isin(*risk_tiers))
+    if columns:
+        unknown = [c for c in columns if c not in snapshot.columns]
+        if unknown:
+            raise ValueError(f"no such columns: {unknown}")
+        rows = rows.select(*columns)
+    return rows if limit is None else rows.limit(limit)
+
+
+def break_by_id(snapshot: DataFrame, break_id: str) -> DataFrame:
+    """the break with that id (0 or 1 row)."""
+    return snapshot.where(F.col("break_id") == F.lit(break_id))
 
 
 def append_table(df: DataFrame, path: str) -> None:
