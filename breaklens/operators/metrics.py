@@ -62,15 +62,30 @@ def auc_ap(df: DataFrame, label: str = "label", prob: str = "false_break_prob",
 def precision_at_top(df: DataFrame, label: str = "label", prob: str = "false_break_prob",
                      id_col: str = "break_id", group_cols: Sequence[str] = ("asset_class",),
                      fraction: float = C.TOP_FRACTION) -> DataFrame:
-    """Mean label of the ``max(1, floor(fraction * n))`` highest scores per group."""
+    """Mean label of the ``max(1, floor(fraction * n))`` highest scores per group.
+
+    Rows are counted per distinct score; running totals of these counts give
+    the score at which the top ends. Only rows tied there are put in order (by
+    id, then label) to fill what is left of the top.
+    """
     g = list(group_cols)
     d = _scored(df, label, prob).select(*g, id_col, F.col(label).cast("int").alias("__y"),
-                                         (-F.col("__p")).alias("__negp"))
-    r = running_totals(d, ["__negp", id_col, "__y"], group_cols=g)
-    k = F.greatest(F.floor(F.col("group_rows") * F.lit(fraction)), F.lit(1))
-    top = r.where(F.col("pos") <= k)
-    return top.groupBy(*g).agg(F.avg("__y").alias("precision_at_10pct"),
-                               F.count(F.lit(1)).alias("k"))
+                                        (-F.col("__p")).alias("__negp"))
+    per = d.groupBy(*g, "__negp").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__s"))
+    r = running_totals(per, ["__negp"], sums=["__n", "__s"], group_cols=g)
+    k = F.greatest(F.floor(F.col("group___n") * F.lit(fraction)), F.lit(1))
+    above = F.col("cum___n") - F.col("__n")
+    cut = r.where((above < k) & (F.col("cum___n") >= k)).select(
+        *[F.col(c).alias(f"__c{i}") for i, c in enumerate(g)], F.col("__negp").alias("__cut"), k.alias("k"),
+        (k - above).alias("__rest"), (F.col("cum___s") - F.col("__s")).alias("__above"))
+    at_cut = F.col("__negp") == F.col("__cut")
+    for i, c in enumerate(g):
+        at_cut &= F.col(c).eqNullSafe(F.col(f"__c{i}"))
+    tied = running_totals(d.join(cut, at_cut).drop(*[f"__c{i}" for i in range(len(g))]), [id_col, "__y"], group_cols=g)
+    filled = tied.where(F.col("pos") <= F.col("__rest"))
+    # k, rows above the cut and their labels are the same in all rows of a group
+    return filled.groupBy(*g).agg(((F.max("__above") + F.sum("__y")) / F.max("k")).alias("precision_at_10pct"),
+                                  F.max("k").alias("k"))
 
 
 def confusion(df: DataFrame, label: str = "label", prob: str = "false_break_prob",

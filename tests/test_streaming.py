@@ -30,3 +30,15 @@ def test_stream_ingests_each_file_once(spark, tmp_dir):
     n_log = ST.read_table(spark, log, ST.UPLOAD_LOG_SCHEMA).count()
     start_upload_ingest(spark, up, snap, log, ck, COLS).awaitTermination()
     assert ST.read_table(spark, log, ST.UPLOAD_LOG_SCHEMA).count() == n_log == 2
+
+
+def test_renamed_copies_and_replayed_batches_count_once(spark, tmp_dir):
+    up = os.path.join(tmp_dir, "uploads"); os.makedirs(up)
+    snap, log = (os.path.join(tmp_dir, x) for x in ("breaks", "log"))
+    _write(up, "a.csv", ["B1,CEQ,2026-03-27,100", "B2,LnD,2026-03-27,200"])
+    _write(up, "a copy+1.csv", ["B1,CEQ,2026-03-27,100", "B2,LnD,2026-03-27,200"])
+    start_upload_ingest(spark, up, snap, log, os.path.join(tmp_dir, "c1"), COLS).awaitTermination()
+    start_upload_ingest(spark, up, snap, log, os.path.join(tmp_dir, "c2"), COLS).awaitTermination()  # all files again
+    entries = ST.read_table(spark, log, ST.UPLOAD_LOG_SCHEMA).collect()
+    assert len(entries) == 1 and entries[0].row_count == 2
+    assert ST.load_snapshot(spark, snap).count() == 2 and os.listdir(snap) == ["v=1"]

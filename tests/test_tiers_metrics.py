@@ -67,3 +67,14 @@ def test_single_class_gives_zero_auc(spark):
                                "break_id string, label int, false_break_prob double, asset_class string")
     ev = MT.evaluate(df).first()
     assert ev["auc_roc"] == 0.0 and ev["average_precision"] == 0.0
+
+
+def test_precision_at_top_with_heavy_ties(spark):
+    from breaklens.operators.metrics import precision_at_top
+    rows = [(f"b{i:03d}", ["A", "B", None][i % 3], 0.9 if i % 4 else 0.1 * (i % 7), i % 2) for i in range(300)]
+    got = {r.asset_class: (r.precision_at_10pct, r.k) for r in precision_at_top(
+        spark.createDataFrame(rows, "break_id string, asset_class string, false_break_prob double, label int")).collect()}
+    for c in ("A", "B", None):
+        mine = sorted((-p, b, y) for b, cls, p, y in rows if cls == c)
+        k = max(1, len(mine) // 10)
+        assert got[c] == (sum(y for *_, y in mine[:k]) / k, k)
