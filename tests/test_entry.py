@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tools.oracle_check import close, rows_of
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -34,8 +35,9 @@ def test_every_oracle_has_a_query_and_runs(duck):
 
 
 @pytest.mark.parametrize("name", ["a01_chain_summary", "j01_final_summary", "q06_dq_score", "m09_evaluate",
-                                  "a11_feedback_counts"])
-def test_spark_matches_oracle_row_counts(spark, duck, name):
-    s = E.queries()[name](spark, SF).count()
-    d = len(duck.sql(E.oracle_sql()[name]).fetchall())
-    assert s == d
+                                  "a11_feedback_counts", "t05_precision_at_top10pct", "s11_append_upload"])
+def test_spark_matches_oracle_values(spark, duck, name):
+    got, want = E.queries()[name](spark, SF).toPandas(), duck.sql(E.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    got, want = rows_of(got), rows_of(want)
+    assert len(got) == len(want) and all(close(a, b) for a, b in zip(got, want, strict=True))
