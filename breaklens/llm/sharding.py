@@ -88,8 +88,8 @@ def uniform_shards(rows: DataFrame, shards: int, key_cols: list[str], seed: int
     counts (one number per block). Each block is permuted by itself and cut by
     those numbers, the rows are exchanged, and each shard is permuted again, in
     pieces of a bounded size whose places in the shard are sums of the counts
-    before. All ranks follow hashes of the keys, so a task that runs again
-    places its rows as before.
+    before. All ranks follow hashes of the keys, then all columns (maps as
+    JSON), so a task that runs again places its rows as before.
 
     Nulls hash like values; rows that agree in all of ``key_cols`` share a
     block, and the counts stay exact, so ``key_cols`` should tell rows apart.
@@ -108,7 +108,10 @@ def uniform_shards(rows: DataFrame, shards: int, key_cols: list[str], seed: int
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], sizes, seed)
     ends = _table(rows.sparkSession, [list(accumulate(row)) for row in matrix])
 
-    in_block = Window.partitionBy("_block").orderBy("_order")
+    # every column decides among rows of one key, so that a task that runs again can't swap them
+    tied = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c
+            for c, f in zip(own, rows.schema.fields, strict=True)]
+    in_block = Window.partitionBy("_block").orderBy("_order", *tied)
     placed = (rows.select(*own, block().alias("_block"), F.xxhash64(F.lit(seed + 1), *key).alias("_order"))
               .withColumn("_rank", F.row_number().over(in_block)).join(ends, "_block")
               .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))))
@@ -119,7 +122,7 @@ def uniform_shards(rows: DataFrame, shards: int, key_cols: list[str], seed: int
     before = Window.partitionBy("shard").orderBy("_piece")
     bases = (placed.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
              .select("shard", "_piece", (F.sum("_n").over(before) - F.col("_n")).alias("_base")))
-    in_piece = Window.partitionBy("shard", "_piece").orderBy("_order")
+    in_piece = Window.partitionBy("shard", "_piece").orderBy("_order", *tied)
     return (placed.withColumn("_at", F.row_number().over(in_piece) - 1).join(bases, ["shard", "_piece"])
             .select(*own, F.col("shard").cast("int").alias("shard"), (F.col("_base") + F.col("_at")).alias("slot")))
 

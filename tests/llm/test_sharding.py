@@ -49,3 +49,11 @@ def test_same_seed_same_places_and_empty_table(spark, make):
     assert runs[0] == runs[1]
     assert uniform_shards(make([]), 3, ["doc_id"]).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_rows_of_one_key_have_fixed_places(spark):
+    """Rows that agree in the key only are told apart by the other columns, maps included."""
+    docs = spark.range(0, 400).selectExpr("1L as doc_id", "id as n", "map('a', id % 7) as m", "id % 5 as `a.b`")
+    runs = [sorted((r.n, r.shard, r.slot) for r in uniform_shards(d, 3, ["doc_id"]).collect())
+            for d in (docs, docs.orderBy("n", ascending=False).repartition(5))]
+    assert runs[0] == runs[1] and len({(s, t) for _, s, t in runs[0]}) == 400
