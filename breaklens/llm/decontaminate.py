@@ -87,14 +87,16 @@ def _expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _search(seq: np.ndarray, blocks, depth: int):
-    """(hit flags, position, name, run length) of all windows in a word sequence."""
+    """Hit flags, and for each group of windows (positions, items, places in the item, words, names) of its matches.
+
+    Matches of all parts stay together, so a run goes on across their cuts."""
     hit = np.zeros(len(seq) + 1, np.int64)
-    found = []
+    found: dict[tuple[int, int], list] = {}
     for lo in range(0, len(seq), SHARD_WORDS):
         part = seq[lo:lo + SHARD_WORDS + depth - 1]
         suffixes = SuffixArray(part, depth)
-        for block in blocks:
-            for w, queries, qbase, item, q_at in block.value.groups:
+        for b, block in enumerate(blocks):
+            for g, (w, queries, qbase, item, q_at) in enumerate(block.value.groups):
                 first, last = suffixes.find(queries)
                 n = last - first
                 pos = suffixes.order[_expand(first, n)]
@@ -106,8 +108,10 @@ def _search(seq: np.ndarray, blocks, depth: int):
                 k = qbase[which + 1] - qbase[which]
                 pos, at = np.repeat(pos, k), _expand(qbase[which], k)
                 if len(pos):
-                    found.append((pos, item[at], q_at[at], w, block.value.names))
-    return np.cumsum(hit[:-1]) > 0, found
+                    found.setdefault((b, g), []).append((pos, item[at], q_at[at]))
+    return np.cumsum(hit[:-1]) > 0, [
+        (*(np.concatenate(x) for x in zip(*parts, strict=True)), blocks[b].value.groups[g][0], blocks[b].value.names)
+        for (b, g), parts in found.items()]
 
 
 def _longest_runs(pos: np.ndarray, item: np.ndarray, q_at: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
