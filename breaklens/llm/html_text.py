@@ -7,6 +7,7 @@ import html
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +66,22 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
+# Where an open element is looked for no further up.
+_P_STOPS = frozenset("button td th table".split())
+_INLINE_STOPS = frozenset("td th article main body".split())
+_RULES = list(dict.fromkeys(CLOSED_BY.values()))
+_RULE_OF = {tag: _RULES.index(rule) for tag, rule in CLOSED_BY.items()}
+_RULE_TAGS = frozenset().union(*(closed | stop for closed, stop in _RULES))
+
+
 class _Element:
-    __slots__ = ("digest", "dropped", "junk", "main", "mains", "name", "named", "parent", "parts", "size", "tag")
+    """An open or closed element. What would take a walk over its ancestors is handed down from its parent:
+    ``block`` (nearest block element), ``in_p`` and ``in_article``, ``inline`` (counts of the open elements
+    below the nearest of ``_INLINE_STOPS``) and ``outer`` (for each rule of ``CLOSED_BY``, the outermost
+    element that it would close)."""
+
+    __slots__ = ("block", "digest", "dropped", "in_article", "in_p", "inline", "junk", "last", "main", "mains",
+                 "name", "named", "near", "outer", "parent", "parts", "seen", "size", "tag")
 
     def __init__(self, tag: str, parent: _Element | None, junk: bool, name: int = 0) -> None:
         self.tag, self.parent, self.name = tag, parent, name
@@ -77,6 +92,21 @@ class _Element:
         self.main = tag in MAIN or (parent is not None and parent.main)
         self.parts: list[bytes] = []
         self.digest = 0
+        self.seen, self.last, self.near = False, -1, None
+        if parent is None:
+            self.block, self.in_p, self.in_article = self, False, False
+            self.inline: dict[str, int] = {}
+            self.outer: tuple = (None,) * len(_RULES)
+            return
+        self.block = self if tag in BLOCK else parent.block
+        self.in_p = tag == "p" or (parent.in_p and tag not in _P_STOPS)
+        self.in_article = tag == "article" or parent.in_article
+        self.inline = {} if tag in _INLINE_STOPS else parent.inline
+        self.inline[tag] = self.inline.get(tag, 0) + 1
+        self.outer = parent.outer
+        if tag in _RULE_TAGS:
+            self.outer = tuple(None if tag in stop else known or (self if tag in closed else None)
+                               for known, (closed, stop) in zip(parent.outer, _RULES, strict=True))
 
 
 def _is_junk(tag: str, attributes: str) -> bool:
@@ -132,6 +162,7 @@ class PageTree:
         self._mains: list[_Element] = []
         self._text: list[tuple[str, _Element | None]] = []
         self._named: list[_Element] = []
+        self._open: dict[str, int] = {}
         self._size = self._outermost = 0
         self._raw: list[tuple[list[tuple[str, _Element | None]] | None, _Element]] = []
         self._parse(page)
@@ -202,36 +233,23 @@ class PageTree:
         self.at.parts.append(text.encode("utf-8", "surrogatepass"))
         if not self.at.junk:
             self._text.append((text, self.at.named))
-            size, e = len(text.strip()), self.at.named
+            size = len(text.strip())
             self._size += size
-            while e is not None:
-                e.size += size
-                e = e.parent.named
-
-    def _block(self) -> _Element:
-        e = self.at
-        while e.parent is not None and e.tag not in BLOCK:
-            e = e.parent
-        return e
+            if self.at.named is not None:  # handed on to the next named one when this one closes
+                self.at.named.size += size
 
     def _flush(self) -> None:
         if self._text:
-            self._raw.append((self._text, self._block()))
+            self._raw.append((self._text, self.at.block))
             self._text = []
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCK or tag in MAIN:
             self._flush()
-            if self._open("p", stop=("button", "td", "th", "table")):
+            if self.at.in_p:
                 self._end("p")
         if tag in CLOSED_BY:
-            closed, stop = CLOSED_BY[tag]
-            e = self.at
-            last = None
-            while e.parent is not None and e.tag not in stop:
-                if e.tag in closed:
-                    last = e
-                e = e.parent
+            last = self.at.outer[_RULE_OF[tag]]
             while last is not None and self.at is not last.parent:
                 self._close_one()
         if tag == "br":
@@ -239,37 +257,27 @@ class PageTree:
         if tag in VOID:
             self.at.parts.append(b"<" + tag.encode() + b">")
             return
-        name = _by_name(tag, attributes, tag in MAIN and self._open("article")) if attributes else 0
+        name = _by_name(tag, attributes, tag in MAIN and self.at.in_article) if attributes else 0
         e = _Element(tag, self.at, _is_junk(tag, attributes), name)
         if name:
             self._named.append(e)
         if tag in MAIN and not e.junk:
             self._mains.append(e)
-            above = e.named if not self.at.main else None
-            self._outermost += not self.at.main
-            while above is not None:
-                above.mains += 1
-                above = above.parent.named
+            if not self.at.main:
+                self._outermost += 1
+                if e.named is not None:
+                    e.named.mains += 1
+        self._open[tag] = self._open.get(tag, 0) + 1
         self.at = e
         if attributes.endswith("/") and tag in ("svg", "path"):
             self._close_one()
 
-    def _open(self, tag: str, stop: tuple = ()) -> bool:
-        e = self.at
-        while e.parent is not None:
-            if e.tag == tag:
-                return True
-            if e.tag in stop:
-                return False
-            e = e.parent
-        return False
-
     def _end(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
         if tag == "br":
             self._text.append(("\n", None))
-        if not self._open(tag, stop=() if tag in BLOCK else ("td", "th", "article", "main", "body")):
+        if not (self._open if tag in BLOCK else self.at.inline).get(tag):
             return
         while self.at.tag != tag:
             self._close_one()
@@ -290,36 +298,62 @@ class PageTree:
             elif (e.junk or e.name) and not (e.parent is not None and e.parent.junk) and whole.strip(b"\0"):
                 self._raw.append((None, e))
         e.parts = []
+        if e.parent is not None:
+            self._open[e.tag] -= 1
+            e.inline[e.tag] -= 1
+            if e.name and e.parent.named is not None:
+                e.parent.named.size += e.size
+                e.parent.named.mains += e.mains
         self.at = e.parent
 
-    @staticmethod
-    def _path(e: _Element | None, main: bool) -> list[int]:
-        path = []
-        while e is not None and e.main == main:
-            if e.digest:
-                path.append(e.digest)
-            e = e.parent
-        return path
-
     def trees(self) -> dict:
         """A digest of the page's texts, and those of the distinct subtrees that a template may hold."""
         texts = "\0".join(text for text, *_ in self.blocks if text).encode("utf-8", "surrogatepass")
+        found: tuple[set[int], set[int]] = set(), set()
+        for _, main, _, e in self.blocks:
+            while e is not None and e.main == main and not e.seen:
+                e.seen = True
+                if e.digest:
+                    found[main].add(e.digest)
+                e = e.parent
         return {"body": int.from_bytes(hashlib.blake2b(texts, digest_size=8).digest(), "little", signed=True),
-                **{name: sorted({d for _, main, _, e in self.blocks if main == inner for d in self._path(e, main)})
-                   for name, inner in (("trees", False), ("inner", True))}}
+                "trees": sorted(found[False]), "inner": sorted(found[True])}
 
     def kept(self) -> list[dict]:
-        """Stretches of text that the page's own markup leaves, with the digests of
-        the elements around them (inside the main content those of the groups in it)."""
-        out: list[dict] = []
-        for text, main, junk, e in self.blocks:
+        """Stretches of text that the page's own markup leaves. ``trees`` are the digests of the elements (inside
+        the main content of the groups in it) that begin with a stretch, ``last`` the stretches they end with."""
+        texts: list[list[str]] = []
+        around: list[tuple[_Element, int]] = []
+        within: _Element | None = self.root
+        for text, main, junk, block in self.blocks:
             if junk or (self.has_main and not main):
                 continue
-            path = self._path(e, main)
-            if out and not path and not out[-1]["path"]:
-                out[-1]["text"] += " " + text
+            e, fresh = block, []
+            while e is not None and e.main == main and e.last < 0:
+                e.last = 0
+                fresh.append(e)
+                e = e.parent
+            near = e.near if e is not None and e.main == main else None
+            for e in reversed(fresh):  # outer ones first
+                if e.digest:
+                    near = e
+                    around.append((e, len(texts)))
+                e.near = near
+            near = block.near
+            if texts and near is within:
+                texts[-1].append(text)
             else:
-                out.append({"text": text, "path": path})
+                texts.append([text])
+                within = near
+                if near is not None:
+                    near.last = len(texts) - 1
+        out = [{"text": " ".join(t), "trees": [], "last": []} for t in texts]
+        for e, first in reversed(around):  # inner ones first
+            above = e.parent.near if e.parent is not None and e.parent.main == e.main else None
+            if above is not None:
+                above.last = max(above.last, e.last)
+            out[first]["trees"].append(e.digest)
+            out[first]["last"].append(e.last)
         return out
 
 
@@ -352,8 +386,33 @@ def _marked(inner: bool):
 
 _TREES = ("found", pa.struct([("body", pa.int64()), ("trees", pa.list_(pa.int64())), ("inner", pa.list_(pa.int64()))]),
           "struct<body:bigint,trees:array<bigint>,inner:array<bigint>>")
-_KEPT = ("blocks", pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))])),
-         "array<struct<text:string,path:array<bigint>>>")
+_KEPT = ("blocks", pa.list_(pa.struct([("text", pa.string()), ("trees", pa.list_(pa.int64())), ("last", pa.list_(pa.int32()))])),
+         "array<struct<text:string,trees:array<bigint>,last:array<int>>>")
+
+
+def without(blocks: list[dict], gone: list[int]) -> str:
+    """The texts of :meth:`PageTree.kept` outside of the subtrees that ``gone`` lists."""
+    dropped, end, left = set(gone), -1, []
+    for i, b in enumerate(blocks):
+        for tree, last in zip(b["trees"], b["last"], strict=True):
+            if tree in dropped:
+                end = max(end, last)
+        if i > end:
+            left.append(b["text"])
+    return " ".join(left)
+
+
+def _assembled(left: DataFrame, own: list[str]) -> DataFrame:
+    """``own`` columns, text and n_template out of blocks and gone."""
+    def run(batches):
+        for batch in batches:
+            blocks, gone = batch.column("blocks"), batch.column("gone")
+            text = pa.array([without(b.as_py(), g.as_py()) for b, g in zip(blocks, gone, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), text, pc.list_value_length(gone).cast(pa.int64())],
+                                             names=[*own, "text", "n_template"])
+
+    listed = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in left.select(own).schema.fields)
+    return left.select(*own, "blocks", "gone").mapInArrow(run, f"{listed}text string, n_template bigint")
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
@@ -395,8 +454,5 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
     texts = _parsed(pages, html_col, {n: F.col(f"`{c}`") for n, c in own.items()} | key, _KEPT, PageTree.kept)
     none = F.array().cast("array<bigint>")
     left = texts.join(gone, ["k1", "k2"], "left").withColumn("gone", F.coalesce("gone", none))
-    stays = F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], F.col("gone")))
-    return left.select(
-        *(F.col(n).alias(c) for n, c in own.items()),
-        F.array_join(F.transform(stays, lambda b: b["text"]), " ").alias("text"),
-        F.size("gone").cast("bigint").alias("n_template"))
+    return _assembled(left, list(own)).select(
+        *(F.col(n).alias(c) for n, c in own.items()), "text", "n_template")

@@ -1,6 +1,6 @@
 import pytest
 
-from breaklens.llm.html_text import PageTree, main_text
+from breaklens.llm.html_text import PageTree, main_text, without
 
 
 def text(page):
@@ -90,3 +90,38 @@ def test_recurring_group_inside_main(spark):
 ])
 def test_names_of_elements(page, want):
     assert text(page) == want
+
+
+def test_time_is_linear_in_nesting():
+    import time
+    for page in ("<div>x" * 100_000, "<div class=nav>x" * 50_000, "<p>" + "<b>y" * 50_000 + "<li>z" * 50_000,
+                 "<div>" * 50_000 + "<li>a" * 50_000, "<main>" + "<blockquote><div>q" * 40_000):
+        begin = time.process_time()
+        PageTree(page).trees()
+        kept = PageTree(page).kept()
+        assert time.process_time() - begin < 12
+        assert sum(len(b["trees"]) for b in kept) <= 100_001
+
+
+def brute_without(page, gone):
+    """Texts whose own or any enclosing element is gone are left out, by walks over all ancestors."""
+    tree, out = PageTree(page), []
+    for text, main, junk, e in tree.blocks:
+        if junk or (tree.has_main and not main):
+            continue
+        while e is not None and e.main == main and not (e.digest and e.digest in gone):
+            e = e.parent
+        if e is None or e.main != main:
+            out.append(text)
+    return " ".join(out)
+
+
+def test_deleted_subtrees_equal_walks_over_ancestors(rng):
+    tags = ("div", "p", "ul", "li", "article", "main", "section", "b", "td", "table", "tr", "blockquote", "dl", "dt", "dd")
+    for _ in range(400):
+        page = "".join(rng.choice((f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", f"w{rng.randint(0, 9)} "))
+                       for _ in range(rng.randint(0, 60)))
+        trees = PageTree(page).trees()
+        for pool in (trees["trees"], trees["inner"], trees["trees"] + trees["inner"]):
+            gone = {t for t in pool if rng.random() < 0.3}
+            assert without(PageTree(page).kept(), gone) == brute_without(page, gone)
