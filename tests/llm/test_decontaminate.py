@@ -94,7 +94,8 @@ def test_longest_match_goes_on_across_cuts(monkeypatch, write_prose):
     from breaklens.llm.words import ALNUM, words
     monkeypatch.setattr(D, "SHARD_WORDS", 16)
     item, texts = write_prose(60), [write_prose(11), "", write_prose(5)]
-    texts[1] = write_prose(3) + " " + " ".join(tokens(item)[4:54]) + " " + write_prose(9)
+    before = write_prose(3)
+    texts[1] = before + " " + " ".join(tokens(item)[4:54]) + " " + write_prose(9)
     raw = item.encode()
     block = D.QueryBlock([("a", words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM).hash)], 10)
 
@@ -104,4 +105,4 @@ def test_longest_match_goes_on_across_cuts(monkeypatch, write_prose):
     off = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
     _, hit, items, longest, at = D._slice_matches(np.frombuffer(b"".join(data), np.uint8), off, [Held], 10)
     assert hit.to_pylist() == [0, 50, 0] and items.to_pylist() == [[], ["a"], []]
-    assert longest.to_pylist() == [0, 50, 0] and at.to_pylist() == [None, 3, None]
+    assert longest.to_pylist() == [0, 50, 0] and at.to_pylist() == [None, len(tokens(before)), None]
