@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..operators import lifecycle as L
 from ..operators import reports as R
-from ..sources.fixtures import Fixtures, with_views
+from ..session import scratch_path
+from ..sources.csv import csv_records
+from ..sources.fixtures import Fixtures, table, with_views
 from . import lifecycle_plan as LP
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +43,20 @@ def _p1(body: str, start=LP.FULL_START, end=LP.FULL_END) -> str:
     return "WITH " + LP.summary_ctes(start, end).strip() + "\n" + body
 
 
+# ───────────────────────────── sources ─────────────────────────────
+
+@register("s01_csv_scan", """
+SELECT doc_id, source, CAST(LENGTH(text) AS BIGINT) AS n_chars, MD5(text) AS text_md5 FROM documents""")
+def s01_csv_scan(fx):
+    """All documents, whose texts hold quotes and line breaks, written as CSV and scanned in splits."""
+    path = scratch_path(fx.spark, "csv")
+    docs = table(fx.spark, fx.sf_dir, "documents").select("doc_id", "source", "text")
+    docs.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return csv_records(fx.spark, path).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.length("text").cast("bigint").alias("n_chars"),
+        F.md5("text").alias("text_md5"))
+
+
 # ───────────────────────────── lifecycle (P1) ─────────────────────────────
 
 @register("f01_std_cash", f"SELECT * FROM ({LP.cash_std_sql()}) s", ["cash"])
