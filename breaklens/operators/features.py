@@ -104,7 +104,7 @@ def amount_percentile(df: DataFrame, value: Column, group: str | None) -> DataFr
 
 
 def segment_medians(base: DataFrame, values: dict[str, str], keys: Sequence[str]) -> DataFrame:
-    """Exact medians of several columns per segment in ONE ranking pass.
+    """Exact medians of several columns per segment, all by the same rounds of counting.
 
     ``values`` maps output name -> column. Rows with a null key are excluded;
     returns ``keys + list(values)``.
@@ -247,8 +247,9 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
 
     ``only`` names the features to return (default: all 42). Just these, what
     they are made of and the statistics behind them are computed
-    (:func:`needed`). The base is written once if several statistics read it;
-    a single one reads the input itself, pruned to its columns.
+    (:func:`needed`). The base is written once if several statistics read it, or
+    medians, which read it once a round; any other single one reads the input
+    itself, pruned to its columns.
 
     Where the input already carries a feature column with a value it is used,
     otherwise the feature is derived (``coalesce(input, derived)``).
@@ -347,7 +348,7 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
     inputs = {*kept, "asset_class", "break_amount_gbp", "break_amount_pence", *C.SEGMENT_KEYS,
               *(["counterparty"] if "counterparty" in stats else ())} & cols
     base = _with_row_features(df, {k: v for k, v in row_feats.items() if k in features}, inputs, features)
-    if len(stats) > 1:
+    if len(stats) > 1 or stats & {"mad", "segment_age"}:
         base = materialize(base, "feature-base")
 
     # group features: statistics tables from the base, joined back

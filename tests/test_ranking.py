@@ -42,6 +42,56 @@ def test_exact_median_equals_pandas(spark):
         assert abs(got[k] - v) < 1e-12
 
 
+def _plain_medians(rows):
+    by = {}
+    for g, v in rows:
+        if v is not None and v == v:
+            by.setdefault(g, []).append(v)
+    out = {}
+    for g, vs in by.items():
+        vs.sort()
+        out[g] = ((vs[(len(vs) - 1) // 2] + vs[len(vs) // 2]) / 2.0, len(vs))
+    return out
+
+
+def test_medians_by_digits_equal_sorted_lists(spark):
+    rng = np.random.default_rng(5)
+    inf, tiny = float("inf"), 5e-324
+    near = [1.0 + i * 2.0 ** -52 for i in range(4001)]  # one 1/64 octave, neighbours in the last bit
+    rows = [("near", v) for v in near] + [("near", 1.0)] * 3
+    rows += [("mixed", float(v)) for v in np.concatenate([-np.exp(rng.normal(0, 40, 500)), np.exp(rng.normal(0, 40, 501))])]
+    rows += [("ties", v) for v in [3.0] * 999 + [2.0] * 500 + [7.25] * 500]
+    rows += [("split", v) for v in [-2.0] * 50 + [5.0] * 50]
+    rows += [("small", v) for v in [tiny, 2 * tiny, 3 * tiny, 9 * tiny, 0.0, -0.0, -tiny]]
+    rows += [("infinite", v) for v in [inf, inf, -inf, 1.0, inf]]
+    rows += [(None, float(v)) for v in rng.integers(0, 4000, 3000)]
+    rows += [("one", -8.5), ("none", None), ("none", float("nan"))]
+    rows += [("uniform", float(v)) for v in rng.uniform(1000, 1001, 2000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = exact_quantile_pair(df, "v", ["g"]).collect()
+    assert {r["g"]: (r["median"], r["n"]) for r in got} == _plain_medians(rows)
+    assert len(got) == 9
+    for g in ("near", "mixed", "uniform", None):
+        part = df.where(F.col("g").eqNullSafe(F.lit(g)))
+        assert [tuple(r) for r in exact_quantile_pair(part, "v").collect()] == [_plain_medians(rows)[g]]
+
+
+def test_medians_of_nothing(spark):
+    empty = spark.createDataFrame([], "g string, v double")
+    assert exact_quantile_pair(empty, "v", ["g"]).count() == 0
+    assert exact_quantile_pair(empty, "v").count() == 0
+
+
+def test_medians_take_few_rounds(spark, monkeypatch):
+    from breaklens.operators import ranking
+    rounds = []
+    keep = ranking.written
+    monkeypatch.setattr(ranking, "written", lambda df, name: rounds.append(name) or keep(df, name))
+    df = spark.range(200000).select((F.col("id") % 3).alias("g"), (F.rand(1) * 3650).alias("v"))
+    exact_quantile_pair(df, "v", ["g"]).collect()
+    assert rounds.count("middle") <= 3
+
+
 def test_row_window_is_partitioned_by_bucket(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     plan = running_totals(df, ["k"], buckets=10)._jdf.queryExecution().executedPlan().toString()
