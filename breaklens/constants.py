@@ -46,6 +46,7 @@ MONTH_END_DAY = 24
 QUARTER_END_MONTHS = [3, 6, 9, 12]
 RECENT_AGE_DAYS = 7
 MISSING_CATEGORY = "__MISSING__"
+UNSEEN_CODE = -1
 
 # Weak labels: (rule, label, confidence), first match wins
 LABEL_RULES = [

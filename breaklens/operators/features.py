@@ -65,29 +65,30 @@ def _raw_amount_name(df: DataFrame) -> str | None:
 # matrix joins them onto the rows with plain equi-joins (a null key never
 # matches, which is exactly the "null group -> null" rule).
 
-def entity_recent_table(base: DataFrame, age: str = "break_age_days") -> DataFrame:
+def entity_recent_table(base: DataFrame, age: str = "break_age_days", scope: Sequence[str] = ()) -> DataFrame:
     """Per entity, rows aged <= 7 days (null age counts as 999)."""
     recent = F.coalesce(F.col(age), F.lit(999.0)) <= F.lit(float(C.RECENT_AGE_DAYS))
-    return (base.where(F.col("entity_id").isNotNull() & recent).groupBy("entity_id")
+    return (base.where(F.col("entity_id").isNotNull() & recent).groupBy(*scope, "entity_id")
             .agg(F.count(F.lit(1)).cast("double").alias("__r7")))
 
 
-def counterparty_table(base: DataFrame, amount: str | None = "break_amount_gbp") -> DataFrame:
+def counterparty_table(base: DataFrame, amount: str | None = "break_amount_gbp",
+                       scope: Sequence[str] = ()) -> DataFrame:
     """J03 + W03 in one aggregate: ``__cpty_n`` = rows - 1; ``__offset`` = 1.0 when
     the summed amount is within 1.0 of zero (exact decimal sum, nulls skipped)."""
     aggs = [(F.count(F.lit(1)) - 1).cast("double").alias("__cpty_n")]
     if amount:
         s = F.coalesce(money_sum(amount), F.lit(0.0))
         aggs.append(F.when(F.abs(s) < F.lit(1.0), F.lit(1.0)).otherwise(F.lit(0.0)).alias("__offset"))
-    return base.where(F.col("counterparty").isNotNull()).groupBy("counterparty").agg(*aggs)
+    return base.where(F.col("counterparty").isNotNull()).groupBy(*scope, "counterparty").agg(*aggs)
 
 
-def percentile_table(base: DataFrame, value: str, group: str | None) -> DataFrame:
+def percentile_table(base: DataFrame, value: str, group: str | Sequence[str] | None) -> DataFrame:
     """(group, value) -> average-method percentile rank within the group.
 
     pct = (rows below + (ties + 1) / 2) / non-null rows of the group.
     """
-    keys = [group] if group else []
+    keys = [group] if isinstance(group, str) else list(group or ())
     vals = (base.where(F.col(value).isNotNull() & ~_any_null(keys))
             .groupBy(*keys, F.col(value).alias("__pv")).agg(F.count(F.lit(1)).alias("__pc")))
     r = running_totals(vals, ["__pv"], sums=["__pc"], group_cols=keys)
@@ -162,14 +163,18 @@ def mad_table(base: DataFrame, amount: str, keys: Sequence[str],
     return materialize(_equi_join(first, second, keys, keys), "segment-stats")
 
 
-def category_dictionaries(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """W08 for several columns in ONE ranking pass: (feature, value, code)."""
-    stacked = df.select(F.explode(F.array(*[
+def category_values(df: DataFrame, cols: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    """Distinct (scope..., feature, value) of several columns; null is '__MISSING__'."""
+    return df.select(*scope, F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"),
                  F.coalesce(F.col(c).cast("string"), F.lit(C.MISSING_CATEGORY)).alias("value"))
-        for c in cols])).alias("__s")).select("__s.feature", "__s.value").distinct()
-    r = running_totals(stacked, ["value"], group_cols=["feature"])
-    return r.select("feature", "value", (F.col("pos") - 1).cast("long").alias("code"))
+        for c in cols])).alias("__s")).select(*scope, "__s.feature", "__s.value").distinct()
+
+
+def category_dictionaries(df: DataFrame, cols: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    """W08 for several columns in ONE ranking pass: (scope..., feature, value, code)."""
+    r = running_totals(category_values(df, cols, scope), ["value"], group_cols=[*scope, "feature"])
+    return r.select(*scope, "feature", "value", (F.col("pos") - 1).cast("long").alias("code"))
 
 
 def category_dictionary(df: DataFrame, col: str) -> DataFrame:
@@ -242,7 +247,8 @@ def needed(wanted: Sequence[str]) -> tuple[set[str], set[str]]:
 
 
 def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_date_override=None,
-                         keep_input: bool | Sequence[str] = True, only: Sequence[str] | None = None) -> DataFrame:
+                         keep_input: bool | Sequence[str] = True, only: Sequence[str] | None = None,
+                         scope: Sequence[str] = ()) -> DataFrame:
     """X01-X42. Returns the input columns (all, none, or those that ``keep_input`` names) plus the features.
 
     ``only`` names the features to return (default: all 42). Just these, what
@@ -251,10 +257,16 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
     medians, which read it once a round; any other single one reads the input
     itself, pruned to its columns.
 
+    ``scope`` names input columns that split the report: every group statistic
+    is then taken within equal values of them (``["asset_class"]``: as if each
+    class were a report of its own), in the same passes. Rows with a null in
+    the scope are in no group.
+
     Where the input already carries a feature column with a value it is used,
     otherwise the feature is derived (``coalesce(input, derived)``).
     """
     cols = set(df.columns)
+    scope = [c for c in scope if c in cols]
     wanted = [c for c in C.ALL_FEATURES if only is None or c in set(only)]
     features, stats = needed(wanted if only is None else only)
     kept = df.columns if keep_input is True else list(keep_input or ())
@@ -345,7 +357,7 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
     }
     # One projection: per-row features from the original columns; input
     # feature columns are kept as ``__in_<name>`` for coalesce(input, derived).
-    inputs = {*kept, "asset_class", "break_amount_gbp", "break_amount_pence", *C.SEGMENT_KEYS,
+    inputs = {*kept, "asset_class", "break_amount_gbp", "break_amount_pence", *C.SEGMENT_KEYS, *scope,
               *(["counterparty"] if "counterparty" in stats else ())} & cols
     base = _with_row_features(df, {k: v for k, v in row_feats.items() if k in features}, inputs, features)
     if len(stats) > 1 or stats & {"mad", "segment_age"}:
@@ -358,37 +370,38 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
     if "entity_recent" in stats:
         r7 = F.lit(1.0)
         if "entity_id" in cols:
-            g = _equi_join(g, entity_recent_table(base), ["entity_id"], ["entity_id"])
+            g = _equi_join(g, entity_recent_table(base, scope=scope), [*scope, "entity_id"], [*scope, "entity_id"])
             r7 = F.coalesce(F.col("__r7"), F.lit(1.0))
         derived["rolling_7d_break_count"] = r7
     if "percentile" in stats:
         pv = "break_amount_gbp"  # resolved amount (equals the raw column whenever it is present)
         group = ["asset_class"] if "asset_class" in cols else []
+        group += [c for c in scope if c not in group]
         source = base
         if raw_amt == "break_amount_pence" and group:
             pv = "__pv_src"
             g = g.withColumn(pv, numeric(df, "break_amount_pence"))
             source = base.withColumn(pv, numeric(df, "break_amount_pence"))
-        pt = percentile_table(source, pv, group[0] if group else None)
+        pt = percentile_table(source, pv, group)
         g = _equi_join(g, pt, group + [pv], group + ["__pv"])
     if "codes" in stats:
         told = [c for c in ("entity_id", "team_code", "rec_name") if f"{c}_enc" in features]
         cats = [c for c in told if c in cols]
-        dicts = category_dictionaries(base, cats) if cats else None
+        dicts = category_dictionaries(base, cats, scope) if cats else None
         for c in told:
             if c not in cats:
                 g = g.withColumn(f"{c}_enc", F.lit(None).cast("double"))
                 continue
             d = dicts.where(F.col("feature") == c).select(
-                F.col("value").alias(f"__v_{c}"), F.col("code").cast("double").alias(f"{c}_enc"))
+                *scope, F.col("value").alias(f"__v_{c}"), F.col("code").cast("double").alias(f"{c}_enc"))
             g = g.withColumn(f"__k_{c}", F.coalesce(F.col(c).cast("string"), F.lit(C.MISSING_CATEGORY)))
-            g = _equi_join(g, d, [f"__k_{c}"], [f"__v_{c}"])
+            g = _equi_join(g, d, [*scope, f"__k_{c}"], [*scope, f"__v_{c}"])
     if "counterparty" in stats:
         offset, others = F.lit(0.0), F.lit(0.0)
         if "counterparty" in cols:
             netted = "break_amount_gbp" in cols and "offsetting_break_exists" in features
-            cpt = counterparty_table(base, "break_amount_gbp" if netted else None)
-            g = _equi_join(g, cpt, ["counterparty"], ["counterparty"])
+            cpt = counterparty_table(base, "break_amount_gbp" if netted else None, scope)
+            g = _equi_join(g, cpt, [*scope, "counterparty"], [*scope, "counterparty"])
             others = F.col("__cpty_n")
             offset = F.coalesce(F.col("__offset"), F.lit(0.0)) if netted else offset
         given = F.col("__in_offsetting_break_exists").cast("double") if "offsetting_break_exists" in cols else F.lit(None)
@@ -396,6 +409,8 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
         derived["prior_break_same_cpty"] = others
     keys = [k for k in C.SEGMENT_KEYS if k in cols]
     seg_keys = keys if len(keys) >= 2 else []
+    keys = keys + [c for c in scope if c not in keys]
+    seg_keys = seg_keys + [c for c in scope if c not in seg_keys]
     if "mad" in stats:
         mad = F.lit(0.0)
         if raw_amt is not None:

@@ -241,6 +241,7 @@ def f09_display_projection(fx):
 # ───────────────────────────── DQ / features / labels (P2) ─────────────────────────────
 from .. import constants as C  # noqa: E402
 from ..operators import dq as DQ  # noqa: E402
+from ..operators import encoders as ENC  # noqa: E402
 from ..operators import features as FT  # noqa: E402
 from ..operators import labels as LB  # noqa: E402
 from ..sources.csv import convert_pence  # noqa: E402
@@ -381,6 +382,57 @@ def j05_encoder_lookup(fx):
         "break_id", "entity_id", "entity_id_enc")
 
 
+@register("j05_encoder_versions", """
+WITH old AS (SELECT value, DENSE_RANK() OVER (ORDER BY value) - 1 AS code
+             FROM (SELECT DISTINCT COALESCE(entity_id, '__MISSING__') AS value FROM breaks
+                   WHERE asset_class = 'CEQ' AND break_amount_pence < 0) q),
+new AS (SELECT value, (SELECT COUNT(*) FROM old) + DENSE_RANK() OVER (ORDER BY value) - 1 AS code
+        FROM (SELECT DISTINCT COALESCE(entity_id, '__MISSING__') AS value FROM breaks) q
+        WHERE value NOT IN (SELECT value FROM old)),
+grown AS (SELECT * FROM old UNION ALL SELECT * FROM new)
+SELECT b.break_id, b.entity_id, CAST(COALESCE(o.code, -1) AS DOUBLE) AS old_code, CAST(g.code AS DOUBLE) AS grown_code
+FROM breaks b LEFT JOIN old o ON COALESCE(b.entity_id, '__MISSING__') = o.value
+LEFT JOIN grown g ON COALESCE(b.entity_id, '__MISSING__') = g.value""", BREAK_VIEWS)
+def j05_encoder_versions(fx):
+    """Encoders of one subset stored, read back, grown by all rows and stored again."""
+    b = fx["breaks"]
+    folder = scratch_path(fx.spark, "encoders")
+    part = b.where((F.col("asset_class") == "CEQ") & (F.col("break_amount_pence") < 0))
+    ENC.save_encoders(ENC.fit_encoders(part, ["entity_id"]), f"{folder}/v=1")
+    old = ENC.load_encoders(fx.spark, f"{folder}/v=1")
+    ENC.save_encoders(ENC.extend_encoders(old, b, ["entity_id"]), f"{folder}/v=2")
+    grown = ENC.load_encoders(fx.spark, f"{folder}/v=2")
+    rows = b.select("break_id", "entity_id")
+    coded = ENC.apply_encoders(rows, old, ["entity_id"]).withColumnRenamed("entity_id_enc", "old_code")
+    return ENC.apply_encoders(coded, grown, ["entity_id"]).withColumnRenamed("entity_id_enc", "grown_code")
+
+
+_BY_CLASS = ["rolling_7d_break_count", "entity_id_enc", "team_code_enc", "rec_name_enc",
+             "offsetting_break_exists", "prior_break_same_cpty"]
+
+
+@register("x_features_by_class", _feat("""
+, scoped AS (SELECT f.*, COALESCE(e, '__MISSING__') AS ve, COALESCE(t, '__MISSING__') AS vt, COALESCE(r, '__MISSING__') AS vr
+             FROM (SELECT break_id, asset_class, entity_id AS e, team_code AS t, rec_name AS r, counterparty,
+                          f_amt, f_age FROM f0) f),
+recent AS (SELECT asset_class, e, CAST(COUNT(*) AS DOUBLE) AS n FROM scoped
+           WHERE e IS NOT NULL AND COALESCE(f_age, 999.0) <= 7 GROUP BY 1, 2),
+netting AS (SELECT asset_class, counterparty, CAST(COUNT(*) - 1 AS DOUBLE) AS others,
+              CASE WHEN ABS(COALESCE(CAST(SUM(CAST(f_amt AS DECIMAL(28,4))) AS DOUBLE), 0.0)) < 1.0 THEN 1.0 ELSE 0.0 END AS nets
+       FROM scoped WHERE counterparty IS NOT NULL GROUP BY 1, 2)
+SELECT s.break_id, s.asset_class, COALESCE(recent.n, 1.0) AS rolling_7d_break_count,
+       CASE WHEN s.asset_class IS NOT NULL THEN CAST(DENSE_RANK() OVER (PARTITION BY s.asset_class ORDER BY ve) - 1 AS DOUBLE) END AS entity_id_enc,
+       CASE WHEN s.asset_class IS NOT NULL THEN CAST(DENSE_RANK() OVER (PARTITION BY s.asset_class ORDER BY vt) - 1 AS DOUBLE) END AS team_code_enc,
+       CASE WHEN s.asset_class IS NOT NULL THEN CAST(DENSE_RANK() OVER (PARTITION BY s.asset_class ORDER BY vr) - 1 AS DOUBLE) END AS rec_name_enc,
+       COALESCE(netting.nets, 0.0) AS offsetting_break_exists, netting.others AS prior_break_same_cpty
+FROM scoped s LEFT JOIN recent ON recent.asset_class = s.asset_class AND recent.e = s.e
+LEFT JOIN netting ON netting.asset_class = s.asset_class AND netting.counterparty = s.counterparty"""), BREAK_VIEWS)
+def x_features_by_class(fx):
+    """X05, X15-X17, X22, X23 with each class as its own scope, as K03 scores them."""
+    return FT.build_feature_matrix(SP.report(fx), keep_input=["break_id", "asset_class"], only=_BY_CLASS,
+                                   scope=["asset_class"])
+
+
 @register("l_weak_labels", _feat(f"SELECT break_id, asset_class, {SP.label_case()} FROM feat"),
           BREAK_VIEWS)
 def l_weak_labels(fx):
