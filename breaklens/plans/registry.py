@@ -384,27 +384,27 @@ def j05_encoder_lookup(fx):
 
 @register("j05_encoder_versions", """
 WITH old AS (SELECT value, DENSE_RANK() OVER (ORDER BY value) - 1 AS code
-             FROM (SELECT DISTINCT COALESCE(entity_id, '__MISSING__') AS value FROM breaks
+             FROM (SELECT DISTINCT COALESCE(counterparty, '__MISSING__') AS value FROM breaks
                    WHERE asset_class = 'CEQ' AND break_amount_pence < 0) q),
 new AS (SELECT value, (SELECT COUNT(*) FROM old) + DENSE_RANK() OVER (ORDER BY value) - 1 AS code
-        FROM (SELECT DISTINCT COALESCE(entity_id, '__MISSING__') AS value FROM breaks) q
+        FROM (SELECT DISTINCT COALESCE(counterparty, '__MISSING__') AS value FROM breaks) q
         WHERE value NOT IN (SELECT value FROM old)),
 grown AS (SELECT * FROM old UNION ALL SELECT * FROM new)
-SELECT b.break_id, b.entity_id, CAST(COALESCE(o.code, -1) AS DOUBLE) AS old_code, CAST(g.code AS DOUBLE) AS grown_code
-FROM breaks b LEFT JOIN old o ON COALESCE(b.entity_id, '__MISSING__') = o.value
-LEFT JOIN grown g ON COALESCE(b.entity_id, '__MISSING__') = g.value""", BREAK_VIEWS)
+SELECT b.break_id, b.counterparty, CAST(COALESCE(o.code, -1) AS DOUBLE) AS old_code, CAST(g.code AS DOUBLE) AS grown_code
+FROM breaks b LEFT JOIN old o ON COALESCE(b.counterparty, '__MISSING__') = o.value
+LEFT JOIN grown g ON COALESCE(b.counterparty, '__MISSING__') = g.value""", BREAK_VIEWS)
 def j05_encoder_versions(fx):
     """Encoders of one subset stored, read back, grown by all rows and stored again."""
     b = fx["breaks"]
     folder = scratch_path(fx.spark, "encoders")
     part = b.where((F.col("asset_class") == "CEQ") & (F.col("break_amount_pence") < 0))
-    ENC.save_encoders(ENC.fit_encoders(part, ["entity_id"]), f"{folder}/v=1")
+    ENC.save_encoders(ENC.fit_encoders(part, ["counterparty"]), f"{folder}/v=1")
     old = ENC.load_encoders(fx.spark, f"{folder}/v=1")
-    ENC.save_encoders(ENC.extend_encoders(old, b, ["entity_id"]), f"{folder}/v=2")
+    ENC.save_encoders(ENC.extend_encoders(old, b, ["counterparty"]), f"{folder}/v=2")
     grown = ENC.load_encoders(fx.spark, f"{folder}/v=2")
-    rows = b.select("break_id", "entity_id")
-    coded = ENC.apply_encoders(rows, old, ["entity_id"]).withColumnRenamed("entity_id_enc", "old_code")
-    return ENC.apply_encoders(coded, grown, ["entity_id"]).withColumnRenamed("entity_id_enc", "grown_code")
+    rows = b.select("break_id", "counterparty")
+    coded = ENC.apply_encoders(rows, old, ["counterparty"]).withColumnRenamed("counterparty_enc", "old_code")
+    return ENC.apply_encoders(coded, grown, ["counterparty"]).withColumnRenamed("counterparty_enc", "grown_code")
 
 
 _BY_CLASS = ["rolling_7d_break_count", "entity_id_enc", "team_code_enc", "rec_name_enc",
