@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from breaklens.operators import dq as DQ
 from breaklens.sources import store as ST
 
 SCHEMA = "break_id string, asset_class string, status string, owner string, report_month string, line int"
@@ -68,3 +69,27 @@ def test_queries_and_lookup(spark, tmp_dir):
     assert [r.break_id for r in one.collect()] == ["b7"] and ST.break_by_id(snap, "no").count() == 0
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(break_id,b7)" in plan and "Exchange" not in plan
+
+
+def test_the_key_filter_of_a_file_is_sized_by_its_keys(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "snap")
+    ST.write_snapshot(ST.ingest(None, rows(spark, ("a", "CEQ", "s", 1), ("b", "OTC", "s", 2))), root)
+    sizes = [os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(root) for n in names if n.endswith(".parquet")]
+    assert sizes and max(sizes) < 200_000  # an unsized filter takes 1 MB
+
+
+def test_scores_are_dealt_out_once_and_null_ids_are_one_group(spark):
+    given = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("", 3.0), (None, 4.0), (None, 5.0), ("b", 6.0)], "break_id string, v double")
+    scored = DQ.compute_dq_scores(given)
+    assert {(r.v, r.dq_no_duplicate) for r in scored.collect()} == {(1.0, 0.0), (2.0, 0.0), (3.0, 1.0), (4.0, 0.0), (5.0, 0.0), (6.0, 1.0)}
+    by_hand = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in by_hand}
+    try:
+        for k, v in by_hand.items():
+            spark.conf.set(k, v)
+        table = given.withColumn("dq_score", F.lit(None).cast("double"))
+        plan = ST.write_back(table, scored.select("break_id", "dq_score"), ["dq_score"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 3  # the table, the scored rows and the counts, each once
