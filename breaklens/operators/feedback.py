@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import written
 
 FEEDBACK_COLUMNS = ["break_id", "analyst_label", "analyst_id", "model_prediction", "asset_class",
                     "report_month", "override_flag"]
@@ -39,8 +40,10 @@ def flag_existing(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def load_feedback(feedback: DataFrame) -> DataFrame:
-    """All feedback, newest first."""
-    return feedback.orderBy(F.desc("feedback_timestamp"))
+    """All feedback, newest first. Rows of one time are ordered by their
+    other columns, so that a batch with a single timestamp is sorted by many tasks."""
+    rest = [c for c in feedback.columns if c != "feedback_timestamp"]
+    return feedback.orderBy(F.desc("feedback_timestamp"), *rest)
 
 
 def feedback_counts(feedback: DataFrame, asset_class: str | None = None) -> DataFrame:
@@ -63,4 +66,5 @@ def feedback_for_retraining(feedback: DataFrame, min_labels: int = C.MIN_ANALYST
     """The feedback rows of every class holding at least ``min_labels`` labels."""
     ok = (feedback.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
           .where(F.col("__n") >= min_labels).select(F.col(by).alias("__ok")))
-    return feedback.join(ok, F.col(by) == F.col("__ok"), "left_semi")
+    # written, so that its size is known and the feedback isn't dealt out by class
+    return feedback.join(written(ok, "feedback-gate"), F.col(by) == F.col("__ok"), "left_semi")

@@ -121,3 +121,26 @@ def test_same_content_twice_is_loaded_once(spark, tmp_dir):
     assert ingest_directory(spark, up, os.path.join(tmp_dir, "cache"), log).count() == 2
     assert read_upload_log(spark, log).count() == 1
     assert ingest_directory(spark, up, os.path.join(tmp_dir, "cache"), log) is None
+
+
+def test_feedback_of_one_time_is_sorted_by_many_tasks(spark):
+    at = F.lit("2026-01-02").cast("timestamp_ntz")
+    fb = spark.range(20000).select(F.col("id").cast("string").alias("break_id"), F.lit(1).alias("analyst_label"),
+                                   at.alias("feedback_timestamp"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        loaded = FB.load_feedback(fb)
+        sizes = [r["count"] for r in loaded.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sum(sizes) == 20000 and max(sizes) < 10000
+
+
+def test_the_gate_does_not_deal_feedback_out_by_class(spark):
+    fb = spark.range(1000).select(F.col("id").cast("string").alias("break_id"),
+                                  F.when(F.col("id") > 10, "CEQ").when(F.col("id") > 3, "OTC").alias("asset_class"))
+    passed = FB.feedback_for_retraining(fb, min_labels=100)
+    assert passed.count() == 989
+    plan = passed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(asset_class" not in plan
