@@ -6,7 +6,6 @@ and MLlib's gradient-boosted trees.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
@@ -56,8 +55,6 @@ FORM = {"email": ("address", "blank_sign"), "ip": ("octets",),
         "card": ("length", "digits", "groups", "separators", "distinct_digits", "longest_run", "luhn"),
         "phone": ("length", "digits", "groups", "separators", "distinct_digits", "longest_run")}
 AROUND = ("context", "number_before", "letter_before", "number_after", "letter_after")
-#: Candidates of each kind and outcome that the trees are fitted to, those of the least hash.
-FIT_ROWS = 8000
 #: Share of right ones among the known candidates above a kind's threshold.
 PRECISION = 0.99
 #: Known negatives a threshold needs at least, else its kind gets no more spans.
@@ -252,40 +249,50 @@ def _nested(node):
     return split.featureIndex(), split.threshold(), _nested(node.leftChild()), _nested(node.rightChild())
 
 
-def fit_spans(found: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION,
-              least_known: int = LEAST_KNOWN) -> SpanModel:
-    """Each kind's trees, fitted to at most ``fit_rows`` known candidates of each outcome, thresholds set on the others of them.
+def known_counts(found: DataFrame) -> DataFrame:
+    """Written table of all known candidates of :func:`propose`, equal ones counted: kind, known, half, x, n.
 
-    Half of the sample, by hash, fits the trees; on the other half each kind's
-    threshold is the least score at which ``precision`` of the candidates at or
-    above it are right. A kind with fewer than ``least_known`` wrong candidates
-    there gets no threshold.
+    half (0 or 1) is told by a hash of the row and place. The table grows with
+    the distinct features, not with the texts.
     """
     known = (found.select(F.explode(F.filter("candidates", lambda c: c["known"].isNotNull())).alias("c"), "c0")
-             .select("c0", "c.*").withColumn("h", F.xxhash64("c0", "start", "kind")))
-    parts = [known.where((F.col("kind") == k) & (F.col("known") == y)).orderBy("h", "end", "x").limit(fit_rows)
-             for k in range(len(KINDS)) for y in (0, 1)]
-    sample = written(functools.reduce(DataFrame.unionAll, parts), "fit")
-    fit, rest = sample.where("h % 2 = 0"), sample.where("h % 2 <> 0")
-    outcomes = [r.kind for r in fit.select("kind", "known").distinct().collect()]
+             .select("c0", "c.*").withColumn("half", F.pmod(F.xxhash64("c0", "start", "kind"), F.lit(2)).cast("int")))
+    counts = known.groupBy("kind", "known", "half", "x").agg(F.count("*").alias("n"))
+    return written(counts.sortWithinPartitions("kind", "known", "half", "x"), "fit")
+
+
+def fit_spans(found: DataFrame, precision: float = PRECISION, least_known: int = LEAST_KNOWN) -> SpanModel:
+    """Each kind's trees, fitted to one half of all known candidates, thresholds set on the other half.
+
+    Right and wrong candidates of a kind weigh the same in sum, in the fit and
+    in the thresholds: a kind's threshold is the least score at which
+    ``precision`` of the weight at or above it is right. A kind with fewer than
+    ``least_known`` wrong candidates in the other half gets no threshold.
+    """
+    counts = known_counts(found)
+    total = {(r.kind, r.half, r.known): r.n for r in
+             counts.groupBy("kind", "half", "known").agg(F.sum("n").alias("n")).collect()}  # kinds x 4 rows
     model = SpanModel()
-    for k in sorted(k for k in set(outcomes) if outcomes.count(k) == 2):
-        trees = GBTClassifier(labelCol="known", featuresCol="features", maxIter=10, maxDepth=4, seed=3).fit(
-            _vectors(fit.where(F.col("kind") == k).select("known", "x")).select(F.col("known").cast("double"), "features"))
+    for k in range(len(KINDS)):
+        wrong, right = (total.get((k, 0, y), 0) for y in (0, 1))
+        if not wrong or not right:
+            continue
+        share = F.when(F.col("known") == 1, (wrong + right) / (2 * right)).otherwise((wrong + right) / (2 * wrong))
+        rows = counts.where((F.col("kind") == k) & (F.col("half") == 0)).withColumn("weight", F.col("n") * share)
+        trees = GBTClassifier(labelCol="known", featuresCol="features", weightCol="weight", maxIter=10, maxDepth=4, seed=3).fit(
+            _vectors(rows.select("known", "x", "weight")).select(F.col("known").cast("double"), "features", "weight"))
         model.trees[k] = [(w, _nested(t._java_obj.rootNode())) for w, t in zip(trees.treeWeights, trees.trees, strict=True)]
     if not model.trees:
         return model
-    table = (rest.select("kind", "known", F.floor(model.probability(F.col("x")) * 100).alias("bin"))
-             .groupBy("kind", "bin").agg(F.sum("known").alias("right"), F.count("*").alias("n"))
-             .collect())  # kinds x 101 rows
+    table = (counts.where("half = 1").select("kind", "known", "n", F.floor(model.probability(F.col("x")) * 100).alias("bin"))
+             .groupBy("kind", "known", "bin").agg(F.sum("n").alias("n")).collect())  # kinds x 2 x 101 rows
     for k in model.trees:
-        rows = [r for r in table if r["kind"] == k]
-        if sum(r["n"] - r["right"] for r in rows) < least_known:
+        wrong, right = (total.get((k, 1, y), 0) for y in (0, 1))
+        if not right or wrong < max(least_known, 1):
             continue
         for b in range(50, 100):
-            above = [r for r in rows if r["bin"] >= b]
-            n, right = sum(r["n"] for r in above), sum(r["right"] for r in above)
-            if n and right >= precision * n:
+            bad, good = (sum(r.n for r in table if r.kind == k and r.known == y and r.bin >= b) for y in (0, 1))
+            if good + bad and good / right >= precision * (good / right + bad / wrong):
                 model.thresholds[k] = b / 100
                 break
     return model
