@@ -17,8 +17,8 @@ from breaklens.session import ship_package, written
 ORDER = 4
 #: Bits of a stored gram's hash: whole hashes, so that the tables grow with the corpus.
 HASH_BITS = 64
-#: Labelled texts, least hash of their id first, on which score and rejection are calibrated.
-CALIBRATION_ROWS = 4096
+#: Steps of a nat, and of a margin's unit, in which the calibration counts.
+CE_STEPS, MARGIN_STEPS = 4096, 64
 #: Share of a language's own texts that the rejection may refuse.
 REFUSED = 0.005
 #: Characters of the cuts on which the score is calibrated (whole texts are hardly ever mistaken).
@@ -138,53 +138,27 @@ class LanguageModels:
         two = np.partition(ce, 1, axis=1)
         return np.minimum((two[:, 1] - two[:, 0]) * n_sym, 60.0)
 
-    def calibrate(self, texts: pa.Array, languages: list[str]) -> None:
-        """Rejection limits from labelled texts, the score's logistic from short cuts of them."""
-        index = {lang: i for i, lang in enumerate(self.languages)}
-        want = np.array([index.get(x, -1) for x in languages], np.int64)
-
-        def evaluate(col, own):
-            out = [], [], [], []
-            for lo, hi, data, off in slices(col, _SLICE):
-                ce, n_sym, letters = self.cross_entropy(data, off)
-                ok = (letters > 0) & (own[lo:hi] >= 0)
-                best = ce.argmin(axis=1)
-                for x, y in zip(out, (ce.min(axis=1), self.margin(ce, n_sym), best == own[lo:hi], best), strict=True):
-                    x.append(y[ok])
-            return [np.concatenate(x) if x else np.zeros(0) for x in out]
-
-        ce, _, right, best = evaluate(texts, want)
-        self.limit = np.full(len(self.languages), np.inf)
-        for i in range(len(self.languages)):
-            mine = ce[(best == i) & right.astype(bool)]
-            if len(mine):
-                self.limit[i] = np.quantile(mine, 1 - REFUSED)
-        cuts, own = [], []
-        for text, w in zip(texts.to_pylist(), want.tolist(), strict=True):
-            for n in CUTS:
-                cuts.append(text[len(text) // 3:][:n])
-                own.append(w)
-        _, margin, right, _ = evaluate(pa.array(cuts, pa.string()), np.array(own, np.int64))
-        if len(margin):
-            self.scale = _logistic(margin, right.astype(bool))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton's method, with smoothed targets; the slope isn't negative."""
-    up, down = y.sum(), (~y).sum()
-    t = np.where(y, (up + 1) / (up + 2), 1 / (down + 2))
-    spread = x.std() or 1.0
-    z, w = (x - x.mean()) / spread, np.zeros(2)
+
+def _logistic(x: np.ndarray, right: np.ndarray, wrong: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope by Newton's method, with smoothed targets; the slope isn't negative.
+
+    ``x`` are the mean margins of the counted bins, ``right`` and ``wrong`` their outcomes.
+    """
+    n, up, down = right + wrong, right.sum(), wrong.sum()
+    t = (right * (up + 1) / (up + 2) + wrong / (down + 2)) / n
+    mean = (x * n).sum() / n.sum()
+    spread = np.sqrt(((x - mean) ** 2 * n).sum() / n.sum()) or 1.0
+    z, w = (x - mean) / spread, np.zeros(2)
     design = np.stack([np.ones_like(z), z], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, design.T @ (t - p) - 1e-3 * w)
+        hess = (design * (n * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, design.T @ (n * (t - p)) - 1e-3 * w)
         w = w + step
         if abs(step).max() < 1e-9:
             break
     slope = max(w[1] / spread, 0.0)
-    return float(w[0] - slope * x.mean()), float(slope)
+    return float(w[0] - slope * mean), float(slope)
 
 
 def gram_counts(docs: DataFrame, lang_col: str, text_col: str, order: int = ORDER) -> DataFrame:
@@ -306,18 +280,95 @@ def _with_slot(rows: DataFrame, bits: int) -> DataFrame:
     return rows.select("gram", "lang", "p", "left").mapInArrow(run, "slot bigint, lang string, p double, left double")
 
 
-def calibrated(models: LanguageModels, docs: DataFrame, id_col: str, lang_col: str, text_col: str,
-               rows: int = CALIBRATION_ROWS) -> LanguageModels:
-    """Calibrates on at most ``rows`` labelled texts, those of the least id hash."""
-    sample = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-              .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
-              .orderBy(F.xxhash64("id"), "id").limit(rows))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        sample.dropDuplicates(["id"]).where("id is not null"), "id").toArrow()
-    models.calibrate(texts.column("text"), texts.column("lang").to_pylist())
+def measured(docs: DataFrame, models: LanguageModels, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, best (number of the language, -1: none), cross_entropy, margin,
+    and of a row with a learned language in ``lang_col`` and a text: own (that language's number) and
+    the best and margin of its cuts (null where a cut has no letter)."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(models)  # grows with the distinct grams and languages
+
+    def of(m, col):
+        for lo, hi, data, off in slices(col, _SLICE):
+            if m.languages:
+                ce, n_sym, letters = m.cross_entropy(data, off)
+                yield lo, hi, ce.argmin(axis=1), ce.min(axis=1), m.margin(ce, n_sym), letters == 0
+            else:
+                yield lo, hi, np.zeros(hi - lo, np.int64), np.zeros(hi - lo), np.zeros(hi - lo), np.ones(hi - lo, bool)
+
+    def run(batches):
+        m = shared.value
+        index = {lang: i for i, lang in enumerate(m.languages)}
+        for batch in batches:
+            for lo, hi, best, least, margin, none in of(m, batch.column(1)):
+                texts = batch.column(1).slice(lo, hi - lo)
+                langs = batch.column(2).slice(lo, hi - lo).to_pylist()
+                own = [index.get(x) if ok else None for x, ok in zip(langs, texts.is_valid().to_pylist(), strict=True)]
+                at = [i for i, x in enumerate(own) if x is not None]
+                cuts = [text[len(text) // 3:][:n] for text in texts.take(pa.array(at, pa.int64())).to_pylist() for n in CUTS]
+                cut_best, cut_margin = np.full((hi - lo, len(CUTS)), -1), np.zeros((hi - lo, len(CUTS)))
+                if cuts:
+                    parts = [(np.where(bare, -1, top), far) for _, _, top, _, far, bare in of(m, pa.array(cuts, pa.string()))]
+                    cut_best[at] = np.concatenate([x for x, _ in parts]).reshape(-1, len(CUTS))
+                    cut_margin[at] = np.concatenate([x for _, x in parts]).reshape(-1, len(CUTS))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(lo, hi - lo), pa.array(np.where(none, -1, best), pa.int32()),
+                    pa.array(least, pa.float64(), mask=none), pa.array(margin, pa.float64()), pa.array(own, pa.int32()),
+                    pa.array(cut_best.tolist(), pa.list_(pa.int32())), pa.array(cut_margin.tolist(), pa.list_(pa.float64()))],
+                    names=["id", "best", "cross_entropy", "margin", "own", "cut_best", "cut_margin"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col)
+    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
+            .mapInArrow(run, f"id {kind}, best int, cross_entropy double, margin double, own int, "
+                             "cut_best array<int>, cut_margin array<double>")
+            .withColumnRenamed("id", id_col))
+
+
+def calibrated_on(models: LanguageModels, rows: DataFrame) -> LanguageModels:
+    """Calibrates on every labelled row of :func:`measured`: each language's rejection limit on its own texts
+    that were told right (to 1/4096 nat), the score's logistic on all cuts. Counted by Spark: what comes
+    back are the used steps of the two scales, however many texts there are."""
+    own = rows.where("own is not null")
+    step = F.floor(F.col("cross_entropy") * CE_STEPS)
+    limits = (own.where("best = own").groupBy(F.col("own").alias("i"), step.alias("step")).agg(F.count("*").alias("n"))
+              .orderBy("i", "step").collect())  # languages x used steps
+    models.limit = np.full(len(models.languages), np.inf)
+    for i in {r.i for r in limits}:
+        of = [r for r in limits if r.i == i]
+        n = np.cumsum([r.n for r in of])
+        models.limit[i] = (of[int(np.searchsorted(n, (1 - REFUSED) * n[-1]))].step + 1) / CE_STEPS
+    cuts = (own.select("own", F.explode(F.arrays_zip("cut_best", "cut_margin")).alias("c")).select("own", "c.*")
+            .where("cut_best >= 0"))
+    right = F.col("cut_best") == F.col("own")
+    bins = (cuts.groupBy(F.floor(F.col("cut_margin") * MARGIN_STEPS).alias("bin"))
+            .agg(F.avg("cut_margin").alias("x"), F.count_if(right).alias("right"), F.count_if(~right).alias("wrong"))
+            .orderBy("bin").collect())  # at most 60 x 64 + 1 (symbols without a second language: 60) rows
+    if bins:
+        models.scale = _logistic(*(np.array([r[c] for r in bins], float) for c in ("x", "right", "wrong")))
     return models
 
 
+def calibrated(models: LanguageModels, docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> LanguageModels:
+    """Calibrates on all labelled texts of ``docs``."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    return calibrated_on(models, written(measured(known, models, id_col, text_col, lang_col), "measured"))
+
+
+def decided(rows: DataFrame, models: LanguageModels, id_col: str = "doc_id") -> DataFrame:
+    """The rows of :func:`measured` as :func:`identify` returns them."""
+    a, b = models.scale
+    names = F.array(*map(F.lit, [*models.languages, UNKNOWN]))
+    limits = F.array(*(F.lit(float(x)) for x in (models.limit if models.limit is not None else
+                                                 [np.inf] * len(models.languages))), F.lit(0.0))
+    some = F.col("best") >= 0
+    at = F.when(some, F.col("best")).otherwise(len(models.languages))
+    logit = F.least(F.greatest(F.lit(a) + F.lit(b) * F.col("margin"), F.lit(-30.0)), F.lit(30.0))
+    return rows.select(id_col, F.get(names, at).alias("lang_pred"),
+                       F.when(some, 1 / (1 + F.exp(-logit))).otherwise(0.0).alias("score"), "cross_entropy",
+                       F.coalesce(some & (F.col("cross_entropy") <= F.get(limits, at)), F.lit(False)).alias("accepted"))
+
+
 def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, lang_pred, score, cross_entropy, accepted.
 
@@ -329,32 +380,4 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
     within the limit that the language's own texts keep. Other columns are
     not looked at.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(models)  # grows with the distinct grams and languages
-
-    def run(batches):
-        m = shared.value
-        names = np.array([*m.languages, UNKNOWN], object)
-        for batch in batches:
-            for lo, hi, data, off in slices(batch.column(1), _SLICE):
-                if m.languages:
-                    ce, n_sym, letters = m.cross_entropy(data, off)
-                    best, least = ce.argmin(axis=1), ce.min(axis=1)
-                    a, b = m.scale
-                    score = 1 / (1 + np.exp(-np.clip(a + b * m.margin(ce, n_sym), -30, 30)))
-                    none = letters == 0
-                    ok = ~none & (least <= (m.limit[best] if m.limit is not None else np.inf))
-                else:
-                    best, none = np.zeros(hi - lo, np.int64), np.ones(hi - lo, bool)
-                    least, score, ok = np.zeros(hi - lo), np.zeros(hi - lo), np.zeros(hi - lo, bool)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo),
-                    pa.array(names[np.where(none, len(m.languages), best)].tolist(), pa.string()),
-                    pa.array(np.where(none, 0.0, score)), pa.array(least, mask=none), pa.array(ok)],
-                    names=["id", "lang_pred", "score", "cross_entropy", "accepted"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"id {kind}, lang_pred string, score double, cross_entropy double, accepted boolean")
-            .withColumnRenamed("id", id_col))
+    return decided(measured(docs, models, id_col, text_col), models, id_col)

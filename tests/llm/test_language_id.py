@@ -117,3 +117,19 @@ def test_tables_hold_every_gram(spark):
         s = fold(t, langid.ORDER)
         grams |= {tuple(s[i:i + langid.ORDER]) for i in range(len(s) - langid.ORDER + 1)}
     assert len(models.slots[langid.ORDER - 1]) == len(grams)
+
+
+def test_calibration_counts_every_labelled_text(spark):
+    rows = [(i, text(lang, 3, f"w{i}"), lang) for i in range(2000) for lang in PARTS]  # ids repeat
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    models = langid.calibrated(langid.train(docs), docs, "doc_id", "lang", "text")
+    got = langid.measured(docs, models, "doc_id", "text", "lang").where("best = own").collect()
+    for k in range(len(models.languages)):
+        mine = [r.cross_entropy for r in got if r.own == k]
+        assert abs(models.limit[k] - np.quantile(mine, 1 - langid.REFUSED, method="inverted_cdf")) <= 2 / langid.CE_STEPS
+    cuts = [(m, b == r.own) for r in langid.measured(docs, models, "doc_id", "text", "lang").collect()
+            for b, m in zip(r.cut_best, r.cut_margin, strict=True) if b >= 0]
+    assert len(cuts) > 4 * 4096
+    a, b = models.scale
+    mean = sum(1 / (1 + math.exp(-(a + b * m))) for m, _ in cuts) / len(cuts)  # the logistic keeps the rate of right ones
+    assert abs(mean - sum(y for _, y in cuts) / len(cuts)) < 0.01
