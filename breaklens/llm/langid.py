@@ -18,7 +18,7 @@ ORDER = 4
 #: Bits of a stored gram's hash: whole hashes, so that the tables grow with the corpus.
 HASH_BITS = 64
 #: Steps of a nat, and of a margin's unit, in which the calibration counts.
-CE_STEPS, MARGIN_STEPS = 4096, 64
+CE_STEPS, MARGIN_STEPS = 4096, 1024
 #: Share of a language's own texts that the rejection may refuse.
 REFUSED = 0.005
 #: Characters of the cuts on which the score is calibrated (whole texts are hardly ever mistaken).
@@ -327,23 +327,31 @@ def measured(docs: DataFrame, models: LanguageModels, id_col: str, text_col: str
 
 def calibrated_on(models: LanguageModels, rows: DataFrame) -> LanguageModels:
     """Calibrates on every labelled row of :func:`measured`: each language's rejection limit on its own texts
-    that were told right (to 1/4096 nat), the score's logistic on all cuts. Counted by Spark: what comes
+    that were told right (exact where a step of 1/4096 nat holds up to two texts, else within it), the score's logistic on all cuts. Counted by Spark: what comes
     back are the used steps of the two scales, however many texts there are."""
     own = rows.where("own is not null")
     step = F.floor(F.col("cross_entropy") * CE_STEPS)
-    limits = (own.where("best = own").groupBy(F.col("own").alias("i"), step.alias("step")).agg(F.count("*").alias("n"))
+    limits = (own.where("best = own").groupBy(F.col("own").alias("i"), step.alias("step"))
+              .agg(F.count("*").alias("n"), F.min("cross_entropy").alias("least"), F.max("cross_entropy").alias("most"))
               .orderBy("i", "step").collect())  # languages x used steps
     models.limit = np.full(len(models.languages), np.inf)
     for i in {r.i for r in limits}:
         of = [r for r in limits if r.i == i]
-        n = np.cumsum([r.n for r in of])
-        models.limit[i] = (of[int(np.searchsorted(n, (1 - REFUSED) * n[-1]))].step + 1) / CE_STEPS
+        end = np.cumsum([r.n for r in of])
+
+        def ranked(k, of=of, end=end):
+            b = of[j := int(np.searchsorted(end, k, "right"))]
+            return b.least + (b.most - b.least) * (k - (end[j] - b.n)) / max(b.n - 1, 1)
+
+        at = (1 - REFUSED) * (end[-1] - 1)
+        low = ranked(int(at))
+        models.limit[i] = low + (ranked(min(int(at) + 1, end[-1] - 1)) - low) * (at - int(at))
     cuts = (own.select("own", F.explode(F.arrays_zip("cut_best", "cut_margin")).alias("c")).select("own", "c.*")
             .where("cut_best >= 0"))
     right = F.col("cut_best") == F.col("own")
     bins = (cuts.groupBy(F.floor(F.col("cut_margin") * MARGIN_STEPS).alias("bin"))
             .agg(F.avg("cut_margin").alias("x"), F.count_if(right).alias("right"), F.count_if(~right).alias("wrong"))
-            .orderBy("bin").collect())  # at most 60 x 64 + 1 (symbols without a second language: 60) rows
+            .orderBy("bin").collect())  # at most 60 x 1024 + 1 (symbols without a second language: 60) rows
     if bins:
         models.scale = _logistic(*(np.array([r[c] for r in bins], float) for c in ("x", "right", "wrong")))
     return models
