@@ -133,8 +133,8 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: n
             fm.bias -= rate * step / np.sqrt(g_bias)
     if len(kept_out) and len(np.unique(label[kept_out])) == 2:
         z = fm.raw(*gather(kept_out))[0]
-        copies = np.repeat(np.arange(len(kept_out)), np.maximum(np.rint(weight[kept_out] / weight.min()), 1).astype(int))
-        fm.scale = _logistic(z[copies], label[kept_out][copies] == 1)
+        copies = np.maximum(np.rint(weight[kept_out] / weight.min()), 1)
+        fm.scale = _logistic(z, copies * (label[kept_out] == 1), copies * (label[kept_out] != 1))
     return fm
 
 

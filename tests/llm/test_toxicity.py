@@ -72,3 +72,15 @@ def test_without_labels(spark, make, edges):
     docs = make(edges).selectExpr("*", "cast(null as int) as toxic")
     model = T.train(docs, docs, "toxic")
     assert {r.predicted for r in T.toxicity(make(edges), model).collect()} == {0}
+
+
+def test_calibration_counts_rows_by_weight():
+    """A kept-out row of weight 3 counts like three rows of weight 1."""
+    z, toxic = np.array([-2.0, -1.0, 0.5, 1.0, 2.0]), np.array([0, 0, 1, 0, 1]) == 1
+    copies = np.array([3, 1, 1, 2, 1])
+    once = T._logistic(np.repeat(z, copies), np.repeat(toxic, copies).astype(float), np.repeat(~toxic, copies).astype(float))
+    assert np.allclose(T._logistic(z, copies * toxic, copies * ~toxic), once, atol=1e-6)
+    texts = [(np.array([i % 2, 5 + i % 7], np.int32), np.full(2, 3.0, np.float32)) for i in range(80)]
+    label = np.array([float(i % 2) for i in range(80)])
+    fm = T.fit(texts, label, np.where(label == 1, 1.0, 3.0), bits=5)
+    assert len(fm.scale) == 2 and fm.scale[1] > 0
