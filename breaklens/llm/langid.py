@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breaklens.llm.words import mix, slices, windows
+from breaklens.llm.words import mix, run_windows, slices, windows
 from breaklens.session import ship_package, written
 
 ORDER = 4
@@ -25,6 +25,8 @@ REFUSED = 0.005
 CUTS = (4, 8, 16, 32)
 UNKNOWN = "und"
 _SLICE = 1 << 20
+#: Bytes of text that are measured at a time: their arrays stay in a core's cache.
+_MEASURED_SLICE = 1 << 17
 _BLANK = 0x20
 
 
@@ -89,38 +91,64 @@ class LanguageModels:
     limit: np.ndarray | None = None  # greatest accepted cross-entropy per language
     scale: tuple[float, float] = (0.0, 1.0)  # of the score's logistic
 
+    def __post_init__(self) -> None:
+        self._starts: dict[int, tuple[np.ndarray, np.uint64]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_starts": {}}  # made anew where it is used
+
+    def _index(self, n: int) -> tuple[np.ndarray, np.uint64]:
+        """Where the hashes with each value of their leading bits begin (about a quarter of a hash for each value)."""
+        if n not in self._starts:
+            known = self.slots[n - 1]
+            lead = min(self.bits, (4 * len(known)).bit_length())
+            shift = np.uint64(self.bits - lead)
+            at = np.searchsorted(known, np.arange(1 << lead, dtype=np.uint64) << shift)
+            self._starts[n] = at.astype(np.int32 if len(known) < 1 << 31 else np.int64), shift
+        return self._starts[n]
+
     def _find(self, n: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known = self.slots[n - 1]
         if not len(known):
             return np.zeros(len(slot), np.int64), np.zeros(len(slot), bool)
-        at = np.minimum(np.searchsorted(known, slot), len(known) - 1)
-        return at, known[at] == slot
+        starts, shift = self._index(n)
+        last = len(known) - 1
+        at = np.minimum(starts[(slot >> shift).view(np.int64)], last)
+        have = known[at]
+        low = np.flatnonzero((have < slot) & (at < last))
+        while len(low):
+            at[low] += 1
+            have[low] = known[at[low]]
+            low = low[(have[low] < slot[low]) & (at[low] < last)]
+        return at, have == slot
 
     def cross_entropy(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(nats per symbol in each language, symbols, letters) of every text."""
         code, base = symbols(data, off, self.order)
         n_text, n_lang = len(off) - 1, len(self.languages)
         shift = np.uint64(64 - self.bits)
-        slots = {}
+        mixed = mix(code.astype(np.uint64) + np.uint64(1))
 
-        def slot_of(n):
-            if n not in slots:
-                padded = np.concatenate([[0], [len(code)]])
-                slots[n] = _gram_hash(code, padded, n)[0] >> shift
-            return slots[n]
+        def slots(n, at):
+            """Of the grams of n symbols that end at ``at``."""
+            return run_windows(mixed, at - (n - 1), n) >> shift
 
         n_sym = np.diff(base) - (self.order - 1)
         last = np.arange(n_sym.sum()) + np.repeat(np.arange(1, n_text + 1) * (self.order - 1), n_sym)
-        value = np.zeros((len(last), n_lang), np.float32)
-        open_ = np.arange(len(last))
+        at, found = self._find(self.order, slots(self.order, last))
+        value = self.logp[self.order - 1].astype(np.float32, copy=False)[at] if len(self.slots[-1]) else np.zeros(
+            (len(last), n_lang), np.float32)
+        open_ = np.flatnonzero(~found)
+        value[open_] = 0
         for n in range(self.order, 0, -1):
-            at, found = self._find(n, slot_of(n)[last[open_] - n + 1])
-            value[open_[found]] += self.logp[n - 1][at[found]]
-            open_ = open_[~found]
+            if n < self.order:
+                at, found = self._find(n, slots(n, last[open_]))
+                value[open_[found]] += self.logp[n - 1][at[found]]
+                open_ = open_[~found]
             if not len(open_):
                 break
             if n > 1:
-                at, found = self._find(n - 1, slot_of(n - 1)[last[open_] - n + 1])
+                at, found = self._find(n - 1, slots(n - 1, last[open_] - 1))
                 value[open_[found]] += self.logb[n - 2][at[found]]
             else:
                 value[open_] += self.floor
@@ -289,7 +317,7 @@ def measured(docs: DataFrame, models: LanguageModels, id_col: str, text_col: str
     shared = spark.sparkContext.broadcast(models)  # grows with the distinct grams and languages
 
     def of(m, col):
-        for lo, hi, data, off in slices(col, _SLICE):
+        for lo, hi, data, off in slices(col, _MEASURED_SLICE):
             if m.languages:
                 ce, n_sym, letters = m.cross_entropy(data, off)
                 yield lo, hi, ce.argmin(axis=1), ce.min(axis=1), m.margin(ce, n_sym), letters == 0

@@ -133,3 +133,20 @@ def test_calibration_counts_every_labelled_text(spark):
     a, b = models.scale
     mean = sum(1 / (1 + math.exp(-(a + b * m))) for m, _ in cuts) / len(cuts)  # the logistic keeps the rate of right ones
     assert abs(mean - sum(y for _, y in cuts) / len(cuts)) < 0.01
+
+
+def test_grams_are_found_by_their_leading_bits(monkeypatch):
+    rng = np.random.default_rng(3)
+    near = np.uint64(0xABCDEF) << np.uint64(40)  # many hashes that agree in their leading bits
+    for bits in (64, 20):
+        known = np.unique(np.concatenate([rng.integers(0, 2**64, 500, dtype=np.uint64), near + np.arange(300, dtype=np.uint64),
+                                          np.array([0, 2**64 - 1], np.uint64)]) >> np.uint64(64 - bits))
+        for slots in (known, known[:1], known[-1:], known[:0]):
+            m = langid.LanguageModels(["a"], 1, bits, [slots], [np.zeros((len(slots), 1))], [np.zeros((len(slots), 1))], np.zeros(1))
+            asked = np.concatenate([known, known + np.uint64(1), np.maximum(known, 1) - np.uint64(1)]) & np.uint64(2**bits - 1)
+            m._find(1, asked[:1])
+            with monkeypatch.context() as only:  # no binary search a gram
+                only.setattr(np, "searchsorted", lambda *a, **b: 1 / 0)
+                at, found = m._find(1, asked)
+            assert (found == np.isin(asked, slots)).all()
+            assert (slots[at[found]] == asked[found]).all()
