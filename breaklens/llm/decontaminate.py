@@ -11,6 +11,8 @@ from breaklens.llm.words import ALNUM, beside, slices, windows, words
 from breaklens.session import ship_package
 
 WINDOW_WORDS = 10
+#: Bytes of text that are searched at a time: every slice is searched for the whole benchmark.
+SLICE_BYTES = 1 << 20
 #: Words of one suffix array; a longer stretch is cut into overlapping ones.
 SHARD_WORDS = 1 << 20
 #: Benchmark words of one broadcast block (8 bytes each, and as much again for the index).
@@ -179,7 +181,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, cols: list[str], text_col: s
     blocks, depth = _blocks(benchmark, item_col, item_text_col, window, block_words)
 
     def run(text):
-        for _, _, data, off in slices(text):
+        for _, _, data, off in slices(text, SLICE_BYTES):
             yield _slice_matches(data, off, blocks, depth)
 
     return beside(docs, cols, text_col, run,

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from breaklens.session import release, written
 
+#: Edges of one file of a round, and files of small rounds: with a file for every shuffle partition,
+#: rounds of few edges are mostly spent on files.
+FILE_EDGES, LEAST_FILES = 1 << 17, 16
+
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Link every greater neighbour of a node to the least of the node and its neighbours."""
@@ -28,13 +32,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     A node's neighbours are never gathered: the least of them is a partial
     aggregate, and it is joined back. Every round is written to the shared
-    folder. Loops, repeated edges and null ends are ignored.
+    folder, in files sized by the number of edges (``edges`` is read twice).
+    Loops, repeated edges and null ends are ignored.
     """
+    files = max(LEAST_FILES, -(-edges.count() // FILE_EDGES))
     e = written(edges.where(F.col(a) != F.col(b))
-                .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+                .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().coalesce(files), "edges")
     before = None
     while True:
-        after = written(_small_star(_large_star(e)), "edges")
+        after = written(_small_star(_large_star(e)).coalesce(files), "edges")  # no round makes edges
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         release(e)
         e = after

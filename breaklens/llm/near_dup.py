@@ -18,6 +18,9 @@ N_BINS = 128
 BAND_ROWS = 4
 #: Members of one block of a bucket, when a bucket's components are compared in full.
 BLOCK = 384
+#: Documents of one file of the tables in between, and files of small ones: a file for every shuffle
+#: partition makes executors spend their time, and processes, on files.
+FILE_ROWS, LEAST_FILES = 1 << 13, 16
 #: A class of this share of all rows or more (so there are at most so many) is joined by broadcast.
 HOT_SHARE = 1000
 
@@ -151,21 +154,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts is. A row without id is its own component (null) and kept. Other
     columns of ``docs``, whatever their names, are not looked at.
     """
+    docs = docs.select(id_col, text_col)
+    files = max(LEAST_FILES, -(-docs.count() // FILE_ROWS))
+    docs = docs.coalesce(files)  # only ever fewer
     feats = written(shingle_features(docs, id_col, text_col, k, n_bins, band_rows), "oph")
     classes = (feats.where("n_shingles > 0 and id is not null").groupBy("f1", "f2")
                .agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     reps = feats.join(classes.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi")
     members = written(reps.select("id", F.explode("bands").alias("bucket")).distinct()
                       .join(reps.select(F.explode("bands").alias("bucket")).groupBy("bucket")
-                            .agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket"), "buckets")
+                            .agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket").coalesce(files), "buckets")
     hubs = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     held = members.join(hubs, "bucket")
     stars = (held.select(F.explode(F.array("lo", "hi")).alias("hub"), "id").where("hub <> id")
              .select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
     wanted = members.select("id").distinct()
     sets = written(shingle_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-                                .join(wanted, "id", "left_semi"), "id", "text", k), "sets")
-    links = written(confirm(stars, sets, similarity), "links")
+                                .join(wanted, "id", "left_semi").coalesce(files), "id", "text", k), "sets")
+    links = written(confirm(stars, sets, similarity).coalesce(files), "links")
 
     roots = components(links, "a", "b")
     rest = (held.where("id <> lo and id <> hi").select("bucket", "id")
@@ -173,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("bucket", "id", F.coalesce("root", "id").alias("root")))
     mixed = (rest.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"))
              .where("r0 < r1").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    rest = written(rest.join(mixed, "bucket"), "rest")
+    rest = written(rest.join(mixed, "bucket").coalesce(files), "rest")
     short = sets.join(rest.select("id").distinct(), "id", "left_semi").select(
         "id", F.transform("shingles", lambda s: (s % 2147483647).cast("int")).alias("s32"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -184,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     more = (crossed.groupBy("bucket", "b0", "b1").applyInArrow(_block_links(similarity), f"a {kind}, b {kind}")
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = written(confirm(more, sets, similarity), "links")
+    more = written(confirm(more, sets, similarity).coalesce(files), "links")
 
     roots = components(links.unionByName(more), "a", "b")
     release(members, sets, rest, links, more)

@@ -6,6 +6,7 @@ import numpy as np
 from breaklens.llm.graph import components
 from breaklens.llm.near_dup import near_duplicates
 from breaklens.llm.oph import OnePermutation, distinct
+from breaklens.session import written
 
 
 def brute(rows, k=5):
@@ -80,3 +81,32 @@ def test_graph_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (5, 5), (100, 101)]
     got = components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b")
     assert {r.node: r.root for r in got.collect()} == {i: 0 for i in range(1, 31)} | {101: 100, 102: 100}
+
+
+def test_small_tables_are_few_files(spark, make, write_prose, monkeypatch):
+    from breaklens.llm import graph, near_dup
+
+    files = []
+
+    def counted(df, name):
+        out = written(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    monkeypatch.setattr(near_dup, "written", counted)
+    texts = [write_prose(40) for _ in range(40)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = make([(i, texts[i % 40]) for i in range(400)]).repartition(64)
+        rows = near_duplicates(docs).collect()
+        roots = components(spark.range(2000).selectExpr("id as a", "id - id % 10 as b"), "a", "b").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.component_id for r in rows} == {i: i % 40 for i in range(400)}
+    assert {r.node: r.root for r in roots} == {i: i - i % 10 for i in range(2000) if i % 10}
+    assert files and max(files) <= 16

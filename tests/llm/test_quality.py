@@ -1,9 +1,12 @@
 import collections
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from breaklens.llm.quality import LabelModel, keep_quality, quality
+from breaklens.llm.quality import LabelModel, _slice_counts, keep_quality, quality
+from breaklens.llm.words import slices
 
 
 def brute(text):
@@ -122,3 +125,16 @@ def test_posterior_outweighs_single_votes():
 def test_no_rows():
     model = LabelModel(np.zeros((0, 7), int), np.zeros(0))
     assert model.good == 0.85 and np.allclose(model.table, LabelModel.START)
+
+
+def test_counting_takes_little_memory(write_prose):
+    texts = pa.array([write_prose(150)] * 3000)
+    assert texts.nbytes > 3 << 20
+    tracemalloc.start()
+    try:
+        rows = sum(len(_slice_counts(data, off)[0]) for _, _, data, off in slices(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 3000
+    assert peak < 40 << 20, peak
