@@ -144,3 +144,24 @@ def test_the_gate_does_not_deal_feedback_out_by_class(spark):
     assert passed.count() == 989
     plan = passed._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(asset_class" not in plan
+
+
+def test_the_newest_rows_of_an_upload_are_those_of_the_whole_prepared_rows(spark):
+    rows = [("a", "2026-01-31", 100, 7, None), ("a", "2026-02-01", 50, 9, 1.0), ("b", "2026-01-01", None, 3, None),
+            ("b", "2026-01-01", 5, 2, None), ("b", "2026-01-01", 5, 4, 0.5), (None, None, -1, 1, None), (None, None, -2, 8, 2.0)]
+    given = spark.createDataFrame(rows, "break_id string, report_date string, break_amount_pence bigint, net_amount_pence bigint, "
+                                        "mad_score double").withColumn("upload_hash", F.concat(F.lit("h"), "net_amount_pence"))
+    typed = given.withColumn("report_date", F.col("report_date").cast("date"))
+    fractions = typed.withColumn("break_amount_pence", F.col("break_amount_pence") + 0.5)
+    for df in (typed, given, fractions, typed.drop("report_date"), typed.drop("break_amount_pence")):
+        for upload_hash in ("x" * 64, None):
+            want = ST.ingest(None, UP.prepare_for_ingest(df, upload_hash), "replace")
+            for parts in (None, 3):
+                got = UP.newest_prepared(df, upload_hash, parts)
+                assert got.dtypes == want.dtypes and got.count() == 3
+                assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # what is the same in all rows or follows from other columns isn't moved with them
+    plan = UP.newest_prepared(typed, "x" * 64, 3)._jdf.queryExecution().executedPlan().toString()
+    moved = plan[plan.index("Exchange hashpartitioning"):]
+    assert "net_amount_gbp" in moved and "mad_score" in moved
+    assert not any(c in moved for c in ("report_month", "risk_tier", "break_amount_gbp"))
