@@ -3,8 +3,9 @@
 Per-row features are one codegen'd projection. Group features never use a
 window over raw rows: each is an aggregate over its key (partial aggregation
 folds hot keys map-side) joined back on that key. Small dictionaries of the
-join side (classes, entities, counterparties) are broadcast by AQE from their
-runtime size; large ones stay sort-merge joins with skew splitting.
+join side (classes, entities) are written and broadcast for their true size;
+the tables with many keys (amounts, counterparties) are joined to row numbers
+and keys alone, their results come back to the kept rows bucket by bucket.
 
 Ranks (W02, W08) and exact medians (W04, W05) go through
 ``ranking.running_totals`` over DISTINCT values with counts, so a value or a
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.expr import days_between, is_date, lookup, money_sum, numeric, num_or_null
+from ..session import written
 from .ranking import exact_quantile_pair, materialize, running_totals
+from .rowstore import PART, ROW, attach, is_kept, keep_rows
 
 
 def _any_null(keys: Sequence[str]) -> Column:
@@ -225,6 +228,29 @@ DEPENDS = {
     "governance_completeness_score": ("owner_populated", "approver_populated", "status_populated"),
 }
 
+_AGE = ("break_age_days", "report_date", "break_open_date")
+_AMOUNT = ("break_amount_gbp", "break_amount_pence")
+#: Input columns that a feature reads besides one of its own name.
+READS = {
+    "break_age_days": _AGE,
+    "days_since_last_move": ("report_date", "last_activity_date"),
+    "is_month_end_week": ("report_date",),
+    "is_quarter_end": ("report_date",),
+    "rolling_7d_autoclose_rate": _AGE,
+    "break_amount_gbp": _AMOUNT,
+    "abs_amount_log": _AMOUNT,
+    "amount_vs_threshold_ratio": _AMOUNT,
+    "net_vs_gross_diff": ("net_amount_gbp", "net_amount_pence", "gross_amount_gbp", "gross_amount_pence"),
+    "break_direction_enc": ("break_direction",),
+    "source_system_enc": ("source_system",),
+    "owner_populated": ("owner",),
+    "approver_populated": ("approver",),
+    "status_populated": ("status",),
+    "days_overdue_vs_sla": (*_AGE, "sla_days"),
+    "collateral_type_enc": ("collateral_type",),
+    "trade_lifecycle_event_enc": ("trade_lifecycle_event",),
+}
+
 
 def needed(wanted: Sequence[str]) -> tuple[set[str], set[str]]:
     """(features, statistics) that the ``wanted`` features are made of, themselves included."""
@@ -253,9 +279,10 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
 
     ``only`` names the features to return (default: all 42). Just these, what
     they are made of and the statistics behind them are computed
-    (:func:`needed`). The base is written once if several statistics read it, or
-    medians, which read it once a round; any other single one reads the input
-    itself, pruned to its columns.
+    (:func:`needed`). The base is kept (:mod:`rowstore`: written once, its rows numbered) if several statistics
+    read it, or medians, which read it once a round; any other single one reads the input
+    itself, pruned to its columns. Input that is kept already is not written again, the features
+    of a row are made of it when it is read.
 
     ``scope`` names input columns that split the report: every group statistic
     is then taken within equal values of them (``["asset_class"]``: as if each
@@ -269,7 +296,10 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
     scope = [c for c in scope if c in cols]
     wanted = [c for c in C.ALL_FEATURES if only is None or c in set(only)]
     features, stats = needed(wanted if only is None else only)
-    kept = df.columns if keep_input is True else list(keep_input or ())
+    kept = [c for c in (df.columns if keep_input is True else keep_input or ()) if c not in (ROW, PART)]
+    several = len(stats) > 1 or bool(stats & {"mad", "segment_age"})
+    if several and report_date_override is None and "report_date" not in cols:
+        report_date_override = df.sparkSession.sql("SELECT localtimestamp()").first()[0]  # the same in each pass
     rd = report_date_col(df, report_date_override)
     open_dt = F.col("break_open_date") if "break_open_date" in cols else F.lit(None).cast("timestamp_ntz")
     last_dt = F.col("last_activity_date") if "last_activity_date" in cols else None
@@ -357,91 +387,106 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
     }
     # One projection: per-row features from the original columns; input
     # feature columns are kept as ``__in_<name>`` for coalesce(input, derived).
-    inputs = {*kept, "asset_class", "break_amount_gbp", "break_amount_pence", *C.SEGMENT_KEYS, *scope,
-              *(["counterparty"] if "counterparty" in stats else ())} & cols
-    base = _with_row_features(df, {k: v for k, v in row_feats.items() if k in features}, inputs, features)
-    if len(stats) > 1 or stats & {"mad", "segment_age"}:
-        base = materialize(base, "feature-base")
-
-    # group features: statistics tables from the base, joined back
-    g = base
+    own = {k: v for k, v in row_feats.items() if k in features}
+    inputs = {*kept, "asset_class", "break_amount_gbp", "break_amount_pence", *C.SEGMENT_KEYS, *scope, ROW, PART} & cols
+    grouped_by = {"counterparty"} & cols if "counterparty" in stats else set()
+    if several:
+        read = inputs | {c for f in features for c in (f, *READS.get(f, ()))} & cols
+        if not is_kept(df):
+            df = keep_rows(df.select(_columns(df, read | grouped_by, kept)), "feature-input")
+    base = _with_row_features(df, own, {*inputs, *grouped_by, ROW, PART}, features)
+    # read by each later pass over the matrix, and small as a rule: written, joined for its true size
+    small = (lambda table: written(table, "statistic")) if several else (lambda table: table)
+
+    # group features: statistics tables from the base, joined back (``joins``: table, left keys, its keys) - those
+    # with many keys to kept rows by their numbers (``lookups``, from ``keyed``)
+    joins: list[tuple[DataFrame, list[str], list[str]]] = []
+    lookups: list[tuple[DataFrame, list[str], list[str]]] = []
+    keyed, before = base, {}  # columns that the joins need
     derived: dict[str, Column] = {}
     raw_amt = _raw_amount_name(df)
     if "entity_recent" in stats:
         r7 = F.lit(1.0)
         if "entity_id" in cols:
-            g = _equi_join(g, entity_recent_table(base, scope=scope), [*scope, "entity_id"], [*scope, "entity_id"])
+            joins.append((small(entity_recent_table(base, scope=scope)), [*scope, "entity_id"], [*scope, "entity_id"]))
             r7 = F.coalesce(F.col("__r7"), F.lit(1.0))
         derived["rolling_7d_break_count"] = r7
+    if "counterparty" in stats:
+        offset, others = F.lit(0.0), F.lit(0.0)
+        if "counterparty" in cols:
+            netted = "break_amount_gbp" in cols and "offsetting_break_exists" in features
+            cpt = counterparty_table(base, "break_amount_gbp" if netted else None, scope)
+            (lookups if several else joins).append((cpt, [*scope, "counterparty"], [*scope, "counterparty"]))
+            others = F.col("__cpty_n")
+            offset = F.coalesce(F.col("__offset"), F.lit(0.0)) if netted else offset
+        given = F.col("__in_offsetting_break_exists").cast("double") if "offsetting_break_exists" in cols else F.lit(None)
+        derived["offsetting_break_exists"] = F.coalesce(given, offset)
+        derived["prior_break_same_cpty"] = others
     if "percentile" in stats:
         pv = "break_amount_gbp"  # resolved amount (equals the raw column whenever it is present)
         group = ["asset_class"] if "asset_class" in cols else []
         group += [c for c in scope if c not in group]
-        source = base
         if raw_amt == "break_amount_pence" and group:
             pv = "__pv_src"
-            g = g.withColumn(pv, numeric(df, "break_amount_pence"))
-            source = base.withColumn(pv, numeric(df, "break_amount_pence"))
-        pt = percentile_table(source, pv, group)
-        g = _equi_join(g, pt, group + [pv], group + ["__pv"])
+            before[pv] = numeric(df, "break_amount_pence")
+            keyed = keyed.withColumn(pv, before[pv])
+        (lookups if several else joins).append((percentile_table(keyed, pv, group), group + [pv], group + ["__pv"]))
     if "codes" in stats:
         told = [c for c in ("entity_id", "team_code", "rec_name") if f"{c}_enc" in features]
         cats = [c for c in told if c in cols]
-        dicts = category_dictionaries(base, cats, scope) if cats else None
+        dicts = small(category_dictionaries(base, cats, scope)) if cats else None
         for c in told:
             if c not in cats:
-                g = g.withColumn(f"{c}_enc", F.lit(None).cast("double"))
+                derived[f"{c}_enc"] = F.lit(None).cast("double")
                 continue
             d = dicts.where(F.col("feature") == c).select(
                 *scope, F.col("value").alias(f"__v_{c}"), F.col("code").cast("double").alias(f"{c}_enc"))
-            g = g.withColumn(f"__k_{c}", F.coalesce(F.col(c).cast("string"), F.lit(C.MISSING_CATEGORY)))
-            g = _equi_join(g, d, [*scope, f"__k_{c}"], [*scope, f"__v_{c}"])
-    if "counterparty" in stats:
-        offset, others = F.lit(0.0), F.lit(0.0)
-        if "counterparty" in cols:
-            netted = "break_amount_gbp" in cols and "offsetting_break_exists" in features
-            cpt = counterparty_table(base, "break_amount_gbp" if netted else None, scope)
-            g = _equi_join(g, cpt, [*scope, "counterparty"], [*scope, "counterparty"])
-            others = F.col("__cpty_n")
-            offset = F.coalesce(F.col("__offset"), F.lit(0.0)) if netted else offset
-        given = F.col("__in_offsetting_break_exists").cast("double") if "offsetting_break_exists" in cols else F.lit(None)
-        derived["offsetting_break_exists"] = F.coalesce(given, offset)
-        derived["prior_break_same_cpty"] = others
+            before[f"__k_{c}"] = F.coalesce(F.col(c).cast("string"), F.lit(C.MISSING_CATEGORY))
+            joins.append((d, [*scope, f"__k_{c}"], [*scope, f"__v_{c}"]))
     keys = [k for k in C.SEGMENT_KEYS if k in cols]
     seg_keys = keys if len(keys) >= 2 else []
     keys = keys + [c for c in scope if c not in keys]
     seg_keys = seg_keys + [c for c in scope if c not in seg_keys]
+    aged = False  # segment ages known beside the deviations
     if "mad" in stats:
         mad = F.lit(0.0)
         if raw_amt is not None:
             amt_src, source = raw_amt, base
             if raw_amt == "break_amount_pence":
                 amt_src = "__mad_src"
-                g = g.withColumn(amt_src, numeric(df, "break_amount_pence"))
-                source = base.withColumn(amt_src, numeric(df, "break_amount_pence"))
+                before[amt_src] = numeric(df, "break_amount_pence")
+                source = base.withColumn(amt_src, before[amt_src])
             if keys:
-                fused = "segment_age" in stats and seg_keys == keys
-                mt = mad_table(source, amt_src, keys, {"__seg_age": "break_age_days"} if fused else None)
-                g = _equi_join(g, mt, keys, keys)
+                aged = "segment_age" in stats and seg_keys == keys
+                joins.append((mad_table(source, amt_src, keys, {"__seg_age": "break_age_days"} if aged else None), keys, keys))
             else:
                 mt = mad_table(source.withColumn("__all", F.lit(1)), amt_src, ["__all"])
                 row = mt.select("__med", "__mdev").first()
-                g = g.withColumns({"__med": F.lit(row[0] if row else None).cast("double"),
-                                   "__mdev": F.lit(row[1] if row else None).cast("double")})
+                before |= {"__med": F.lit(row[0] if row else None).cast("double"),
+                           "__mdev": F.lit(row[1] if row else None).cast("double")}
             mad = F.abs((F.abs(F.col(amt_src)) - F.col("__med")) / (F.col("__mdev") + F.lit(C.MAD_EPS)))
         derived["mad_score"] = F.coalesce(F.col("__in_mad_score").cast("double") if "mad_score" in cols
                                           else F.lit(None).cast("double"), mad)
     if "segment_age" in stats:
-        if "__seg_age" not in g.columns:
-            if seg_keys:
-                ages = segment_medians(base, {"__seg_age": "break_age_days"}, seg_keys)
-                g = _equi_join(g, ages, seg_keys, seg_keys)
-            else:
-                g = segment_median(g, F.col("break_age_days"), seg_keys, "__seg_age")
+        if not aged and seg_keys:
+            joins.append((small(segment_medians(base, {"__seg_age": "break_age_days"}, seg_keys)), seg_keys, seg_keys))
         derived["segment_median_age"] = F.coalesce(
             F.col("__in_segment_median_age").cast("double") if "segment_median_age" in cols
             else F.lit(None).cast("double"), F.col("__seg_age"))
 
+    g = base
+    if lookups:
+        found = _looked_up(keyed, lookups)
+        of_found = {c: f"__found_{c}" for c in found.columns if c not in (ROW, PART)}  # no input feature's name
+        rows = attach(df.select(*_columns(df, read, kept), ROW, PART), found.withColumnsRenamed(of_found), "feature-rows")
+        g = _with_row_features(rows, own, {*inputs, *of_found.values()}, features) \
+            .withColumnsRenamed({v: k for k, v in of_found.items()})
+    g = g.withColumns(before) if before else g
+    for table, on, of in joins:
+        g = _equi_join(g, table, on, of)
+    if "segment_age" in stats and not aged and not seg_keys:
+        g = segment_median(g, F.col("break_age_days"), seg_keys, "__seg_age")
+
     g = g.withColumns({k: v for k, v in derived.items() if k in features})
     last = {
         "is_statistical_outlier": lambda: F.when(
@@ -454,6 +499,26 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
     return g.select(*passthrough, *[F.col(c).cast("double").alias(c) for c in wanted])
 
 
+def _looked_up(rows: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """Values of tables (with left keys and their own) by the number of the kept ``rows``: only numbers and keys
+    are joined with them, one table after the other, and a key goes once no later table needs it."""
+    keys = list(dict.fromkeys(k for _, on, _ in tables for k in on))
+    found, values = rows.select(ROW, PART, *keys), []
+    for i, (table, on, of) in enumerate(tables):
+        # written, so that its true size decides how it is joined
+        found = _equi_join(found, written(table, "statistic"), on, of)
+        values += [c for c in table.columns if c not in of]
+        found = found.select(ROW, PART, *[k for k in keys if any(k in later for _, later, _ in tables[i + 1:])], *values)
+    return found
+
+
+def _columns(df: DataFrame, read: set[str], kept: Sequence[str]) -> list[Column]:
+    """Those columns of ``df`` to write; pence that only stand in for a missing amount are left out elsewhere."""
+    both = {"break_amount_gbp", "break_amount_pence"} <= read and "break_amount_pence" not in kept
+    spare = F.when(numeric(df, "break_amount_gbp").isNull(), F.col("break_amount_pence")).alias("break_amount_pence") if both else None
+    return [spare if both and c == "break_amount_pence" else F.col(c) for c in df.columns if c in read and c not in (ROW, PART)]
+
+
 def _with_row_features(df: DataFrame, row_feats: dict, inputs: set[str], features: set[str]) -> DataFrame:
     """Evaluate the per-row features against the ORIGINAL input columns in one
     projection; input feature columns are kept under ``__in_<name>``."""
