@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from breaklens import constants as C
 from breaklens import session as S
+from breaklens.operators import anomaly as AN
 from breaklens.operators import dq as DQ
 from breaklens.operators import features as FT
 from breaklens.operators import rowstore as RS
@@ -73,7 +74,7 @@ def test_a_matrix_is_read_without_moving_its_rows(spark):
     assert sorted(str((r[0], r[1], *map(plain, r[2:]))) for r in told) == want
 
 
-@pytest.mark.parametrize("name", ["x_feature_matrix"])
+@pytest.mark.parametrize("name", ["x_feature_matrix", "m02_median_impute"])
 def test_no_table_of_all_features_is_written(spark, name):
     before = set(S._SCRATCH)
     out = QUERIES[name](spark, SF)
@@ -82,3 +83,11 @@ def test_no_table_of_all_features_is_written(spark, name):
     read = [spark.read.parquet(p).columns for p in set(S._SCRATCH) - before if S.path_exists(spark, p)]
     assert read and not [c for c in read if {"abs_amount_log", "days_overdue_vs_sla", "is_quarter_end"} & set(c)]
     assert not [c for c in read if len(set(c) & set(C.ALL_FEATURES)) > 12]
+
+
+def test_sketches_of_many_tasks_stay_small(spark):
+    # each task sends one sketch per feature and group: its size, not the rows, decides what is shuffled
+    df = spark.range(120_000).select(F.rand(5).alias("v"))
+    sketch = df.repartition(4).groupBy().agg(F.percentile_approx("v", [0.5 - AN.NEAR, 0.5 + AN.NEAR], AN.SKETCH))
+    lo, hi = sketch.first()[0]
+    assert lo <= df.approxQuantile("v", [0.5], 0.0)[0] <= hi and AN.SKETCH <= 1000 and AN.NEAR * AN.SKETCH >= 3 - 1e-9
