@@ -477,7 +477,7 @@ def build_feature_matrix(df: DataFrame, asset_class: str | None = None, report_d
     g = base
     if lookups:
         found = _looked_up(keyed, lookups)
-        of_found = {c: f"__found_{c}" for c in found.columns if c not in (ROW, PART)}  # no input feature's name
+        of_found = {c: f"__found_{c}" for c in found.columns if c != ROW}  # no input feature's name
         rows = attach(df.select(*_columns(df, read, kept), ROW, PART), found.withColumnsRenamed(of_found), "feature-rows")
         g = _with_row_features(rows, own, {*inputs, *of_found.values()}, features) \
             .withColumnsRenamed({v: k for k, v in of_found.items()})
@@ -503,12 +503,12 @@ def _looked_up(rows: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str],
     """Values of tables (with left keys and their own) by the number of the kept ``rows``: only numbers and keys
     are joined with them, one table after the other, and a key goes once no later table needs it."""
     keys = list(dict.fromkeys(k for _, on, _ in tables for k in on))
-    found, values = rows.select(ROW, PART, *keys), []
+    found, values = rows.select(ROW, *keys), []
     for i, (table, on, of) in enumerate(tables):
         # written, so that its true size decides how it is joined
         found = _equi_join(found, written(table, "statistic"), on, of)
         values += [c for c in table.columns if c not in of]
-        found = found.select(ROW, PART, *[k for k in keys if any(k in later for _, later, _ in tables[i + 1:])], *values)
+        found = found.select(ROW, *[k for k in keys if any(k in later for _, later, _ in tables[i + 1:])], *values)
     return found
 
 

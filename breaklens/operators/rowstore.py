@@ -24,6 +24,9 @@ from ..sources.store import bucket_count
 ROW, PART = "__row", "__part"
 #: More buckets don't come from more input; each then holds more rows, which are sorted for a join and may spill.
 MOST_BUCKETS = 4096
+#: Rows of a task that go to one bucket together.
+CHUNK = 1 << 18
+GOLDEN = (5 ** 0.5 - 1) / 2
 
 
 @contextmanager
@@ -56,13 +59,20 @@ def _buckets(rows: DataFrame) -> int:
     return rows.schema[PART].metadata["buckets"]
 
 
-def _bucketed(df: DataFrame, n: int, name: str) -> DataFrame:
-    """``df`` written into ``n`` buckets by its ``PART``."""
+def _part(n: int) -> Column:
+    """``PART`` of a ``ROW``. The number holds the task that wrote the row and the row's place there; ``CHUNK``
+    rows in a row share a bucket, the chunks of tasks next to each other begin far apart."""
+    task, place = F.shiftright(ROW, 33), F.col(ROW).bitwiseAND(F.lit((1 << 33) - 1))
+    slot = F.floor(task * F.lit(GOLDEN * n)) + F.floor(place / F.lit(CHUNK))
+    return F.get(F.lit(list(_one_key_a_bucket(n))), F.pmod(slot, F.lit(n)).cast("int"))
+
+
+def _in_buckets(df: DataFrame, n: int, name: str) -> DataFrame:
+    """``df`` written into ``n`` buckets by its ``PART``. A task has few of them and opens a file for each instead of
+    sorting its rows."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    # a task has one bucket, or a few, and opens a file for each instead of sorting its rows; rows that lie in
-    # buckets by PART alone meet by (ROW, PART) without an exchange
-    with _settings(spark, maxConcurrentOutputFileWriters="64", requireAllClusterKeysForCoPartition="false"):
+    with _settings(spark, maxConcurrentOutputFileWriters="64"):
         df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, PART) \
             .saveAsTable(scratch_table(path))
     back = spark.table(scratch_table(path))
@@ -74,13 +84,14 @@ def keep_rows(df: DataFrame, name: str) -> DataFrame:
     """``df`` written where it lies, its rows numbered. The number is fixed by the written
     file: a task that runs again replaces its files whole."""
     n = min(bucket_count(df), MOST_BUCKETS)
-    part = F.get(F.lit(list(_one_key_a_bucket(n))), F.spark_partition_id() % F.lit(n))
-    return _bucketed(df.select("*", F.monotonically_increasing_id().alias(ROW),
-                               part.alias(PART, metadata={"buckets": n})), n, name)
+    rows = df.select("*", F.monotonically_increasing_id().alias(ROW))
+    return _in_buckets(rows.select("*", _part(n).alias(PART, metadata={"buckets": n})), n, name)
 
 
-def _same_row(right: DataFrame) -> tuple[DataFrame, Column]:
-    other = right.withColumnsRenamed({ROW: "__jr_row", PART: "__jr_part"})
+def _dealt(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
+    """What was ``found`` by ``ROW`` in the buckets of ``rows``, and the condition under which a row is the same."""
+    n = _buckets(rows)
+    other = found.withColumn(PART, _part(n)).repartition(n, PART).withColumnsRenamed({ROW: "__jr_row", PART: "__jr_part"})
     return other, (F.col(ROW) == F.col("__jr_row")) & (F.col(PART) == F.col("__jr_part"))
 
 
@@ -88,14 +99,22 @@ def mark(rows: DataFrame, some: DataFrame, flag: str, name: str) -> DataFrame:
     """The kept ``rows`` with a ``flag``: true for the row numbers of ``some``, else null. Only these are written.
     Readers that don't ask for the flag don't join them (the numbers are told to be distinct)."""
     n = _buckets(rows)
-    own = _bucketed(some.select(ROW, PART).repartition(n, PART), n, name).distinct()
-    other, same = _same_row(own.withColumn(flag, F.lit(True)))
+    own = _in_buckets(some.select(ROW, _part(n).alias(PART)).repartition(n, PART), n, name).distinct()
+    other = own.select(F.col(ROW).alias("__jr_row"), F.col(PART).alias("__jr_part"), F.lit(True).alias(flag))
+    same = (F.col(ROW) == F.col("__jr_row")) & (F.col(PART) == F.col("__jr_part"))
     return rows.join(other, same, "left").drop("__jr_row", "__jr_part")
 
 
 def attach(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """The kept ``rows`` written again with the columns that ``found`` has by row number (at most
-    once each), null for the rows that it lacks."""
-    n = _buckets(rows)
-    other, same = _same_row(found.repartition(n, PART))
-    return _bucketed(rows.join(other, same, "left").drop("__jr_row", "__jr_part"), n, name)
+    """The kept ``rows`` written again, without their numbers but with the columns that ``found`` has by row number
+    (at most once each), null for the rows that it lacks."""
+    spark = rows.sparkSession
+    other, same = _dealt(rows, found)
+    out = rows.join(other, same, "left").drop(ROW, PART, "__jr_row", "__jr_part")
+    path = scratch_path(spark, name)
+    # rows that lie in buckets by PART alone meet by (ROW, PART) without an exchange
+    with _settings(spark, requireAllClusterKeysForCoPartition="false"):
+        out.write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(out.schema).parquet(path)
+    back._scratch = path
+    return back

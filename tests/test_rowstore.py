@@ -30,14 +30,16 @@ def _report(spark):
         .withColumns({"report_date": F.lit("2024-03-29").cast("date"), "break_open_date": F.lit("2024-03-01").cast("date")})
 
 
-def test_rows_meet_what_is_found_for_them_in_their_buckets(spark):
+def test_rows_meet_what_is_found_for_them_in_their_buckets(spark, monkeypatch):
+    monkeypatch.setattr(RS, "CHUNK", 300)  # three chunks a task
     rows = RS.keep_rows(spark.range(5000).withColumn("v", F.col("id") * 2).repartition(7), "t")
-    assert rows.select(RS.ROW).distinct().count() == 5000 and rows.groupBy(RS.PART).count().count() == 7
-    found = rows.where("id % 3 = 0").select(RS.ROW, RS.PART, (F.col("v") + 1).alias("w"))
+    assert rows.select(RS.ROW).distinct().count() == 5000
+    assert max(r["count"] for r in rows.groupBy(RS.PART).count().collect()) <= 1200 and rows.select(RS.PART).distinct().count() == 8
+    found = rows.where("id % 3 = 0").select(RS.ROW, (F.col("v") + 1).alias("w"))
     found = spark.createDataFrame(found.collect(), found.schema)  # lies in no buckets
-    own, same = RS._same_row(found.repartition(RS._buckets(rows), RS.PART))
     settings = {"autoBroadcastJoinThreshold": "-1", "requireAllClusterKeysForCoPartition": "false"}
     with RS._settings(spark, **settings):
+        own, same = RS._dealt(rows, found)
         assert _moves(rows.join(own, same, "left")) == 1  # only what was found is dealt out
         got = RS.attach(rows, found, "t")
         flagged = RS.mark(rows, found, "hit", "t")
