@@ -76,7 +76,7 @@ def test_a_matrix_is_read_without_moving_its_rows(spark):
     assert sorted(str((r[0], r[1], *map(plain, r[2:]))) for r in told) == want
 
 
-@pytest.mark.parametrize("name", ["x_feature_matrix", "m02_median_impute"])
+@pytest.mark.parametrize("name", ["x_feature_matrix", "m02_median_impute", "m03_anomaly_fallback", "k03_score_breaks"])
 def test_no_table_of_all_features_is_written(spark, name):
     before = set(S._SCRATCH)
     out = QUERIES[name](spark, SF)
