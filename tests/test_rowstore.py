@@ -93,3 +93,10 @@ def test_sketches_of_many_tasks_stay_small(spark):
     sketch = df.repartition(4).groupBy().agg(F.percentile_approx("v", [0.5 - AN.NEAR, 0.5 + AN.NEAR], AN.SKETCH))
     lo, hi = sketch.first()[0]
     assert lo <= df.approxQuantile("v", [0.5], 0.0)[0] <= hi and AN.SKETCH <= 1000 and AN.NEAR * AN.SKETCH >= 3 - 1e-9
+
+
+def test_a_forest_does_not_depend_on_the_order_of_rows_of_one_id(spark):
+    rows = [("same", "CEQ", float(i), float(i * i % 31)) for i in range(40)]
+    both = [AN.fit_forest(spark.createDataFrame(r, "break_id string, asset_class string, a double, b double").coalesce(1), ["a", "b"], n_trees=6, psi=8)
+            .sort_values(["tree", "node"]).to_numpy().tolist() for r in (rows, rows[::-1])]
+    assert both[0] and both[0] == both[1]
